@@ -13,8 +13,13 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# White space as a character class, the set that text stripping uses.
-WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White space as a pattern class, the set that text stripping uses.
+# Latin characters are listed singly and the rest sits behind one range test: a
+# letter is then turned down by two quick checks.
+WHITE = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
 
 
 def as_column(c: Column | str) -> Column:
@@ -121,8 +126,7 @@ def has_text(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Split on white space, without empty parts; null gives an empty array."""
-    split = F.split(F.coalesce(as_column(c), F.lit("")), f"[{WHITE}]+")
-    return F.filter(split, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(as_column(c), F.lit("")), f"[{WHITE}]+"), "")
 
 
 def duration_text(seconds: Column | str) -> Column:
@@ -142,7 +146,7 @@ def duration_seconds(text: Column | str) -> Column:
 
     def part(unit: str) -> Column:
         found = F.regexp_extract(text, rf"(\d+){unit}", 1)
-        return F.when(found != "", found.cast("bigint")).otherwise(0)
+        return F.coalesce(F.nullif(found, F.lit("")), F.lit("0")).cast("bigint")
 
     return F.when(text.rlike(r"^(\d+h )?(\d+m )?\d+s$"), part("h") * 3600 + part("m") * 60 + part("s"))
 

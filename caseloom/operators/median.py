@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import insort
 
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from caseloom.operators.scan import Running, position, running, step_segment, with_value_segments
 from caseloom.session import checkpointed
 
+# Shortest block worth a task's attention.
+BLOCK_ROWS = 1024
+
 
 def _block_medians(centre: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     """Median of all earlier values, for the rows of one block in trial order.
@@ -40,19 +44,17 @@ def running_median(steps: DataFrame, block_rows: int | None = None) -> DataFrame
     ``steps`` has step, trial, value and best. Each step's trials are cut into
     blocks by trial order and by value order; counts per cell of that grid tell
     which few value blocks hold the middle values before a trial block. With
-    blocks of about the square root of the longest step, the grid has no more
+    blocks of at least the square root of the longest step, the grid has no more
     cells than the table has rows, and no task holds more than a few blocks.
     """
-    by_trial = running(
-        with_value_segments(steps, "trial", "step"), ["step"], ["trial"], [position("x")]
-    )
-    by_value = running(
-        with_value_segments(by_trial, "value", "trial"), ["step"], ["value", "trial"], [position("y")]
-    )
-    placed = checkpointed(by_value)
+    steps = checkpointed(steps)
+    by_trial = running(with_value_segments(steps, "trial", "step"), ["step"], ["trial"], [position("x")])
+    by_trial = checkpointed(by_trial)
+    cut = with_value_segments(by_trial, "value", "trial")
+    placed = checkpointed(running(cut, ["step"], ["value", "trial"], [position("y")]))
     if block_rows is None:
         longest = placed.agg(F.max("x")).first()[0] or 1
-        block_rows = max(int(longest**0.5), 1)
+        block_rows = max(math.isqrt(longest), BLOCK_ROWS)
     size = F.lit(block_rows)
     placed = placed.withColumns({"xb": F.floor((F.col("x") - 1) / size), "yb": F.floor((F.col("y") - 1) / size)})
 

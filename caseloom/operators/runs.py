@@ -97,8 +97,23 @@ def _bar(best: Column, relative: float, absolute: float) -> Column:
     return best * F.lit(1.0 - relative) - F.lit(absolute)
 
 
-def checks_with_improvements(
-    history: DataFrame,
+def numbered_checks(history: DataFrame, loss: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
+    """Rows with a loss, numbered per run (``check``); new minima are marked ``lowest``.
+
+    Stored once, because what follows reads it several times.
+    """
+    scanned = running(
+        history.where(F.col(loss).isNotNull()).select(run, epoch, loss),
+        [run],
+        [epoch],
+        [Running("check", "sum", F.lit(1).cast("bigint")), _best_before(loss)],
+        step_segment(epoch),
+    )
+    return checkpointed(scanned.withColumn("lowest", _beats(loss)).drop("best_before"))
+
+
+def improvements(
+    checks: DataFrame,
     loss: str,
     run: str = "run_id",
     epoch: str = "epoch",
@@ -106,53 +121,40 @@ def checks_with_improvements(
     absolute: float = 0.0,
     fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Rows with a loss, numbered per run (``check``) and marked ``improved``.
+    """Checks that improve on the best loss so far.
 
     Without a margin an improvement is a new minimum. With one, the best value is
     not simply the minimum so far, because small gains do not count; then
     improvements form a chain through the new minima of the run. The relative
     margin is meant for losses that are not negative.
     """
-    rows = history.where(F.col(loss).isNotNull())
-    scanned = running(
-        rows,
-        [run],
-        [epoch],
-        [Running("check", "sum", F.lit(1).cast("bigint")), _best_before(loss)],
-        step_segment(epoch),
-    )
-    marked = scanned.withColumn("improved", _beats(loss)).drop("best_before")
+    minima = checks.where("lowest").select(run, epoch, "check", F.col(loss).alias("loss"))
     if not relative and not absolute:
-        return marked
-    minima = marked.where("improved").select(run, epoch, F.col(loss).alias("loss"))
+        return minima
     minima = checkpointed(minima)
     longest = minima.groupBy(run).count().agg(F.max("count")).first()[0] or 0
-    chain = _folded_chain if longest <= fold_rows else _doubled_chain
-    kept = chain(minima, run, epoch, relative, absolute, longest).withColumn("__kept", F.lit(True))
-    return (
-        marked.join(kept, [run, epoch], "left")
-        .withColumn("improved", F.coalesce(F.col("__kept"), F.lit(False)))
-        .drop("__kept")
-    )
+    if longest <= fold_rows:
+        return _folded_chain(minima, run, epoch, relative, absolute)
+    return _doubled_chain(minima, run, epoch, relative, absolute, longest)
 
 
-def _folded_chain(
-    minima: DataFrame, run: str, epoch: str, relative: float, absolute: float, longest: int
-) -> DataFrame:
+def _folded_chain(minima: DataFrame, run: str, epoch: str, relative: float, absolute: float) -> DataFrame:
     """Walk each run's short list of minima as an array."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("epoch"), "loss")))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.array().cast("array<int>").alias("kept"))
+    item = F.struct(F.col("check"), F.col(epoch).alias("epoch"), F.col("loss"))
+    kind = minima.select(item.alias("i")).schema["i"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.array().cast(f"array<{kind}>").alias("kept"))
 
     def step(state: Column, row: Column) -> Column:
         better = state["best"].isNull() | (row["loss"] < _bar(state["best"], relative, absolute))
-        taken = F.struct(
-            row["loss"].alias("best"),
-            F.concat(state["kept"], F.array(row["epoch"].cast("int"))).alias("kept"),
-        )
+        taken = F.struct(row["loss"].alias("best"), F.concat(state["kept"], F.array(row)).alias("kept"))
         return F.when(better, taken).otherwise(state)
 
-    walked = minima.groupBy(run).agg(F.aggregate(steps, start, step, lambda s: s["kept"]).alias("kept"))
-    return walked.select(run, F.explode("kept").alias(epoch))
+    walked = minima.groupBy(run).agg(
+        F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda s: s["kept"]).alias("kept")
+    )
+    return walked.select(run, F.explode("kept").alias("k")).select(
+        run, F.col("k.epoch").alias(epoch), "k.check", "k.loss"
+    )
 
 
 def _doubled_chain(
@@ -163,17 +165,27 @@ def _doubled_chain(
     Minima fall along a run, so the successor of a minimum is found by counting
     the minima that are not below its bar.
     """
-    both = minima.select(run, epoch, F.col("loss").alias("v"), F.lit(0).alias("asks")).unionByName(
-        minima.select(run, epoch, _bar(F.col("loss"), relative, absolute).alias("v"), F.lit(1).alias("asks"))
-    )
-    both = both.withColumn("down", -F.col("v"))
+    asked = _bar(F.col("loss"), relative, absolute)
+    both = minima.select(
+        run,
+        epoch,
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("asks"), (-F.col("loss")).alias("down")),
+                F.struct(F.lit(1).alias("asks"), (-asked).alias("down")),
+            )
+        ).alias("r"),
+    ).select(run, epoch, "r.*")
     cut = with_value_segments(both, "down", epoch)
     counted = running(
         cut, [run], ["down", "asks", epoch], [Running("seen", "sum", (1 - F.col("asks")).cast("bigint"))]
     )
-    own = counted.where("asks = 0").select(run, epoch, F.col("seen").alias("at"))
-    to = counted.where("asks = 1").select(run, epoch, (F.col("seen") + 1).alias("to"))
-    links = checkpointed(own.join(to, [run, epoch]))
+    links = checkpointed(
+        counted.groupBy(run, epoch).agg(
+            F.max(F.when(F.col("asks") == 0, F.col("seen"))).alias("at"),
+            F.max(F.when(F.col("asks") == 1, F.col("seen") + 1)).alias("to"),
+        )
+    )
     jumps = links.select(run, "at", "to")
     reached = jumps.where("at = 1").select(run, "at")
     for _ in range(math.ceil(math.log2(max(longest, 2)))):
@@ -181,16 +193,27 @@ def _doubled_chain(
         reached = checkpointed(reached.unionByName(ahead.join(jumps, [run, "at"], "left_semi")))
         second = jumps.select(run, F.col("at").alias("to"), F.col("to").alias("beyond"))
         jumps = checkpointed(jumps.join(second, [run, "to"]).select(run, "at", F.col("beyond").alias("to")))
-    return links.join(reached, [run, "at"], "left_semi").select(run, epoch)
+    kept = links.join(reached, [run, "at"], "left_semi").select(run, epoch)
+    return minima.join(kept, [run, epoch], "left_semi").select(run, epoch, "check", "loss")
 
 
-def _since_last(checks: DataFrame, loss: str, run: str, epoch: str) -> DataFrame:
-    """Add the last improvement (``last``) and the checks since then (``waited``)."""
-    at = F.struct("check", F.col(epoch).alias("epoch"), F.col(loss).alias("loss"))
+def _last_improvement(
+    checks: DataFrame, better: DataFrame, run: str, epoch: str, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Add the latest improvement of each check (``last``) and the checks since then (``waited``)."""
+    at = better.select(
+        run, epoch, F.struct("check", F.col(epoch).alias("epoch"), "loss", *extra).alias("__at")
+    )
     scanned = running(
-        checks, [run], [epoch], [Running("last", "max", F.when(F.col("improved"), at))], step_segment(epoch)
+        checks.join(at, [run, epoch], "left"),
+        [run],
+        [epoch],
+        [Running("last", "max", F.col("__at"))],
+        step_segment(epoch),
     )
-    return scanned.withColumn("waited", F.col("check") - F.col("last.check"))
+    return scanned.withColumns(
+        {"improved": F.col("__at").isNotNull(), "waited": F.col("check") - F.col("last.check")}
+    ).drop("__at")
 
 
 def patience_counter(
@@ -202,8 +225,9 @@ def patience_counter(
     fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Checks without improvement, after each check."""
-    checks = checks_with_improvements(history, loss, run, epoch, absolute=min_delta, fold_rows=fold_rows)
-    return _since_last(checks, loss, run, epoch)
+    checks = numbered_checks(history, loss, run, epoch)
+    better = improvements(checks, loss, run, epoch, absolute=min_delta, fold_rows=fold_rows)
+    return _last_improvement(checks, better, run, epoch)
 
 
 def early_stop(
@@ -252,15 +276,18 @@ def lr_plateau(
     falls on every ``patience + 1``-th check since the last improvement. A cut
     that would change the rate by no more than ``eps`` is not made.
     """
-    checks = checks_with_improvements(history, loss, run, epoch, relative=threshold, fold_rows=fold_rows)
-    counted = _since_last(checks, loss, run, epoch).drop("last")
-    is_cut = (F.col("waited") > 0) & (F.col("waited") % F.lit(patience + 1) == 0)
-    scanned = running(
-        counted, [run], [epoch], [Running("cuts", "sum", is_cut.cast("bigint"))], step_segment(epoch)
-    )
+    checks = numbered_checks(history, loss, run, epoch)
+    better = improvements(checks, loss, run, epoch, relative=threshold, fold_rows=fold_rows)
+    # cuts in the stretches that an improvement has closed
+    by_check = step_segment("check")
+    since = running(better, [run], ["check"], [Running("prev", "max", F.col("check"), through=False)], by_check)
+    closed = F.floor((F.col("check") - F.col("prev") - 1) / (patience + 1))
+    summed = running(since, [run], ["check"], [Running("closed", "sum", F.coalesce(closed, F.lit(0)))], by_check)
+    scanned = _last_improvement(checks, summed, run, epoch, ["closed"])
+    cuts = F.col("last.closed") + F.floor(F.col("waited") / (patience + 1))
     rates = [lr]  # one entry per cut that takes effect
     while rates[-1] - max(rates[-1] * factor, min_lr) > eps:
         rates.append(max(rates[-1] * factor, min_lr))
     ladder = F.array(*[F.lit(r) for r in rates])
-    made = F.least(F.col("cuts"), F.lit(len(rates) - 1)).cast("int")
-    return scanned.withColumn("lr", F.get(ladder, made)).drop("check")
+    made = F.least(cuts, F.lit(len(rates) - 1)).cast("int")
+    return scanned.select(run, epoch, loss, "improved", "waited", cuts.alias("cuts"), F.get(ladder, made).alias("lr"))

@@ -54,24 +54,29 @@ def step_segment(step: str, rows: int = SEGMENT_ROWS) -> Column:
 
 
 def with_value_segments(
-    df: DataFrame, column: str, tie_breaker: str | None = None, segments: int | None = None
+    df: DataFrame,
+    column: str,
+    tie_breaker: str | None = None,
+    segments: int | None = None,
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add a segment number that grows with ``column`` and holds a bounded row share.
 
     Cut points are approximate quantiles over the whole table, so that a segment
     of any group is at most about ``1 / segments`` of all rows. A value frequent
     enough to fill segments alone gets one for itself, cut again by
-    ``tie_breaker``.
+    ``tie_breaker``. ``cuts_from`` is a cheaper table with the same values.
     """
     n = segments or shuffle_partitions(df)
-    points = _cut_points(df, column, n)
+    source = df if cuts_from is None else cuts_from
+    points = _cut_points(source, column, n)
     frequent = sorted({p for p in points if points.count(p) > 1})
     if not frequent or tie_breaker is None:
         return _bucket(df, column, points, SEGMENT)
     alone = F.col(column).cast("double").isin(frequent)
     above = [math.nextafter(p, math.inf) for p in frequent]
     placed = _bucket(df, column, points + above, SEGMENT)
-    placed = _bucket(placed, tie_breaker, _cut_points(df.where(alone), tie_breaker, n), "__tie")
+    placed = _bucket(placed, tie_breaker, _cut_points(source.where(alone), tie_breaker, n), "__tie")
     part = F.when(alone, F.col("__tie")).otherwise(0)
     return placed.withColumn(SEGMENT, F.col(SEGMENT) * (n + 1) + part).drop("__tie")
 

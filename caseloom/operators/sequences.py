@@ -15,7 +15,7 @@ PAD_ID, END_ID, UNKNOWN_ID = 0, 1, 2
 FIRST_ID = 3
 
 # Most frequent tokens joined by broadcast; all rarer ones are joined by shuffle.
-HEAD_TOKENS = 200_000
+HEAD_TOKENS = 1_000_000
 
 
 def token_rows(df: DataFrame, keep: Sequence[str], texts: Mapping[str, Column | str]) -> DataFrame:
@@ -23,13 +23,16 @@ def token_rows(df: DataFrame, keep: Sequence[str], texts: Mapping[str, Column |
 
     A row without any word stays as one row with null token.
     """
-    parts = [
-        F.transform(
-            words(text),
-            lambda w, i, name=name: F.struct(F.lit(name).alias("field"), i.alias("pos"), w.alias("token")),
+    if len(texts) == 1:
+        ((name, text),) = texts.items()
+        return df.select(*keep, F.lit(name).alias("field"), F.posexplode_outer(words(text)).alias("pos", "token"))
+
+    def numbered(name: str, text: Column | str) -> Column:
+        return F.transform(
+            words(text), lambda w, i: F.struct(F.lit(name).alias("field"), i.alias("pos"), w.alias("token"))
         )
-        for name, text in texts.items()
-    ]
+
+    parts = [numbered(name, text) for name, text in texts.items()]
     return df.select(*keep, F.explode_outer(F.concat(*parts)).alias("w")).select(*keep, "w.*")
 
 
@@ -63,10 +66,9 @@ def _look_up(rows: DataFrame, vocab: DataFrame, key: str, value: str, head: int)
     if vocab.where(F.col("token_id") >= FIRST_ID + head).isEmpty():
         return rows.join(first, key, "left")
     rest = entries.where(vocab["token_id"] >= FIRST_ID + head)
-    found = rows.join(first, key)
-    blank = rows.where(F.col(key).isNull()).withColumn(value, F.lit(None).cast(entries.schema[value].dataType))
+    found = rows.join(first, key, "left").where(F.col(key).isNull() | F.col(value).isNotNull())
     rare = rows.where(F.col(key).isNotNull()).join(first, key, "left_anti").join(rest, key, "left")
-    return found.unionByName(rare).unionByName(blank)
+    return found.unionByName(rare)
 
 
 def encode(rows: DataFrame, vocab: DataFrame, head: int = HEAD_TOKENS) -> DataFrame:
@@ -78,10 +80,12 @@ def encode(rows: DataFrame, vocab: DataFrame, head: int = HEAD_TOKENS) -> DataFr
 
 def id_arrays(encoded: DataFrame, keep: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Collect the ids of each text back into one array per field, in word order."""
+    # position and id share one number: cheaper to collect and sort than pairs
+    packed = F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.col("token_id"))
+
     def ids(field: str) -> Column:
-        wanted = (F.col("field") == field) & F.col("token_id").isNotNull()
-        pairs = F.collect_list(F.when(wanted, F.struct("pos", "token_id")))
-        return F.transform(F.array_sort(pairs), lambda p: p["token_id"].cast("int")).alias(field)
+        collected = F.array_sort(F.collect_list(F.when(F.col("field") == field, packed)))
+        return F.transform(collected, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(field)
 
     return encoded.groupBy(*keep).agg(*[ids(f) for f in fields])
 
@@ -140,7 +144,7 @@ def decode(
     # a skipped id stays as a row without id, so that a text of special ids only is kept
     rows = rows.withColumn("token_id", F.when(F.col("token_id") >= FIRST_ID, F.col("token_id").cast("bigint")))
     found = _look_up(rows, vocab, "token_id", "token", head)
-    pairs = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))
-    return found.groupBy(*keep).agg(
-        F.array_join(F.transform(F.array_sort(pairs), lambda p: p["token"]), " ").alias(name)
-    )
+    # the word behind its position in fixed width: sorted as text, then cut off again
+    placed = F.concat(F.lpad(F.col("pos").cast("string"), 10, "0"), F.col("token"))
+    in_order = F.transform(F.array_sort(F.collect_list(placed)), lambda w: F.substring(w, 11, 1 << 30))
+    return found.groupBy(*keep).agg(F.array_join(in_order, " ").alias(name))

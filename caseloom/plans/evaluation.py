@@ -40,5 +40,6 @@ def evaluate(
     if pairs is not None:
         parts += [mean_scores(meteor(nonblank_pairs(pairs)), "meteor"), rejected_count(pairs)]
     if token_scores is not None:
-        parts.append(mean_scores(token_scores, "precision", "recall", "f1"))
+        match = mean_scores(token_scores, "precision", "recall", "f1")
+        parts.append(match.select(*[F.col(c).alias(f"match_{c}") for c in match.columns]))
     return reduce(DataFrame.unionByName, [_long(p) for p in parts])

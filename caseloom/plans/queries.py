@@ -172,22 +172,22 @@ def slice_rows(spark, folder):
     return first.unionByName(readings.take_slice(rows, "c_custkey", 10, 5).select(F.lit("next").alias("part"), "*"))
 
 
-@query(f"""WITH {CASES}, wide AS (SELECT c_custkey, r0i AS "R0 int", r0s AS "R0 sk", r1i AS "R1 int",
-  l0i AS "L0 int", l0s AS "L0 sk", l1i AS "L1 int" FROM cases),
-long AS (SELECT * FROM (UNPIVOT INCLUDE NULLS wide ON COLUMNS(* EXCLUDE c_custkey) INTO NAME reading VALUE temp))
+@query(f"""WITH {CASES}, long AS (SELECT c_custkey,
+  unnest(['R0 int', 'R0 sk', 'R1 int', 'L0 int', 'L0 sk', 'L1 int']) AS reading,
+  unnest([r0i, r0s, r1i, l0i, l0s, l1i]) AS temp FROM cases)
 SELECT c_custkey, reading[1] AS side, reading[2]::INTEGER AS pos, split_part(reading, ' ', 2) AS kind,
-  CASE WHEN NOT isnan(temp) THEN round(temp, 6) END AS temp FROM long""")
+  CASE WHEN NOT isnan(temp) THEN round(temp, 9) END AS temp FROM long""")
 def readings_long(spark, folder):
     long = readings.readings_long(tables.cases(spark, folder), ["c_custkey"])
-    return long.select("c_custkey", "side", "pos", "kind", F.round(C.nan_to_null("temp"), 6).alias("temp"))
+    return long.select("c_custkey", "side", "pos", "kind", F.round(C.nan_to_null("temp"), 9).alias("temp"))
 
 
-@query(f"""WITH {CASES} SELECT c_custkey, CASE WHEN NOT isnan(l0i) THEN round(abs(r0i - l0i), 6) END AS diff0_int,
-round(abs(r0s - l0s), 6) AS diff0_sk, round(abs(r1i - l1i), 6) AS diff1_int FROM cases""")
+@query(f"""WITH {CASES} SELECT c_custkey, CASE WHEN NOT isnan(l0i) THEN round(abs(r0i - l0i), 9) END AS diff0_int,
+round(abs(r0s - l0s), 9) AS diff0_sk, round(abs(r1i - l1i), 9) AS diff1_int FROM cases""")
 def asymmetry(spark, folder):
     wide = readings.asymmetry(tables.cases(spark, folder), ["c_custkey"])
     return wide.select(
-        "c_custkey", *[F.round(C.nan_to_null(c), 6).alias(c) for c in ("diff0_int", "diff0_sk", "diff1_int")]
+        "c_custkey", *[F.round(C.nan_to_null(c), 9).alias(c) for c in ("diff0_int", "diff0_sk", "diff1_int")]
     )
 
 
@@ -324,11 +324,11 @@ def confusion(spark, folder):
     return classes.confusion(tables.class_pairs(spark, folder), "y", "p")
 
 
-CLASS_METRICS = """counts AS (SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp,
+CLASS_METRICS = """class_counts AS (SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp,
   count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 1 AND p = 0) AS fn FROM pairs),
 metrics AS (SELECT round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy,
   round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1,
-  round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity FROM counts)"""
+  round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity FROM class_counts)"""
 
 
 @query(f"WITH {CLASSES}, {CLASS_METRICS} SELECT * FROM metrics")
@@ -465,16 +465,16 @@ def evaluate_summary(spark, folder):
 
 @query(f"WITH {VOCAB} SELECT doc_id, token, count(*) AS n FROM words GROUP BY doc_id, token")
 def tokens(spark, folder):
-    return sequences.token_counts(tables.table(spark, folder, "documents"), ["doc_id"], "text")
+    return sequences.token_counts(tables.documents(spark, folder), ["doc_id"], "text")
 
 
 @query(f"WITH {VOCAB} SELECT token, n, token_id FROM vocab")
 def vocab(spark, folder):
-    return sequences.vocabulary(tables.table(spark, folder, "documents"), "text")
+    return sequences.vocabulary(tables.documents(spark, folder), "text")
 
 
 def _encoded(spark, folder):
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     words = sequences.vocabulary(documents, "text")
     return sequences.encode(sequences.token_rows(documents, ["doc_id"], {"text": "text"}), words), words
 
@@ -534,7 +534,7 @@ FROM cuts GROUP BY ordering, part"""
 @query(_audit_sql())
 def truncation_audit(spark, folder):
     groups = {"temps": [F.col("text")], "medical": [F.col("lang")], "demographic": [F.col("source")]}
-    return prompts.truncation_audit(tables.table(spark, folder, "documents"), groups, MAX_LEN)
+    return prompts.truncation_audit(tables.documents(spark, folder), groups, MAX_LEN)
 
 
 # --- splits and batches -----------------------------------------------------
@@ -643,12 +643,15 @@ def running_loss(spark, folder):
     return scanned.select("run_id", "epoch", "batch", F.round("running_loss", 6).alias("running_loss"))
 
 
-@query(f"""WITH {HISTORY} SELECT run_id, epoch, round(sum(value) OVER w, 4) AS elapsed,
-round(sum(value) OVER w / epoch, 4) AS mean_epoch, round(sum(value) OVER w / epoch * (200 - epoch), 4) AS remaining
-FROM history WINDOW w AS (PARTITION BY run_id ORDER BY epoch)""")
+# Means of two-decimal values often end on a half; a small shift keeps both roundings on one side.
+@query(f"""WITH {HISTORY}, e AS (SELECT run_id, epoch, sum(value) OVER (PARTITION BY run_id ORDER BY epoch) AS s
+  FROM history)
+SELECT run_id, epoch, round(s + 1e-7, 4) AS elapsed, round(s / epoch + 1e-7, 4) AS mean_epoch,
+  round(s / epoch * (200 - epoch) + 1e-7, 4) AS remaining FROM e""")
 def epoch_eta(spark, folder):
     scanned = runs.epoch_eta(tables.history(spark, folder), 200, seconds="value")
-    return scanned.select("run_id", "epoch", *_rounded(4, **{c: F.col(c) for c in ("elapsed", "mean_epoch", "remaining")}))
+    names = ("elapsed", "mean_epoch", "remaining")
+    return scanned.select("run_id", "epoch", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in names])
 
 
 @query(f"""WITH {CHECKS} SELECT run_id, epoch, val_loss, least(val_loss, b) AS best, b IS NULL OR val_loss < b AS improved
@@ -819,6 +822,6 @@ def _share_of_spaces(batch: pd.DataFrame) -> pd.Series:
 FROM documents""")
 def batch_score(spark, folder):
     scored = learning.batch_score(
-        tables.table(spark, folder, "documents"), _share_of_spaces, ["doc_id"], ["text"], batch_size=64
+        tables.documents(spark, folder), _share_of_spaces, ["doc_id"], ["text"], batch_size=64
     )
     return scored.withColumn("prediction", F.round("prediction", 6))

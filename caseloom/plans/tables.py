@@ -10,21 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.operators.scan import position, running, with_value_segments
+from caseloom.session import checkpointed, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def history(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as training histories: a user is a run, events in time order its epochs."""
+    """Events as training histories: a user is a run, events in time order its epochs.
+
+    Stored once, since the operators on histories read their input twice.
+    """
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
     # seconds of the local clock time, whatever the session's time zone
     at = F.datediff(F.to_date("ts"), F.lit("1970-01-01")) * 86400
     at = at + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     cut = with_value_segments(events.withColumn("at", at), "at", "event_id")
-    return running(cut, ["user_id"], ["ts", "event_id"], [position("epoch")]).select(
-        F.col("user_id").alias("run_id"), "epoch", F.col("event_type").alias("kind"), "value"
+    placed = running(cut, ["user_id"], ["ts", "event_id"], [position("epoch")])
+    return checkpointed(
+        placed.select(F.col("user_id").alias("run_id"), "epoch", F.col("event_type").alias("kind"), "value")
     )
 
 

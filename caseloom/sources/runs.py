@@ -55,33 +55,34 @@ def final_line(test_loss, precision=None, recall=None, f1=None) -> Column:
 def parse_log(df: DataFrame, line: str = "value") -> DataFrame:
     """Columns out of log lines; a line of no known shape has kind ``other``."""
     text = F.col(line)
-    is_epoch, is_check, is_final = (text.rlike(p) for p in (EPOCH_LINE, CHECK_LINE, FINAL_LINE))
-
-    def group(pattern: str, index: int) -> Column:
-        found = F.regexp_extract(text, pattern, index)
-        return F.when(found != "", found)
-
-    def pick(epoch: tuple | None = None, check: tuple | None = None, final: tuple | None = None) -> Column:
-        chosen = F.lit(None).cast("string")
-        for shape, pattern, index in (
-            (is_epoch, EPOCH_LINE, epoch), (is_check, CHECK_LINE, check), (is_final, FINAL_LINE, final)
-        ):
-            if index is not None:
-                chosen = F.when(shape, group(pattern, index)).otherwise(chosen)
-        return chosen
-
-    return df.withColumns(
-        {
-            "kind": F.when(is_epoch, "epoch").when(is_check, "check").when(is_final, "final").otherwise("other"),
-            "epoch": pick(epoch=1, check=1).try_cast("int"),
-            "epochs": pick(epoch=2).try_cast("int"),
-            "loss": pick(epoch=3, check=2, final=1).try_cast("double"),
-            "seconds": duration_seconds(pick(epoch=4, check=3)),
-            "total_seconds": duration_seconds(pick(epoch=5)),
-            "precision": pick(final=2).try_cast("double"),
-            "recall": pick(final=3).try_cast("double"),
-            "f1": pick(check=4, final=4).try_cast("double"),
-        }
+    # each shape's groups, in the order the pattern has them
+    shapes = {
+        "epoch": (EPOCH_LINE, ("epoch", "epochs", "loss", "seconds", "total_seconds")),
+        "check": (CHECK_LINE, ("epoch", "loss", "seconds", "f1")),
+        "final": (FINAL_LINE, ("loss", "precision", "recall", "f1")),
+    }
+    kind, groups = F.lit("other"), F.lit(None).cast("array<string>")
+    for shape, (pattern, names) in shapes.items():
+        kind = F.when(text.rlike(pattern), shape).otherwise(kind)
+        marked = F.regexp_replace(text, pattern, "\x01".join(f"${n}" for n in range(1, len(names) + 1)))
+        groups = F.when(F.col("kind") == shape, F.split(marked, "\x01")).otherwise(groups)
+
+    def found(name: str) -> Column:
+        value = F.lit(None).cast("string")
+        for shape, (_, names) in shapes.items():
+            if name in names:
+                value = F.when(F.col("kind") == shape, F.col("__groups")[names.index(name)]).otherwise(value)
+        return F.nullif(value, F.lit(""))
+
+    whole, durations = ("epoch", "epochs"), ("seconds", "total_seconds")
+    numbers = ("loss", "precision", "recall", "f1")
+    split = df.withColumn("kind", kind).withColumn("__groups", groups)
+    return (
+        split.withColumns({c: found(c) for c in (*whole, *durations, *numbers)})
+        .withColumns({c: F.col(c).try_cast("int") for c in whole})
+        .withColumns({c: duration_seconds(c) for c in durations})
+        .withColumns({c: F.col(c).try_cast("double") for c in numbers})
+        .drop("__groups")
     )
 
 
