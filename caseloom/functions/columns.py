@@ -142,13 +142,14 @@ def duration_text(seconds: Column | str) -> Column:
 
 def duration_seconds(text: Column | str) -> Column:
     """Inverse of :func:`duration_text`, in whole seconds."""
-    text = as_column(text)
-
-    def part(unit: str) -> Column:
-        found = F.regexp_extract(text, rf"(\d+){unit}", 1)
-        return F.coalesce(F.nullif(found, F.lit("")), F.lit("0")).cast("bigint")
-
-    return F.when(text.rlike(r"^(\d+h )?(\d+m )?\d+s$"), part("h") * 3600 + part("m") * 60 + part("s"))
+    text, shape = as_column(text), r"^(?:(\d+)h )?(?:(\d+)m )?(\d+)s$"
+    parts = F.split(F.regexp_replace(text, shape, "$1:$2:$3"), ":")
+    value = F.aggregate(
+        parts,
+        F.lit(0).cast("bigint"),
+        lambda sixties, part: sixties * 60 + F.when(part != "", part).otherwise("0").cast("bigint"),
+    )
+    return F.when(text.rlike(shape), value)
 
 
 def due(step: Column | str, interval: int) -> Column:

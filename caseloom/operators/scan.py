@@ -82,11 +82,15 @@ def with_value_segments(
 
 
 def _cut_points(df: DataFrame, column: str, n: int) -> list[float]:
+    if n < 2:
+        return []
     number = df.select(F.col(column).cast("double").alias("number"))
     return number.approxQuantile("number", [i / n for i in range(1, n)], 1 / (4 * n))
 
 
 def _bucket(df: DataFrame, column: str, points: list[float], out: str) -> DataFrame:
+    if not points:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
     splits = [-math.inf, *sorted(set(points)), math.inf]
     stage = Bucketizer(splits=splits, inputCol="__number", outputCol=out, handleInvalid="keep")
     numbered = df.withColumn("__number", F.col(column).cast("double"))
