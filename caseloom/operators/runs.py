@@ -176,7 +176,7 @@ def _doubled_chain(
             )
         ).alias("r"),
     ).select(run, epoch, "r.*")
-    cut = with_value_segments(both, "down", epoch)
+    cut = with_value_segments(both, "down")
     counted = running(
         cut, [run], ["down", "asks", epoch], [Running("seen", "sum", (1 - F.col("asks")).cast("bigint"))]
     )
@@ -190,7 +190,7 @@ def _doubled_chain(
     reached = jumps.where("at = 1").select(run, "at")
     for _ in range(math.ceil(math.log2(max(longest, 2)))):
         ahead = reached.join(jumps, [run, "at"]).select(run, F.col("to").alias("at"))
-        reached = checkpointed(reached.unionByName(ahead.join(jumps, [run, "at"], "left_semi")))
+        reached = checkpointed(reached.unionByName(ahead.join(links, [run, "at"], "left_semi")))
         second = jumps.select(run, F.col("at").alias("to"), F.col("to").alias("beyond"))
         jumps = checkpointed(jumps.join(second, [run, "to"]).select(run, "at", F.col("beyond").alias("to")))
     kept = links.join(reached, [run, "at"], "left_semi").select(run, epoch)

@@ -65,7 +65,8 @@ def with_value_segments(
     Cut points are approximate quantiles over the whole table, so that a segment
     of any group is at most about ``1 / segments`` of all rows. A value frequent
     enough to fill segments alone gets one for itself, cut again by
-    ``tie_breaker``. ``cuts_from`` is a cheaper table with the same values.
+    ``tie_breaker``, which must be what the order sorts by next. ``cuts_from`` is
+    a cheaper table with the same values.
     """
     n = segments or shuffle_partitions(df)
     source = df if cuts_from is None else cuts_from

@@ -27,11 +27,12 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     Stored once, since the operators on histories read their input twice.
     """
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    # seconds of the local clock time, whatever the session's time zone
-    at = F.datediff(F.to_date("ts"), F.lit("1970-01-01")) * 86400
-    at = at + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    # microseconds of the local clock time, whatever the session's time zone
+    day, second = F.datediff(F.to_date("ts"), F.lit("1970-01-01")), F.extract(F.lit("SECOND"), F.col("ts"))
+    minutes = (day.cast("bigint") * 24 + F.hour("ts")) * 60 + F.minute("ts")
+    at = minutes * 60_000_000 + (second * 1_000_000).cast("bigint")
     cut = with_value_segments(events.withColumn("at", at), "at", "event_id")
-    placed = running(cut, ["user_id"], ["ts", "event_id"], [position("epoch")])
+    placed = running(cut, ["user_id"], ["at", "event_id"], [position("epoch")])
     return checkpointed(
         placed.select(F.col("user_id").alias("run_id"), "epoch", F.col("event_type").alias("kind"), "value")
     )

@@ -77,12 +77,14 @@ def parse_log(df: DataFrame, line: str = "value") -> DataFrame:
     whole, durations = ("epoch", "epochs"), ("seconds", "total_seconds")
     numbers = ("loss", "precision", "recall", "f1")
     split = df.withColumn("kind", kind).withColumn("__groups", groups)
-    return (
-        split.withColumns({c: found(c) for c in (*whole, *durations, *numbers)})
-        .withColumns({c: F.col(c).try_cast("int") for c in whole})
-        .withColumns({c: duration_seconds(c) for c in durations})
-        .withColumns({c: F.col(c).try_cast("double") for c in numbers})
-        .drop("__groups")
+    texts = split.select(*df.columns, "kind", *[found(c).alias(c) for c in (*whole, *durations, *numbers)])
+    return texts.select(
+        *df.columns,
+        "kind",
+        *[F.col(c).try_cast("int").alias(c) for c in whole],
+        F.col("loss").try_cast("double").alias("loss"),
+        *[duration_seconds(c).alias(c) for c in durations],
+        *[F.col(c).try_cast("double").alias(c) for c in numbers if c != "loss"],
     )
 
 
