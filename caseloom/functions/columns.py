@@ -35,8 +35,7 @@ def na_to_null(c: Column | str) -> Column:
 
 
 def nan_to_null(c: Column | str) -> Column:
-    c = as_column(c).cast("double")
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(as_column(c).cast("double"), F.lit(None).cast("double"))
 
 
 # --- labels and classes ---------------------------------------------------

@@ -6,7 +6,7 @@ projection as one scalar subquery, so the wide table is never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,52 +36,54 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _line(y: Column, x: Column) -> Column:
-    """Struct of slope, intercept, control mean and pair counts for one fit.
+def fit_lines(
+    df: DataFrame, targets: Sequence[str], control: str, group_by: Sequence[str] = ()
+) -> DataFrame:
+    """Straight lines of every target on ``control``: one row per group and target.
 
-    Pairs with a missing side are left out. A constant control gives slope 0 and
-    the mean as intercept.
+    Pairs with a missing side are left out and counted. A constant control gives
+    slope 0 and the mean as intercept. Targets are unfolded into rows, so that
+    forty columns cost one short aggregate and still one scan.
     """
-    y, x = nan_to_null(y), nan_to_null(x)
-    pairs = F.regr_count(y, x)
-    return F.struct(
-        F.when(pairs > 0, F.coalesce(F.regr_slope(y, x), F.lit(0.0))).alias("slope"),
-        F.coalesce(F.regr_intercept(y, x), F.regr_avgy(y, x)).alias("intercept"),
+    unfolded = df.select(
+        *[_quoted(g) for g in group_by],
+        nan_to_null(_quoted(control)).alias("__x"),
+        F.posexplode(F.array(*[nan_to_null(_quoted(t)) for t in targets])).alias("__target", "__y"),
+    )
+    y, x = F.col("__y"), F.col("__x")
+    sums = unfolded.groupBy(*group_by, "__target").agg(
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_avgy(y, x).alias("y_mean"),
+        F.regr_avgx(y, x).alias("x_mean"),
         F.avg(x).alias("control_mean"),
-        pairs.alias("pairs"),
-        (F.count("*") - pairs).alias("dropped"),
+        F.regr_count(y, x).alias("pairs"),
+        F.count("*").alias("rows"),
     )
-
-
-def fit_lines(
-    df: DataFrame, targets: Sequence[str], control: str, group_by: Sequence[str] = ()
-) -> DataFrame:
-    """One row (per group) with a struct column per target, fitted on ``control``."""
-    return df.groupBy(*group_by).agg(
-        *[_line(_quoted(t), _quoted(control)).alias(t) for t in targets]
+    slope = F.when(F.col("pairs") > 0, F.coalesce(F.col("slope"), F.lit(0.0)))
+    return sums.select(
+        *[_quoted(g) for g in group_by],
+        F.array(*[F.lit(t) for t in targets])[F.col("__target")].alias("target"),
+        slope.alias("slope"),
+        (F.col("y_mean") - slope * F.col("x_mean")).alias("intercept"),
+        "control_mean",
+        "pairs",
+        (F.col("rows") - F.col("pairs")).alias("dropped"),
     )
 
 
-def line_table(fits: DataFrame, targets: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
-    """Long form of :func:`fit_lines`: one row per group and target."""
-    return fits.select(
-        *group_by,
-        F.explode(
-            F.array(*[F.struct(F.lit(t).alias("target"), _quoted(t).alias("fit")) for t in targets])
-        ).alias("row"),
-    ).select(*group_by, "row.target", "row.fit.*")
-
-
 def _with_fits(
     df: DataFrame, fits: DataFrame, targets: Sequence[str], group_by: Sequence[str]
-) -> tuple[DataFrame, Column, list[str]]:
+) -> tuple[DataFrame, Column]:
     """``df`` next to its coefficients: a scalar subquery, or a join by group."""
-    packed = F.struct(*[_quoted(t) for t in targets]).alias("__fit")
+    line = F.struct("target", F.struct("slope", "intercept", "control_mean"))
+    by_target = F.map_from_entries(F.collect_list(line)).alias("lines")  # one entry per target
+    packed = F.struct(*[F.col("lines")[t].alias(t) for t in targets]).alias("__fit")
     if not group_by:
-        return df, fits.select(packed).scalar(), df.columns
-    stored = checkpointed(fits.select(*[F.col(g).alias(f"__g_{g}") for g in group_by], packed))
+        return df, fits.agg(by_target).select(packed).scalar()
+    renamed = [_quoted(g).alias(f"__g_{g}") for g in group_by]
+    stored = checkpointed(fits.groupBy(*renamed).agg(by_target).select(*[f"`__g_{g}`" for g in group_by], packed))
     same = [_quoted(g).eqNullSafe(F.col(f"`__g_{g}`")) for g in group_by]
-    return df.join(broadcast_if_small(stored), same, "left"), F.col("__fit"), df.columns
+    return df.join(broadcast_if_small(stored), same, "left"), F.col("__fit")
 
 
 def _replace(
@@ -90,20 +92,20 @@ def _replace(
     control: str,
     group_by: Sequence[str],
     fits: DataFrame | None,
-    formula,
+    formula: Callable[[Column, Column, Column], Column],
     digits: int | None,
 ) -> DataFrame:
     fits = fits if fits is not None else fit_lines(df, targets, control, group_by)
-    joined, fit, columns = _with_fits(df, fits, targets, group_by)
+    joined, fit = _with_fits(df, fits, targets, group_by)
     wanted = set(targets)
 
     def value(name: str) -> Column:
         if name not in wanted:
             return _quoted(name)
-        new = formula(nan_to_null(_quoted(name)), nan_to_null(_quoted(control)), fit.getField(name))
-        return (new if digits is None else round_half_even(new, digits)).alias(name)
+        new = formula(_quoted(name).cast("double"), _quoted(control).cast("double"), fit.getField(name))
+        return nan_to_null(new if digits is None else round_half_even(new, digits)).alias(name)
 
-    return joined.select(*[value(c) for c in columns])
+    return joined.select(*[value(c) for c in df.columns])
 
 
 def residual(

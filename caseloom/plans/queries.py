@@ -210,8 +210,7 @@ SELECT l_returnflag, target, round(regr_slope(y, x), 6) + 0.0::DOUBLE AS slope,
 FROM long GROUP BY l_returnflag, target""")
 def ols_fit(spark, folder):
     rows = _lineitem(spark, folder, "l_returnflag", "l_quantity", *FIT_TARGETS)
-    fits = regression.fit_lines(rows, FIT_TARGETS, "l_quantity", ["l_returnflag"])
-    return regression.line_table(fits, FIT_TARGETS, ["l_returnflag"]).select(
+    return regression.fit_lines(rows, FIT_TARGETS, "l_quantity", ["l_returnflag"]).select(
         "l_returnflag",
         "target",
         *_rounded(6, slope=F.col("slope")),

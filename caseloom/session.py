@@ -22,6 +22,8 @@ def build_session(app: str = "caseloom", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # longer generated methods are not compiled to machine code by the JVM
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{key.replace("__", "."): value for key, value in conf.items()},
