@@ -73,17 +73,21 @@ def fit_lines(
 
 def _with_fits(
     df: DataFrame, fits: DataFrame, targets: Sequence[str], group_by: Sequence[str]
-) -> tuple[DataFrame, Column]:
-    """``df`` next to its coefficients: a scalar subquery, or a join by group."""
+) -> DataFrame:
+    """``df`` with its coefficients in ``__fit``: a scalar subquery, or a join by group.
+
+    A named column holds the subquery, so that the plan contains it once however
+    many targets read it.
+    """
     line = F.struct("target", F.struct("slope", "intercept", "control_mean"))
     by_target = F.map_from_entries(F.collect_list(line)).alias("lines")  # one entry per target
     packed = F.struct(*[F.col("lines")[t].alias(t) for t in targets]).alias("__fit")
     if not group_by:
-        return df, fits.agg(by_target).select(packed).scalar()
+        return df.withColumn("__fit", fits.agg(by_target).select(packed).scalar())
     renamed = [_quoted(g).alias(f"__g_{g}") for g in group_by]
     stored = checkpointed(fits.groupBy(*renamed).agg(by_target).select(*[f"`__g_{g}`" for g in group_by], packed))
     same = [_quoted(g).eqNullSafe(F.col(f"`__g_{g}`")) for g in group_by]
-    return df.join(broadcast_if_small(stored), same, "left"), F.col("__fit")
+    return df.join(broadcast_if_small(stored), same, "left")
 
 
 def _replace(
@@ -96,7 +100,7 @@ def _replace(
     digits: int | None,
 ) -> DataFrame:
     fits = fits if fits is not None else fit_lines(df, targets, control, group_by)
-    joined, fit = _with_fits(df, fits, targets, group_by)
+    joined, fit = _with_fits(df, fits, targets, group_by), F.col("__fit")
     wanted = set(targets)
 
     def value(name: str) -> Column:

@@ -84,10 +84,9 @@ def exact_split(
         )
         .scalar()
     )
-    return df.withColumn(
-        name,
-        F.when(key <= ends["train"], "train").when(key <= ends["val"], "val").otherwise("test"),
-    )
+    held = df.withColumn("__ends", ends)
+    in_train, in_val = key <= F.col("__ends")["train"], key <= F.col("__ends")["val"]
+    return held.withColumn(name, F.when(in_train, "train").when(in_val, "val").otherwise("test")).drop("__ends")
 
 
 def hash_split(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions.columns import as_column, unit_interval
+from caseloom.functions.columns import unit_interval
 from caseloom.operators.scan import Running, running, with_value_segments
 
 # The default search space.
@@ -69,25 +69,24 @@ def param_slice(trials: DataFrame, params: Sequence[str], keep: Sequence[str]) -
     return numbers.unpivot(list(keep), list(params), "param", "param_value")
 
 
-def _ranges(trials: DataFrame, columns: Sequence[str]) -> Column:
-    """Minimum and maximum of each column, as one scalar subquery."""
+def _with_ranges(trials: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add the minimum and maximum of each column, found by one scalar subquery."""
     bounds = [
         F.struct(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c)
         for c in columns
     ]
-    return trials.agg(F.struct(*bounds).alias("ranges")).scalar()
+    return trials.withColumn("__ranges", trials.agg(F.struct(*bounds).alias("ranges")).scalar())
 
 
-def _scaled(column: Column | str, bounds: Column) -> Column:
+def _scaled(column: str) -> Column:
+    bounds, value = F.col("__ranges")[column], F.col(column)
     width = bounds["high"] - bounds["low"]
-    value = as_column(column)
     return F.when(value.isNotNull(), F.when(width > 0, (value - bounds["low"]) / width).otherwise(0.0))
 
 
 def param_scaled(trials: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns scaled to [0, 1] over the whole table; a constant one becomes 0."""
-    ranges = _ranges(trials, columns)
-    return trials.withColumns({c: _scaled(c, ranges[c]) for c in columns})
+    return _with_ranges(trials, columns).withColumns({c: _scaled(c) for c in columns}).drop("__ranges")
 
 
 def param_importance(trials: DataFrame, params: Sequence[str], value: str, bins: int = 10) -> DataFrame:
@@ -95,11 +94,10 @@ def param_importance(trials: DataFrame, params: Sequence[str], value: str, bins:
 
     A simple measure: it ranks parameters one at a time, without interactions.
     """
-    ranges = _ranges(trials, params)
-    known = trials.where(F.col(value).isNotNull())
+    known = _with_ranges(trials, params).where(F.col(value).isNotNull())
     binned = known.select(
         F.col(value).cast("double").alias("y"),
-        *[F.least(F.floor(_scaled(p, ranges[p]) * bins), F.lit(bins - 1)).alias(p) for p in params],
+        *[F.least(F.floor(_scaled(p) * bins), F.lit(bins - 1)).alias(p) for p in params],
     ).unpivot(["y"], list(params), "param", "bin")
     per_bin = (
         binned.where(F.col("bin").isNotNull())
