@@ -198,22 +198,30 @@ def _doubled_chain(
 
 
 def _last_improvement(
-    checks: DataFrame, better: DataFrame, run: str, epoch: str, extra: Sequence[str] = ()
+    checks: DataFrame, better: DataFrame, run: str, epoch: str, rising: Sequence[str] = ()
 ) -> DataFrame:
-    """Add the latest improvement of each check (``last``) and the checks since then (``waited``)."""
+    """Add number, epoch and loss of the latest improvement, and the checks since then (``waited``).
+
+    Along a run's improvements the loss falls and the rest (also the ``rising``
+    columns of ``better``) never does, so the latest values are a minimum and maxima.
+    """
     at = better.select(
-        run, epoch, F.struct("check", F.col(epoch).alias("epoch"), "loss", *extra).alias("__at")
-    )
-    scanned = running(
-        checks.join(at, [run, epoch], "left"),
-        [run],
-        [epoch],
-        [Running("last", "max", F.col("__at"))],
-        step_segment(epoch),
+        run,
+        epoch,
+        F.col("check").alias("__check"),
+        F.col("loss").alias("__loss"),
+        *[F.col(c).alias(f"__{c}") for c in rising],
     )
+    latest = [
+        Running("last_check", "max", F.col("__check")),
+        Running("last_epoch", "max", F.when(F.col("__check").isNotNull(), F.col(epoch))),
+        Running("last_loss", "min", F.col("__loss")),
+        *[Running(f"last_{c}", "max", F.col(f"__{c}")) for c in rising],
+    ]
+    scanned = running(checks.join(at, [run, epoch], "left"), [run], [epoch], latest, step_segment(epoch))
     return scanned.withColumns(
-        {"improved": F.col("__at").isNotNull(), "waited": F.col("check") - F.col("last.check")}
-    ).drop("__at")
+        {"improved": F.col("__check").isNotNull(), "waited": F.col("check") - F.col("last_check")}
+    ).drop("__check", "__loss", *[f"__{c}" for c in rising])
 
 
 def patience_counter(
@@ -240,20 +248,17 @@ def early_stop(
 ) -> DataFrame:
     """Per run the epoch that stops training (null: none) and the best one by then."""
     counted = patience_counter(history, loss, run, epoch, min_delta)
-    here = F.struct(
-        F.col(epoch).alias("epoch"),
-        F.col("last.epoch").alias("best_epoch"),
-        F.col("last.loss").alias("best_loss"),
-    )
-    ends = counted.groupBy(run).agg(
-        F.min(F.when(F.col("waited") >= patience, here)).alias("stop"), F.max(here).alias("end")
-    )
-    known = F.coalesce("stop", "end")
-    return ends.select(
-        run,
-        F.col("stop.epoch").alias("stop_epoch"),
-        known["best_epoch"].alias("best_epoch"),
-        known["best_loss"].alias("best_loss"),
+    due = F.when(F.col("waited") >= patience, F.col(epoch))
+    stopped = F.min(due)
+
+    def then(value: str) -> Column:
+        """The value at the stop, or at the last check of a run that never stops."""
+        return F.when(stopped.isNotNull(), F.min_by(value, due)).otherwise(F.max_by(value, epoch))
+
+    return counted.groupBy(run).agg(
+        stopped.alias("stop_epoch"),
+        then("last_epoch").alias("best_epoch"),
+        then("last_loss").alias("best_loss"),
     )
 
 
@@ -284,7 +289,7 @@ def lr_plateau(
     closed = F.floor((F.col("check") - F.col("prev") - 1) / (patience + 1))
     summed = running(since, [run], ["check"], [Running("closed", "sum", F.coalesce(closed, F.lit(0)))], by_check)
     scanned = _last_improvement(checks, summed, run, epoch, ["closed"])
-    cuts = F.col("last.closed") + F.floor(F.col("waited") / (patience + 1))
+    cuts = F.col("last_closed") + F.floor(F.col("waited") / (patience + 1))
     rates = [lr]  # one entry per cut that takes effect
     while rates[-1] - max(rates[-1] * factor, min_lr) > eps:
         rates.append(max(rates[-1] * factor, min_lr))
