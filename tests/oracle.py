@@ -41,7 +41,7 @@ def compare(spark, con, folder: str, name: str) -> str | None:
     sql = driver.oracle_sql().get(name)
     if sql is None:
         return None if rows else "no rows"
-    wanted_schema, wanted = _content(con.execute(sql).to_arrow_table())
+    wanted_schema, wanted = _content(con.sql(sql).to_arrow_table())
     if schema != wanted_schema:
         return f"schema {schema} instead of {wanted_schema}"
     if len(rows) != len(wanted):
