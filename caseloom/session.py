@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,51 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below ``spark.checkpoint.dir``, as a URI.
+
+    All executors see it. Only a local master, where driver and tasks share one
+    disk, falls back to a temporary folder when the setting is absent. What lies
+    in the folder is removed when the driver's Python ends.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            base = tempfile.mkdtemp(prefix="caseloom-")
+        base = base if "://" in base or base.startswith("file:") else f"file://{base}"
+        _FOLDERS[context.applicationId] = f"{base.rstrip('/')}/caseloom-{context.applicationId}"
+        atexit.register(_remove, _FOLDERS[context.applicationId])
+    return _FOLDERS[context.applicationId]
+
+
+def _remove(folder: str) -> None:
+    system, path = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An unused name below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it from there.
+
+    Cuts the lineage like a checkpoint, but keeps column pruning, filters and
+    size statistics for what follows.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark an already stored ``df`` for broadcast when its counted size allows it.
 
