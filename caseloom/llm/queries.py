@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bands, pieces, tokenfile
+from caseloom.llm import bands, jaccard, pieces, tokenfile
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.encode_to_files(table(spark, folder, "documents"), path, end_id=2)
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose word shingles are similar."""
+    return jaccard.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Base rule and compression bands for every text."""
     return bands.quality_rules(table(spark, folder, "documents"))
@@ -36,9 +41,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op6_token_files,
+        op7_ngram_jaccard,
         op9_compression_bands,
         op10_sentencepiece,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_ngram_jaccard": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, s FROM (
+                SELECT doc_id, unnest(CASE
+                    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM texts)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * c >= 80 * (p.n + q.n - c)
+        ), edges AS (
+            SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION
+            SELECT r.doc_id, e.y FROM reach r JOIN edges e ON r.other = e.x
+        )
+        SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
+        FROM documents d JOIN reach r USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROUP BY d.doc_id
+    """,
+}
