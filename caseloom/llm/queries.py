@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bands, jaccard, pieces, tokenfile
+from caseloom.llm import bands, jaccard, pieces, substrings, tokenfile
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every text without passages of 20 words that start earlier."""
+    return substrings.remove_repeats(table(spark, folder, "documents"), texts=False)
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level ids of all texts, written as addressable files and read back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +45,7 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_substring_dedup,
         op6_token_files,
         op7_ngram_jaccard,
         op9_compression_bands,
@@ -48,6 +54,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts WHERE len(w) >= 20
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS s FROM starts
+        ), ranked AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1
+        ), lists AS (
+            SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(coalesce(k, '')) AS kept_sha256
+        FROM texts t LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op7_ngram_jaccard": r"""
         WITH RECURSIVE texts AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
