@@ -8,18 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bands, jaccard, pieces, substrings, tokenfile
+from caseloom.llm import bands, decontaminate, jaccard, langid, pieces, samples, substrings, tokenfile, toxicity
+from caseloom.llm.arrow import crc_mod
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best match of each."""
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What stays of every text without passages of 20 words that start earlier."""
     return substrings.remove_repeats(table(spark, folder, "documents"), texts=False)
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    fold = crc_mod(F.col("doc_id"), 5)
+    found = langid.predict(docs, langid.learn(docs.where(fold != 0).select("text", "lang")))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels that are not held out."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = crc_mod(F.col("doc_id"), 5)
+    found = toxicity.score(docs, toxicity.learn(samples.labelled_texts(docs, labels, "toxic", fold != 0)))
+    return found.withColumn("held_out", fold == 0).select("doc_id", "held_out", "score", "predicted", *toxicity.FEATURES)
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level ids of all texts, written as addressable files and read back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,7 +67,10 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_benchmark_decontamination,
         op3_substring_dedup,
+        op4_language_id,
+        op5_toxicity,
         op6_token_files,
         op7_ngram_jaccard,
         op9_compression_bands,

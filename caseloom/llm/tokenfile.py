@@ -40,6 +40,7 @@ from caseloom.session import new_folder, stored
 MAGIC = b"CLDAC1\0\0"
 BLOCK = 512  # bits of a bitmap between two entries of its rank directory
 FILE_TOKENS = 4 << 20
+READ_TASKS = 20_000
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray) -> bytes:
@@ -301,7 +302,8 @@ def read_tokens(files: DataFrame, folder: str, arrays: bool = False) -> DataFram
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * arrays]
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * arrays
-    return placed.select("path", "start").repartition(F.col("path")).mapInArrow(read, schema)
+    tasks = max(1, min(files.count(), READ_TASKS))  # a row is a whole file: small rows, much work
+    return placed.select("path", "start").repartition(tasks, "path").mapInArrow(read, schema)
 
 
 def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
