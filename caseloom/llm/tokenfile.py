@@ -239,7 +239,7 @@ def write_tokens(
             starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             path = f"{base}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.dac"
             system.create_dir(base, recursive=True)
-            with system.open_output_stream(path) as out:
+            with system.open_output_stream(path, compression=None) as out:
                 out.write(pack(np.concatenate(ids), doc_ids, starts))
             row = [part], [number], [path], [len(doc_ids)], [int(starts[-1])]
             number += 1
