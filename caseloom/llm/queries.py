@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bands, decontaminate, jaccard, langid, pieces, samples, substrings, tokenfile, toxicity
+from caseloom.llm import bands, decontaminate, jaccard, langid, pieces, quality, samples, substrings, tokenfile
+from caseloom.llm import toxicity, warc
 from caseloom.llm.arrow import crc_mod
 
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC records in seekable bundles, read back."""
+    return warc.archive(table(spark, folder, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, with the best match of each."""
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -53,6 +59,15 @@ def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text, learned from the labels that are not held out."""
+    fold = crc_mod(F.col("doc_id"), 4)
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = quality.quality_scores(docs, labels, fold != 2)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return found.select("doc_id", (fold == 2).alias("held_out"), "score", predicted)
+
+
 def op9_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Base rule and compression bands for every text."""
     return bands.quality_rules(table(spark, folder, "documents"))
@@ -67,18 +82,34 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_bundles,
         op2_benchmark_decontamination,
         op3_substring_dedup,
         op4_language_id,
         op5_toxicity,
         op6_token_files,
         op7_ngram_jaccard,
+        op8_quality_classifier,
         op9_compression_bands,
         op10_sentencepiece,
     )
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_bundles": """
+        WITH digests AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+        ), last AS (
+            SELECT *, max(page_id) OVER (PARTITION BY html) AS response FROM digests
+        )
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                (('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::INT // (1 << (15 - 5 * (i % 4))::INT)) % 32 + 1, 1)), '')
+                AS payload_digest,
+            CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+        FROM last
+    """,
     "op3_substring_dedup": r"""
         WITH texts AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -27,6 +27,7 @@ CANDIDATES = 20_000  # terms whose counts are compared, at most
 LEAST_DOCUMENTS = 4  # toxic documents that hold a term, at least
 LEAST_ODDS = 8.0  # how much likelier a term is in toxic documents, at least
 LEAST_GAIN = 14.0  # log likelihood gained by a term's own share of toxic documents, at least
+ORDINARY_SHARE = 0.001  # of other documents with a term's misspellings: it gets no edits then
 PREFIXES = range(4, 8)  # lengths of beginnings that may become terms
 WINDOW = 8  # words of context on each side
 _WORD = re.compile(r"\w+")
@@ -49,6 +50,10 @@ def allowed_edits(term: str) -> int:
 class Lexicon:
     words: tuple[str, ...]
     beginnings: tuple[str, ...]
+    exact_only: frozenset[str] = frozenset()  # words whose neighbours are ordinary words
+
+    def edits(self, word: str) -> int:
+        return 0 if word in self.exact_only else allowed_edits(word)
 
 
 @dataclass
@@ -69,8 +74,8 @@ class Automaton:
     def __init__(self, lexicon: Lexicon):
         self.nodes = [_Node()]
         for word in lexicon.words:
-            node = self._path(word, allowed_edits(word))
-            node.edits = allowed_edits(word)
+            node = self._path(word, lexicon.edits(word))
+            node.edits = lexicon.edits(word)
         for word in lexicon.beginnings:
             self._path(word, 0).beginning = True
         self.states: list[dict[int, int]] = []
@@ -227,6 +232,40 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(tuple(words[: TERMS - len(beginnings[:TERMS])]), tuple(beginnings[:TERMS]))
 
 
+def _within(word: str, term: str, edits: int) -> bool:
+    """Whether the distance of two words is at most ``edits``."""
+    row = list(range(len(term) + 1))
+    for i, c in enumerate(word, 1):
+        last, row = row, [i]
+        for j, d in enumerate(term, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (c != d)))
+    return row[-1] <= edits
+
+
+def drop_ordinary_neighbours(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """Allow no edits to words whose misspellings the documents that are not toxic hold, too."""
+    sent = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        automaton, counts = Automaton(sent.value), Counter()
+        w = arrow.words(batch.column("text"))
+        pairs = np.unique(w.ids * np.int64(len(w.bounds)) + w.doc) // len(w.bounds)
+        documents = np.bincount(pairs, minlength=len(w.unique)).tolist()
+        for n, cores in zip(documents, _cores(w.unique)):
+            for core in cores:
+                if automaton(core) == MISSPELLED:
+                    counts.update({t: n for t in sent.value.words if _within(core, t, sent.value.edits(t))})
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
+        )
+
+    clean = sample.where("label = 0")
+    least = max(2, clean.count() * ORDINARY_SHARE)
+    found = clean.select("text").mapInArrow(arrow.per_slice(rows), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    ordinary = frozenset(r.term for r in found.where(F.col("n") >= least).collect())
+    return Lexicon(lexicon.words, lexicon.beginnings, ordinary)
+
+
 FEATURES = ("exact", "misspelled", "quoted", "aimed", "density")
 
 
@@ -305,7 +344,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def learn(sample: DataFrame) -> Model:
     """Lexicon and weights from a bounded sample with columns doc_id, text and label."""
     sample = stored(sample, "labelled")
-    lexicon = learn_lexicon(sample)
+    lexicon = drop_ordinary_neighbours(sample, learn_lexicon(sample))
     sent = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
