@@ -14,6 +14,7 @@ components are compared further. No link between different components is lost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -256,8 +257,13 @@ def overlap_bound(x: np.ndarray, m: int, y: np.ndarray, n: int) -> int:
     return min(m - only_x, n - only_y)
 
 
-def _bodies(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Bitmap and sorted array of every wanted set, once: set, size, bits, items.
+def _sets_of(pairs: DataFrame) -> DataFrame:
+    both = pairs.select(F.col("a").alias("set"), F.col("m").alias("size")).union(pairs.select("b", "n"))
+    return both.distinct()
+
+
+def _bodies(docs: DataFrame, wanted: DataFrame, size: int, body: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """The body of every wanted set, once: set, size, body.
 
     The wanted numbers, while small enough to broadcast, keep other sets from leaving
     their task; the join decides in any case.
@@ -278,29 +284,22 @@ def _bodies(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         which = [i for i in one.tolist() if use[i]]
         if not which:
             return None
-        parts = [sets.values[sets.bounds[i] : sets.bounds[i + 1]] for i in which]
-        bits = signature_bits(sets.sizes[which])
+        parts = [body(sets.values[sets.bounds[i] : sets.bounds[i + 1]]) for i in which]
         return pa.RecordBatch.from_arrays(
-            [
-                _signed(sets.digest[which]),
-                pa.array(sets.sizes[which].astype(np.int32)),
-                pa.array([bitmap(v, b).tobytes() for v, b in zip(parts, bits.tolist())], pa.binary()),
-                pa.array([v.tobytes() for v in parts], pa.binary()),
-            ],
-            ["set", "size", "bits", "items"],
+            [_signed(sets.digest[which]), pa.array(sets.sizes[which].astype(np.int32)), pa.array(parts, pa.binary())],
+            ["set", "size", "body"],
         )
 
-    found = docs.select("text").mapInArrow(arrow.per_slice(rows), "set bigint, size int, bits binary, items binary")
+    found = docs.select("text").mapInArrow(arrow.per_slice(rows), "set bigint, size int, body binary")
     match = (F.col("set") == F.col("wanted_set")) & (F.col("size") == F.col("wanted_size"))
     kept = found.join(names, match, "left_semi") if sent is None else found
-    once = kept.groupBy("set", "size").agg(F.first("bits").alias("bits"), F.first("items").alias("items"))
-    return stored(once, "bodies")
+    return stored(kept.groupBy("set", "size").agg(F.first("body").alias("body")), "bodies")
 
 
-def _with(pairs: DataFrame, bodies: DataFrame, column: str) -> DataFrame:
-    """Attach one column of both sets to each pair."""
+def _with(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Attach the bodies of both sets to each pair."""
     for name, count, to in (("a", "m", "x"), ("b", "n", "y")):
-        side = bodies.select(F.col("set").alias(name), F.col("size").alias(count), F.col(column).alias(to))
+        side = bodies.select(F.col("set").alias(name), F.col("size").alias(count), F.col("body").alias(to))
         pairs = pairs.join(side, [name, count])
     return pairs.select("a", "m", "b", "n", "x", "y")
 
@@ -310,17 +309,21 @@ def _needed(m: int, n: int, percent: int) -> int:
     return -(-percent * (m + n) // (100 + percent))
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Pairs that are similar enough: a, m, b, n."""
+def _checked(pairs: DataFrame, accept: Callable[[int, int, bytes, bytes], bool]) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("m", "n", "x", "y")]
+            keep = [accept(*row) for row in zip(*columns)]
+            yield batch.select(["a", "m", "b", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    return stored(pairs.mapInArrow(run, "a bigint, m int, b bigint, n int"), "checked")
 
-    def checked(accept):
-        def run(batches):
-            for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("m", "n", "x", "y")]
-                keep = [accept(m, n, x, y) for m, n, x, y in zip(*columns)]
-                yield batch.select(["a", "m", "b", "n"]).filter(pa.array(keep, pa.bool_()))
 
-        return run
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs that are similar enough: a, m, b, n. Bitmaps first; arrays only of what is left."""
+
+    def packed(values: np.ndarray) -> bytes:
+        return bitmap(values, int(signature_bits(np.array([len(values)]))[0])).tobytes()
 
     def by_bits(m, n, x, y):
         bound = overlap_bound(np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8), n)
@@ -330,9 +333,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
         x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
         return int(_contains(y, x).sum()) >= _needed(m, n, percent)
 
-    schema = "a bigint, m int, b bigint, n int"
-    likely = _with(pairs, bodies, "bits").mapInArrow(checked(by_bits), schema)
-    return _with(likely, bodies, "items").mapInArrow(checked(by_items), schema)
+    likely = _checked(_with(pairs, _bodies(docs, stored(_sets_of(pairs), "wanted"), size, packed)), by_bits)
+    return _checked(_with(likely, _bodies(docs, stored(_sets_of(likely), "wanted"), size, np.ndarray.tobytes)), by_items)
 
 
 def _node(set_name: str, size_name: str):
@@ -359,19 +361,13 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Dat
     tiles = _tiles(_dealt(docs, size, percent, common, buckets), percent)
     pairs = stored(tiles.where("tile IS NULL").select("a", "m", "b", "n").distinct(), "pairs")
     large = tiles.where("tile IS NOT NULL").select("tile", F.col("a").alias("set"), F.col("m").alias("size"))
-    wanted = (
-        pairs.select(F.col("a").alias("set"), F.col("m").alias("size"))
-        .union(pairs.select("b", "n"))
-        .union(large.select("set", "size"))
-        .distinct()
-    )
-    bodies = _bodies(docs, stored(wanted, "wanted"), size)
-    links = stored(_verified(pairs, bodies, percent), "links")
+    links = _verified(docs, pairs, size, percent)
     labels = stored(components(_edges(links)), "labels")
     if not large.isEmpty():
-        more = _verified(_across(large, labels, percent), bodies, percent)
-        links = stored(links.union(more), "links")
-        labels = stored(components(_edges(links)), "labels")
+        further = stored(_across(large, labels, percent), "pairs")
+        if not further.isEmpty():
+            links = stored(links.union(_verified(docs, further, size, percent)), "links")
+            labels = stored(components(_edges(links)), "labels")
     return members, links, labels
 
 
