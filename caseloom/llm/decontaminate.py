@@ -169,6 +169,18 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_c
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """Ids of the documents that hold a benchmark item, once each."""
-    return matches(docs, items, rate).select("doc_id").distinct()
+def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that hold no item; as for ``matches``.
+
+    Null and empty texts stay. The blocks of items are searched one after the other.
+    """
+    for block in _blocks(items, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def rows(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            match = _matcher(sent.value, rate)
+            texts = batch.column("text").to_pylist()
+            return batch.filter(pa.array([not (t and match(normalised(t))) for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(arrow.per_slice(rows), docs.schema)
+    return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_compression_bands,
         op10_sentencepiece,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 SQL: dict[str, str] = {
     "op1_warc_bundles": """

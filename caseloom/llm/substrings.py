@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.llm import arrow
 
@@ -287,30 +288,30 @@ def _ranges(gone: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, int]]]
     return out
 
 
-def remove_repeats(
-    docs: DataFrame, min_words: int = 20, carried: tuple[str, ...] = (), texts: bool = True
-) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20, texts: bool = True) -> DataFrame:
     """Documents without the passages of ``min_words`` words or more that start earlier.
 
     Earlier means in a document with smaller doc_id, or before it in the same document.
-    Judged on the input, not on what is left. Returns doc_id, the ``carried`` columns,
-    n_words, n_removed, kept_sha256 (kept words joined by one blank), and with ``texts``
-    also text, kept, and ranges (removed word ranges, begin and end).
+    Judged on the input, not on what is left. Returns doc_id, n_words, n_removed,
+    kept_sha256 (kept words joined by one blank), and with ``texts`` also text, kept,
+    ranges (removed word ranges, begin and end) and row (a struct of all other columns).
 
     The texts are exchanged once, into groups of documents by a hash; both rounds and the
     result read this one exchange. Nothing is stored, so lost work is done again by Spark.
 
     A null or empty text has no words. A null doc_id comes before all others. Rows that
     share a doc_id are ordered by a hash of their content; rows equal in all used columns
-    are one document and all get its result. Other columns are ignored.
+    are one document and all get its result. Without ``texts`` other columns are ignored.
     """
+    if min_words < 8:
+        raise ValueError("min_words must be 8 or more")
     amount = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(16, amount // GROUP_BYTES)
-    # half-windows: one in about a quarter of min_words, 12 bytes each; suffixes: at most all
     buckets = max(8, amount // BUCKET_BYTES)
-    tie = F.xxhash64(F.coalesce("text", F.lit("")), *carried)
-    used = docs.select("doc_id", "text", *carried).withColumn("tie", tie)
-    dealt = used.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if texts else []
+    used = docs.select("doc_id", "text", *[F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")] * bool(others))
+    tie = F.xxhash64(F.coalesce("text", F.lit("")), *["row"] * bool(others))
+    dealt = used.withColumn("tie", tie).withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)))
     by_part = dealt.groupBy("part")
 
     anchors = by_part.applyInArrow(_anchor_records(min_words, buckets), "bucket int, part bigint, records binary")
@@ -319,9 +320,12 @@ def remove_repeats(
         _suffix_records(min_words, buckets), "bucket int, part bigint, owners binary, records binary, local binary"
     )
     repeats = suffixes.groupBy("bucket").applyInArrow(_repeats, "part bigint, places binary")
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ["doc_id", *carried])
-    schema += ", n_words bigint, n_removed bigint, kept_sha256 string"
+    schema = T.StructType([used.schema["doc_id"]])
+    if others:
+        schema.add(used.schema["row"])
+    schema.add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
     if texts:
-        schema += ", text string, kept string, ranges array<array<bigint>>"
-    return by_part.cogroup(repeats.groupBy("part")).applyInArrow(_results(min_words, list(carried), texts), schema)
+        ranges = T.ArrayType(T.ArrayType(T.LongType()))
+        schema.add("text", T.StringType()).add("kept", T.StringType()).add("ranges", ranges)
+    results = _results(min_words, ["row"] * bool(others), texts)
+    return by_part.cogroup(repeats.groupBy("part")).applyInArrow(results, schema)

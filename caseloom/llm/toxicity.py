@@ -29,6 +29,7 @@ LEAST_ODDS = 8.0  # how much likelier a term is in toxic documents, at least
 LEAST_GAIN = 14.0  # log likelihood gained by a term's own share of toxic documents, at least
 ORDINARY_SHARE = 0.001  # of other documents with a term's misspellings: it gets no edits then
 PREFIXES = range(4, 8)  # lengths of beginnings that may become terms
+LIMIT = 0.5  # texts that score so much are toxic
 WINDOW = 8  # words of context on each side
 _WORD = re.compile(r"\w+")
 # Marks and words that surround a quoted or an aimed term.
@@ -363,6 +364,10 @@ def learn(sample: DataFrame) -> Model:
     return Model(lexicon, tuple(_logistic(_inputs(counts[order]), label[order]).tolist()))
 
 
+def _scores(counts: np.ndarray, model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_inputs(counts) @ np.array(model.weights), -30, 30)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Toxicity of every document: doc_id, score (0 to 1), the hit counts, predicted.
 
@@ -374,13 +379,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "score", *FEATURES]
 
     def run(batches):
-        automaton, weights = Automaton(sent.value.lexicon), np.array(sent.value.weights)
+        automaton = Automaton(sent.value.lexicon)
         for batch in arrow.sliced(batches):
             counts = hit_counts(batch.column("text"), automaton)
-            p = 1 / (1 + np.exp(-np.clip(_inputs(counts) @ weights, -30, 30)))
-            columns = [batch.column("doc_id"), pa.array(p), *(pa.array(c) for c in counts.T.copy())]
+            columns = [batch.column("doc_id"), pa.array(_scores(counts, sent.value)), *(pa.array(c) for c in counts.T.copy())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, score double, " + ", ".join(f"{f} double" for f in FEATURES)
     scored = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text scores below LIMIT; as for ``score``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        automaton = Automaton(sent.value.lexicon)
+        for batch in arrow.sliced(batches):
+            counts = hit_counts(batch.column("text"), automaton)
+            yield batch.filter(pa.array(_scores(counts, sent.value) < LIMIT))
+
+    return docs.mapInArrow(run, docs.schema)
