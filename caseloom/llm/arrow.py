@@ -126,12 +126,9 @@ def window_hashes(hashes: np.ndarray, size: int, multiplier: np.uint64 = _MULTIP
 
 def window_starts(bounds: np.ndarray, size: int) -> np.ndarray:
     """Which of the windows of ``window_hashes`` lie inside one text."""
-    n = max(int(bounds[-1]) - size + 1, 0)
-    inside = np.ones(n + size, bool)
-    for j in range(1, size):  # windows that begin less than size words before a text's end
-        inside[np.maximum(bounds[1:] - j, 0)] = False
-    short = np.repeat(np.diff(bounds) < size, np.diff(bounds))
-    return inside[:n] & ~short[:n]
+    n = int(bounds[-1])
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)  # words from here to the text's end
+    return left[: max(n - size + 1, 0)] >= size
 
 
 def counts_between(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
