@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from caseloom.operators import runs, splitting
+from caseloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = {"batch_score", "embedding_match", "evaluate_summary", "median_prune"}
@@ -16,7 +16,7 @@ PYTHON_ALLOWED = {"batch_score", "embedding_match", "evaluate_summary", "median_
 def plans(spark):
     return {
         name: make(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-        for name, make in driver.queries().items()
+        for name, make in QUERIES.items()
     }
 
 
