@@ -33,6 +33,8 @@ LOCAL_COUNT = 4  # least count in a chunk that is passed on
 BROADCAST_TOKENS = 4 << 20  # 32 MB of common tokens, and of set numbers, at most
 BUCKET_BYTES = 16 << 20  # of tile entries in a group
 SMALL_TILE = 64
+BLOCK_SETS = 1024  # of a large tile in a block
+KNOWN_TILES = 64  # of a set's large tiles that tell where a pair was met before
 COMMON = 64  # tokens of more sets than this are put last
 
 
@@ -319,22 +321,29 @@ def _checked(pairs: DataFrame, accept: Callable[[int, int, bytes, bytes], bool])
     return stored(pairs.mapInArrow(run, "a bigint, m int, b bigint, n int"), "checked")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs that are similar enough: a, m, b, n. Bitmaps first; arrays only of what is left."""
+def _packed(values: np.ndarray) -> bytes:
+    return bitmap(values, int(signature_bits(np.array([len(values)]))[0])).tobytes()
 
-    def packed(values: np.ndarray) -> bytes:
-        return bitmap(values, int(signature_bits(np.array([len(values)]))[0])).tobytes()
 
-    def by_bits(m, n, x, y):
+def _likely(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps leave room for the needed overlap: a, m, b, n."""
+
+    def accept(m, n, x, y):
         bound = overlap_bound(np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8), n)
         return bound >= _needed(m, n, percent)
 
-    def by_items(m, n, x, y):
+    return _checked(_with(pairs, bitmaps), accept)
+
+
+def _verified(docs: DataFrame, likely: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs that are similar enough, by intersecting their arrays: a, m, b, n."""
+
+    def accept(m, n, x, y):
         x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
         return int(_contains(y, x).sum()) >= _needed(m, n, percent)
 
-    likely = _checked(_with(pairs, _bodies(docs, stored(_sets_of(pairs), "wanted"), size, packed)), by_bits)
-    return _checked(_with(likely, _bodies(docs, stored(_sets_of(likely), "wanted"), size, np.ndarray.tobytes)), by_items)
+    items = _bodies(docs, stored(_sets_of(likely), "wanted"), size, np.ndarray.tobytes)
+    return _checked(_with(likely, items), accept)
 
 
 def _node(set_name: str, size_name: str):
@@ -361,36 +370,94 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Dat
     tiles = _tiles(_dealt(docs, size, percent, common, buckets), percent)
     pairs = stored(tiles.where("tile IS NULL").select("a", "m", "b", "n").distinct(), "pairs")
     large = tiles.where("tile IS NOT NULL").select("tile", F.col("a").alias("set"), F.col("m").alias("size"))
-    links = _verified(docs, pairs, size, percent)
+    wanted = _sets_of(pairs).union(large.select("set", "size")).distinct()
+    bitmaps = _bodies(docs, stored(wanted, "wanted"), size, _packed)
+    links = _verified(docs, _likely(pairs, bitmaps, percent), size, percent)
     labels = stored(components(_edges(links)), "labels")
     if not large.isEmpty():
-        further = stored(_across(large, labels, percent), "pairs")
+        further = _across(large, labels, bitmaps, percent)
         if not further.isEmpty():
             links = stored(links.union(_verified(docs, further, size, percent)), "links")
             labels = stored(components(_edges(links)), "labels")
     return members, links, labels
 
 
-def _across(large: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large tiles whose sets are in different components and close in size.
+def _folded(bits: list[bytes], to: int) -> np.ndarray:
+    """Bitmaps of one width as rows of 64-bit words, folded to ``to`` bytes."""
+    rows = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+    while rows.shape[1] > to:
+        rows = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
+    return np.ascontiguousarray(rows).view(np.uint64)
 
-    The largest component of a tile meets only what is outside it.
+
+def _met(percent: int):
+    """Compares the sets of one block of a large tile with those of another, or its own."""
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = {c: group.column(c).to_pylist() for c in ("set", "size", "part_set", "part_size", "block", "bits", "tiles")}
+        first, second, tile = (group.column(c)[0].as_py() for c in ("first", "second", "tile"))
+        size = np.array(columns["size"], np.int64)
+        name = np.array(columns["set"], np.int64)
+        block = np.array(columns["block"], np.int64)
+        part = np.array(list(zip(columns["part_set"], columns["part_size"])), np.int64).reshape(-1, 2)
+        width = np.array([len(b) for b in columns["bits"]])
+        lists = [set(t) for t in columns["tiles"]]
+        out = []
+        for w in np.unique(width):
+            for v in (w, 2 * w):  # sizes close enough differ by one width at most
+                x = np.flatnonzero((width == w))
+                y = np.flatnonzero((width == v))
+                if not len(y):
+                    continue
+                here, there = (_folded([columns["bits"][i] for i in rows], int(w)) for rows in (x, y))
+                for i, bits in zip(x.tolist(), here):
+                    met = y[(y > i) | (w != v)]
+                    met = met[(first == second) | (block[met] != block[i])]
+                    met = met[100 * np.minimum(size[met], size[i]) >= percent * np.maximum(size[met], size[i])]
+                    met = met[(part[met] != part[i]).any(axis=1)]
+                    if not len(met):
+                        continue
+                    other = there[np.searchsorted(y, met)]
+                    alone = np.bitwise_count(bits & ~other).sum(axis=1, dtype=np.int64)
+                    others = np.bitwise_count(other & ~bits).sum(axis=1, dtype=np.int64)
+                    bound = np.minimum(size[i] - alone, size[met] - others)
+                    for j in met[bound >= -(-percent * (size[i] + size[met]) // (100 + percent))].tolist():
+                        # a pair leaves its tasks once: in the first tile it shares, where that is known
+                        both = lists[i] & lists[j]
+                        if tile not in both or tile == min(both):
+                            out.append((name[i], size[i], name[j], size[j]))
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        columns = list(zip(*out)) if out else [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "m", "b", "n"])
+
+    return run
+
+
+def _across(large: DataFrame, labels: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of large tiles whose sets are in different components.
+
+    A tile's sets are dealt to blocks by hash, and a task compares two blocks by their
+    bitmaps, so however large a tile is, no task holds more than two blocks of it and
+    only likely pairs become rows.
     """
     node = _node("set", "size")
     placed = large.join(labels.withColumnRenamed("node", "own"), node == F.col("own"), "left")
     placed = stored(placed.select("tile", "set", "size", F.coalesce("label", node).alias("part")), "placed")
-    parts = placed.groupBy("tile", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("tile").agg(F.max_by("part", "n").alias("main"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("tile", "main")
-    outside = placed.join(main, "tile").where(F.col("part") != F.col("main"))
-    x = outside.select("tile", F.col("set").alias("a"), F.col("size").alias("m"), F.col("part").alias("p"), "main")
-    y = placed.select("tile", F.col("set").alias("b"), F.col("size").alias("n"), F.col("part").alias("q"))
-    met = x.join(y, "tile").where(
-        (F.col("p") != F.col("q"))
-        & ((F.col("q") == F.col("main")) | (F.col("p") < F.col("q")))
-        & (100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
-    )
-    return met.select("a", "m", "b", "n").distinct()
+    tiles = placed.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")
+    ).where(F.col("low") != F.col("high"))
+    tiles = tiles.select("tile", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+    open_rows = placed.join(tiles, "tile")
+    lists = open_rows.groupBy("set", "size").agg(F.slice(F.sort_array(F.collect_list("tile")), 1, KNOWN_TILES).alias("tiles"))
+    rows = open_rows.join(lists, ["set", "size"]).join(bitmaps.withColumnRenamed("body", "bits"), ["set", "size"])
+    block = F.pmod(F.xxhash64("set", "size"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = rows.select(
+        "tile", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block",
+        "set", "size", F.col("part.set").alias("part_set"), F.col("part.size").alias("part_size"), "bits", "tiles",
+    )
+    met = keyed.groupBy("tile", "first", "second").applyInArrow(_met(percent), "a bigint, m int, b bigint, n int")
+    return stored(met.distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
