@@ -45,10 +45,6 @@ def zero_label(c: Column | str) -> Column:
     return F.when(as_column(c) == 0, 0).otherwise(1)
 
 
-def class_vector(c: Column | str) -> Column:
-    return as_column(c).cast("int")
-
-
 def class_decision(z0: Column | str, z1: Column | str) -> Column:
     return F.when(as_column(z1) > as_column(z0), 1).otherwise(0)
 

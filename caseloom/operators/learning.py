@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,8 +13,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param
 from pyspark.ml.tuning import TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,27 +25,50 @@ def vector_column(df: DataFrame, array: str, name: str = "features") -> DataFram
 
 
 def classifier(
-    inputs: Sequence[str], label: str = "cancer_risk", max_iter: int = 50, reg: float = 0.01
+    inputs: Sequence[str],
+    label: str = "cancer_risk",
+    max_iter: int = 50,
+    reg: float = 0.01,
+    tol: float = 1e-6,
 ) -> Pipeline:
-    """Assemble, scale and fit a two-class logistic regression; rows with gaps are skipped."""
+    """Assemble, scale and fit a two-class logistic regression.
+
+    Fit it on :func:`complete_rows`; :func:`decisions` keeps rows with gaps.
+    """
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(inputs), outputCol="__raw", handleInvalid="skip"),
+            VectorAssembler(inputCols=list(inputs), outputCol="__raw", handleInvalid="error"),
             StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True),
             LogisticRegression(
-                featuresCol="__scaled", labelCol=label, predictionCol="decision", maxIter=max_iter, regParam=reg
+                featuresCol="__scaled", labelCol=label, predictionCol="decision", maxIter=max_iter, regParam=reg,
+                tol=tol,
             ),
         ]
     )
 
 
+def _complete(df: DataFrame, columns: Sequence[str]) -> Column:
+    """No null in the columns, and no NaN in those that are numbers."""
+    kinds = dict(df.dtypes)
+    gaps = [F.col(f"`{c}`").isNull() | (F.isnan(f"`{c}`") if kinds[c] in ("double", "float") else F.lit(False)) for c in columns]
+    return ~reduce(or_, gaps)
+
+
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows to fit on."""
+    return df.where(_complete(df, columns))
+
+
 def decisions(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Decision and probability of class 1 for every scored row."""
-    return model.transform(df).select(
+    """Decision and probability of class 1 for every row; null where an input is missing."""
+    whole = _complete(df, model.stages[0].getInputCols())
+    scored = model.transform(df.where(whole)).select(
         *keep,
         F.col("decision").cast("int").alias("decision"),
         vector_to_array("probability")[1].alias("probability"),
     )
+    rest = df.where(~whole).select(*keep, F.lit(None).cast("int").alias("decision"), F.lit(None).cast("double").alias("probability"))
+    return scored.union(rest)
 
 
 def batch_score(
@@ -56,21 +83,30 @@ def batch_score(
     """Run a predictor over batches on the executors.
 
     ``predict`` gets the input columns of up to ``batch_size`` rows. When it
-    raises, the rows of that batch get a null prediction and are marked failed.
+    raises, the rows of that batch get a null prediction, are marked failed, and
+    ``error`` says why.
     """
     table = df.select(*keep, *[c for c in inputs if c not in keep])
-    schema = table.select(*keep, F.lit(None).cast(result_type).alias(name), F.lit(False).alias("failed")).schema
+    schema = table.select(*keep, F.lit(None).cast(result_type).alias(name), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("error")).schema
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            values, errors = [], []
             for start in range(0, len(frame), batch_size):
                 batch = frame.iloc[start : start + batch_size]
-                out = batch[list(keep)].copy()
                 try:
-                    out[name], out["failed"] = list(predict(batch[list(inputs)])), False
-                except Exception:
-                    out[name], out["failed"] = None, True
-                yield out
+                    found, error = list(predict(batch[list(inputs)])), None
+                    if len(found) != len(batch):
+                        raise ValueError(f"{len(found)} predictions for {len(batch)} rows")
+                except Exception as reason:  # the batch is marked, the others go on
+                    found, error = [None] * len(batch), f"{type(reason).__name__}: {reason}"
+                values += found
+                errors += [error] * len(batch)
+            out = frame[list(keep)].copy()
+            out[name] = pd.Series(values, index=out.index)
+            out["failed"] = [e is not None for e in errors]
+            out["error"] = pd.Series(errors, index=out.index, dtype=object)
+            yield out
 
     return table.mapInPandas(score, schema)
 
@@ -109,10 +145,37 @@ def search(
         seed=seed,
     ).fit(df)
     sign = -1.0 if evaluator.isLargerBetter() else 1.0
-    names = sorted({p.name for params in grid for p in params})
+    # a parameter is named by its stage as well when two stages have one of that name
+    params = sorted({p for point in grid for p in point}, key=lambda p: (p.name, p.parent))
+    shared = Counter(p.name for p in params)
+    names = [p.name if shared[p.name] == 1 else f"{p.parent.rpartition('_')[0]}_{p.name}" for p in params]
+    columns = [[point.get(p) for point in grid] for p in params]
+    types = [_type_of(c) for c in columns]
     records = [
-        (trial, *[float({p.name: v for p, v in params.items()}.get(n, float("nan"))) for n in names], sign * metric)
-        for trial, (params, metric) in enumerate(zip(grid, tuned.validationMetrics))
+        (trial, *[None if c[trial] is None else t[1](c[trial]) for c, t in zip(columns, types)], sign * metric)
+        for trial, metric in enumerate(tuned.validationMetrics)
     ]
-    schema = "trial int, " + "".join(f"`{n}` double, " for n in names) + "value double"
+    schema = "trial int, " + "".join(f"`{n}` {t[0]}, " for n, t in zip(names, types)) + "value double"
     return df.sparkSession.createDataFrame(records, schema), tuned.bestModel
+
+
+def _type_of(values: Sequence) -> tuple[str, Callable]:
+    """Column type and conversion for a parameter's values; absent ones are null."""
+    known = [v for v in values if v is not None]
+    if all(isinstance(v, bool) for v in known):
+        return "boolean", bool
+    if all(isinstance(v, int) for v in known):
+        return "bigint", int
+    if all(isinstance(v, (int, float)) for v in known):
+        return "double", float
+    return "string", str
+
+
+def parameter_maps(drawn: DataFrame, params: Mapping[str, Param], trial: str = "trial") -> list[dict[Param, object]]:
+    """Rows of a sampled search space as parameter maps, in order of trial.
+
+    ``params`` names the stage parameter of each used column. The trials of one
+    search are few: every one is a whole fit.
+    """
+    rows = drawn.select(trial, *params).orderBy(trial).collect()
+    return [{param: row[name] for name, param in params.items() if row[name] is not None} for row in rows]

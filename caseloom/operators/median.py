@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators.scan import Running, position, running, step_segment, with_value_segments
-from caseloom.session import checkpointed
+from caseloom.session import stored
 
 # Shortest block worth a task's attention.
 BLOCK_ROWS = 1024
+# Trial blocks served by one copy of a value block.
+WANTED = 16
 
 
 def _block_medians(centre: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -47,11 +49,11 @@ def running_median(steps: DataFrame, block_rows: int | None = None) -> DataFrame
     blocks of at least the square root of the longest step, the grid has no more
     cells than the table has rows, and no task holds more than a few blocks.
     """
-    steps = checkpointed(steps)
+    steps = stored(steps)
     by_trial = running(with_value_segments(steps, "trial", "step"), ["step"], ["trial"], [position("x")])
-    by_trial = checkpointed(by_trial)
+    by_trial = stored(by_trial)
     cut = with_value_segments(by_trial, "value", "trial")
-    placed = checkpointed(running(cut, ["step"], ["value", "trial"], [position("y")]))
+    placed = stored(running(cut, ["step"], ["value", "trial"], [position("y")]))
     if block_rows is None:
         longest = placed.agg(F.max("x")).first()[0] or 1
         block_rows = max(math.isqrt(longest), BLOCK_ROWS)
@@ -75,9 +77,14 @@ def running_median(steps: DataFrame, block_rows: int | None = None) -> DataFrame
         F.col("below") + F.col("here") > F.floor(before / 2) - size - 2
     )
     wanted = counted.where((F.col("here") > 0) & near).select("step", "yb", F.col("xb").alias("block"), "below")
+    # a value block near the middle is wanted by most trial blocks: it is repeated for
+    # every WANTED of them, so that no key gives more than that many times its rows
+    copies = wanted.groupBy("step", "yb").agg(F.ceil(F.count("*") / WANTED).alias("copies"))
+    wanted = wanted.join(copies, ["step", "yb"]).withColumn("copy", F.col("block") % F.col("copies")).drop("copies")
+    values = placed.select("step", "yb", "xb", F.col("value").alias("v")).join(copies, ["step", "yb"])
+    values = values.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     centre = (
-        placed.select("step", "yb", "xb", F.col("value").alias("v"))
-        .join(wanted, ["step", "yb"])
+        values.join(wanted, ["step", "yb", "copy"])
         .where(F.col("xb") < F.col("block"))
         .select("step", F.col("block").alias("xb"), "v", "below")
     )
@@ -101,10 +108,14 @@ def median_prune(
 
     ``steps`` has trial, step (from 0) and value. A trial is pruned when its best
     value so far is worse than the median of the earlier trials at that step,
-    once enough steps and enough earlier trials have passed.
+    once enough steps and enough earlier trials have passed. A null or NaN value is
+    no earlier value for others; its own row stays, without a median and unpruned.
     """
-    known = steps.where(F.col("value").isNotNull()).select("trial", "step", "value")
+    number = F.col("value").isNotNull() & ~F.isnan("value")
+    known = steps.where(number).select("trial", "step", "value")
     best = running(known, ["trial"], ["step"], [Running("best", "min", F.col("value"))], step_segment("step"))
     scanned = running_median(best, block_rows)
     worse = (F.col("step") >= n_warmup_steps) & (F.col("earlier") >= n_startup_trials)
-    return scanned.withColumn("prune", worse & (F.col("best") > F.col("median")))
+    judged = scanned.withColumn("prune", worse & (F.col("best") > F.col("median")))
+    other = steps.where(~number).select("trial", "step", "value").withColumn("prune", F.lit(False))
+    return judged.unionByName(other, allowMissingColumns=True)

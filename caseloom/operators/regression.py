@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.columns import nan_to_null, round_half_even, zero_label
-from caseloom.session import broadcast_if_small, checkpointed
+from caseloom.session import stored
 
 # The reading grid and its control columns.
 SIDES = ("R", "L")
@@ -85,9 +85,10 @@ def _with_fits(
     if not group_by:
         return df.withColumn("__fit", fits.agg(by_target).select(packed).scalar())
     renamed = [_quoted(g).alias(f"__g_{g}") for g in group_by]
-    stored = checkpointed(fits.groupBy(*renamed).agg(by_target).select(*[f"`__g_{g}`" for g in group_by], packed))
+    packed_fits = stored(fits.groupBy(*renamed).agg(by_target).select(*[f"`__g_{g}`" for g in group_by], packed))
     same = [_quoted(g).eqNullSafe(F.col(f"`__g_{g}`")) for g in group_by]
-    return df.join(broadcast_if_small(stored), same, "left")
+    # stored: its size is known, so Spark broadcasts it only below the session's limit
+    return df.join(packed_fits, same, "left")
 
 
 def _replace(

@@ -12,11 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators.scan import Running, running, step_segment, with_value_segments
-from caseloom.session import checkpointed
-
-# Longest list of falling losses of one run that is folded as an array.
-FOLD_ROWS = 2_000
-
+from caseloom.session import stored
 
 def epoch_loss(
     batches: DataFrame, by: Sequence[str] = ("run_id", "epoch"), loss: str = "loss", rows: str | None = None
@@ -68,33 +64,42 @@ def epoch_eta(
     )
 
 
+def _number(loss: str) -> Column:
+    """The loss where it can improve on anything: NaN and infinity cannot."""
+    return F.when(F.col(loss) < math.inf, F.col(loss))
+
+
 def _best_before(loss: str) -> Running:
-    return Running("best_before", "min", F.col(loss), through=False)
+    return Running("best_before", "min", _number(loss), through=False)
 
 
 def _beats(loss: str) -> Column:
-    return F.col("best_before").isNull() | (F.col(loss) < F.col("best_before"))
+    return F.coalesce(_number(loss) < F.coalesce("best_before", F.lit(math.inf)), F.lit(False))
 
 
 def best_so_far(history: DataFrame, loss: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
-    """Best loss through each epoch and whether the epoch is a strict improvement."""
+    """Best loss through each epoch and whether the epoch is a strict improvement.
+
+    A NaN or infinite loss improves on nothing and is no best.
+    """
     scanned = running(
         history.where(F.col(loss).isNotNull()), [run], [epoch], [_best_before(loss)], step_segment(epoch)
     )
     return scanned.withColumns(
-        {"improved": _beats(loss), "best": F.least(F.col(loss), F.col("best_before"))}
+        {"improved": _beats(loss), "best": F.least(_number(loss), F.col("best_before"))}
     ).drop("best_before")
 
 
 def best_epoch(history: DataFrame, loss: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
-    """First epoch with the lowest loss, per run."""
-    least = F.min(F.struct(F.col(loss).alias("best_loss"), F.col(epoch).alias("best_epoch")))
-    return history.where(F.col(loss).isNotNull()).groupBy(run).agg(least.alias("b")).select(run, "b.*")
+    """First epoch with the lowest loss, per run; nulls for a run without a finite loss."""
+    row = F.struct(F.col(loss).alias("best_loss"), F.col(epoch).alias("best_epoch"))
+    least = F.min(F.when(_number(loss).isNotNull(), row))
+    return history.groupBy(run).agg(least.alias("b")).select(run, "b.best_loss", "b.best_epoch")
 
 
 def _bar(best: Column, relative: float, absolute: float) -> Column:
     """The value a loss must fall below to count as an improvement on ``best``."""
-    return best * F.lit(1.0 - relative) - F.lit(absolute)
+    return best - F.abs(best) * F.lit(relative) - F.lit(absolute)
 
 
 def numbered_checks(history: DataFrame, loss: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
@@ -109,7 +114,7 @@ def numbered_checks(history: DataFrame, loss: str, run: str = "run_id", epoch: s
         [Running("check", "sum", F.lit(1).cast("bigint")), _best_before(loss)],
         step_segment(epoch),
     )
-    return checkpointed(scanned.withColumn("lowest", _beats(loss)).drop("best_before"))
+    return stored(scanned.withColumn("lowest", _beats(loss)).drop("best_before"))
 
 
 def improvements(
@@ -119,48 +124,27 @@ def improvements(
     epoch: str = "epoch",
     relative: float = 0.0,
     absolute: float = 0.0,
-    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Checks that improve on the best loss so far.
 
     Without a margin an improvement is a new minimum. With one, the best value is
     not simply the minimum so far, because small gains do not count; then
     improvements form a chain through the new minima of the run. The relative
-    margin is meant for losses that are not negative.
+    margin is a share of the best loss without its sign, so a loss below zero
+    has to fall further, too.
     """
     minima = checks.where("lowest").select(run, epoch, "check", F.col(loss).alias("loss"))
     if not relative and not absolute:
         return minima
-    minima = checkpointed(minima)
+    minima = stored(minima)
     longest = minima.groupBy(run).count().agg(F.max("count")).first()[0] or 0
-    if longest <= fold_rows:
-        return _folded_chain(minima, run, epoch, relative, absolute)
     return _doubled_chain(minima, run, epoch, relative, absolute, longest)
 
 
-def _folded_chain(minima: DataFrame, run: str, epoch: str, relative: float, absolute: float) -> DataFrame:
-    """Walk each run's short list of minima as an array."""
-    item = F.struct(F.col("check"), F.col(epoch).alias("epoch"), F.col("loss"))
-    kind = minima.select(item.alias("i")).schema["i"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.array().cast(f"array<{kind}>").alias("kept"))
-
-    def step(state: Column, row: Column) -> Column:
-        better = state["best"].isNull() | (row["loss"] < _bar(state["best"], relative, absolute))
-        taken = F.struct(row["loss"].alias("best"), F.concat(state["kept"], F.array(row)).alias("kept"))
-        return F.when(better, taken).otherwise(state)
-
-    walked = minima.groupBy(run).agg(
-        F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda s: s["kept"]).alias("kept")
-    )
-    return walked.select(run, F.explode("kept").alias("k")).select(
-        run, F.col("k.epoch").alias(epoch), "k.check", "k.loss"
-    )
-
-
 def _doubled_chain(
     minima: DataFrame, run: str, epoch: str, relative: float, absolute: float, longest: int
 ) -> DataFrame:
-    """The same chain for long lists, by joins whose reach doubles every round.
+    """The chain, by joins whose reach doubles every round.
 
     Minima fall along a run, so the successor of a minimum is found by counting
     the minima that are not below its bar.
@@ -180,7 +164,7 @@ def _doubled_chain(
     counted = running(
         cut, [run], ["down", "asks", epoch], [Running("seen", "sum", (1 - F.col("asks")).cast("bigint"))]
     )
-    links = checkpointed(
+    links = stored(
         counted.groupBy(run, epoch).agg(
             F.max(F.when(F.col("asks") == 0, F.col("seen"))).alias("at"),
             F.max(F.when(F.col("asks") == 1, F.col("seen") + 1)).alias("to"),
@@ -190,9 +174,9 @@ def _doubled_chain(
     reached = jumps.where("at = 1").select(run, "at")
     for _ in range(math.ceil(math.log2(max(longest, 2)))):
         ahead = reached.join(jumps, [run, "at"]).select(run, F.col("to").alias("at"))
-        reached = checkpointed(reached.unionByName(ahead.join(links, [run, "at"], "left_semi")))
+        reached = stored(reached.unionByName(ahead.join(links, [run, "at"], "left_semi")))
         second = jumps.select(run, F.col("at").alias("to"), F.col("to").alias("beyond"))
-        jumps = checkpointed(jumps.join(second, [run, "to"]).select(run, "at", F.col("beyond").alias("to")))
+        jumps = stored(jumps.join(second, [run, "to"]).select(run, "at", F.col("beyond").alias("to")))
     kept = links.join(reached, [run, "at"], "left_semi").select(run, epoch)
     return minima.join(kept, [run, epoch], "left_semi").select(run, epoch, "check", "loss")
 
@@ -220,7 +204,7 @@ def _last_improvement(
     ]
     scanned = running(checks.join(at, [run, epoch], "left"), [run], [epoch], latest, step_segment(epoch))
     return scanned.withColumns(
-        {"improved": F.col("__check").isNotNull(), "waited": F.col("check") - F.col("last_check")}
+        {"improved": F.col("__check").isNotNull(), "waited": F.col("check") - F.coalesce("last_check", F.lit(0))}
     ).drop("__check", "__loss", *[f"__{c}" for c in rising])
 
 
@@ -230,11 +214,10 @@ def patience_counter(
     run: str = "run_id",
     epoch: str = "epoch",
     min_delta: float = 0.0,
-    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Checks without improvement, after each check."""
+    """Checks without improvement, after each check. A NaN loss counts as a check."""
     checks = numbered_checks(history, loss, run, epoch)
-    better = improvements(checks, loss, run, epoch, absolute=min_delta, fold_rows=fold_rows)
+    better = improvements(checks, loss, run, epoch, absolute=min_delta)
     return _last_improvement(checks, better, run, epoch)
 
 
@@ -246,7 +229,10 @@ def early_stop(
     run: str = "run_id",
     epoch: str = "epoch",
 ) -> DataFrame:
-    """Per run the epoch that stops training (null: none) and the best one by then."""
+    """Per run the epoch that stops training (null: none) and the best one by then.
+
+    A run without any check has nulls throughout.
+    """
     counted = patience_counter(history, loss, run, epoch, min_delta)
     due = F.when(F.col("waited") >= patience, F.col(epoch))
     stopped = F.min(due)
@@ -255,11 +241,12 @@ def early_stop(
         """The value at the stop, or at the last check of a run that never stops."""
         return F.when(stopped.isNotNull(), F.min_by(value, due)).otherwise(F.max_by(value, epoch))
 
-    return counted.groupBy(run).agg(
+    found = counted.groupBy(run).agg(
         stopped.alias("stop_epoch"),
         then("last_epoch").alias("best_epoch"),
         then("last_loss").alias("best_loss"),
     )
+    return history.select(run).distinct().join(found, run, "left")
 
 
 def lr_plateau(
@@ -273,7 +260,6 @@ def lr_plateau(
     eps: float = 1e-8,
     run: str = "run_id",
     epoch: str = "epoch",
-    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Learning rate after each check, cut by ``factor`` after too many bad checks.
 
@@ -282,14 +268,14 @@ def lr_plateau(
     that would change the rate by no more than ``eps`` is not made.
     """
     checks = numbered_checks(history, loss, run, epoch)
-    better = improvements(checks, loss, run, epoch, relative=threshold, fold_rows=fold_rows)
+    better = improvements(checks, loss, run, epoch, relative=threshold)
     # cuts in the stretches that an improvement has closed
     by_check = step_segment("check")
     since = running(better, [run], ["check"], [Running("prev", "max", F.col("check"), through=False)], by_check)
-    closed = F.floor((F.col("check") - F.col("prev") - 1) / (patience + 1))
-    summed = running(since, [run], ["check"], [Running("closed", "sum", F.coalesce(closed, F.lit(0)))], by_check)
+    closed = F.floor((F.col("check") - F.coalesce("prev", F.lit(0)) - 1) / (patience + 1))
+    summed = running(since, [run], ["check"], [Running("closed", "sum", closed)], by_check)
     scanned = _last_improvement(checks, summed, run, epoch, ["closed"])
-    cuts = F.col("last_closed") + F.floor(F.col("waited") / (patience + 1))
+    cuts = F.coalesce("last_closed", F.lit(0)) + F.floor(F.col("waited") / (patience + 1))
     rates = [lr]  # one entry per cut that takes effect
     while rates[-1] - max(rates[-1] * factor, min_lr) > eps:
         rates.append(max(rates[-1] * factor, min_lr))

@@ -9,6 +9,7 @@ of the same run, and the two are combined. No task sees more than one segment.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.session import checkpointed, shuffle_partitions
+from caseloom.session import shuffle_partitions, stored
 
 SEGMENT = "__segment"
 SEGMENT_ROWS = 1 << 16
@@ -68,10 +69,11 @@ def with_value_segments(
     ``tie_breaker``, which must be what the order sorts by next. ``cuts_from`` is
     a cheaper table with the same values.
     """
-    n = segments or shuffle_partitions(df)
     source = df if cuts_from is None else cuts_from
+    # enough segments for the rows there are, and for the tasks that share them
+    n = segments or max(shuffle_partitions(df), math.ceil(source.count() / SEGMENT_ROWS))
     points = _cut_points(source, column, n)
-    frequent = sorted({p for p in points if points.count(p) > 1})
+    frequent = sorted(p for p, times in Counter(points).items() if times > 1 and math.isfinite(p))
     if not frequent or tie_breaker is None:
         return _bucket(df, column, points, SEGMENT)
     alone = F.col(column).cast("double").isin(frequent)
@@ -90,9 +92,9 @@ def _cut_points(df: DataFrame, column: str, n: int) -> list[float]:
 
 
 def _bucket(df: DataFrame, column: str, points: list[float], out: str) -> DataFrame:
-    if not points:
+    if not any(map(math.isfinite, points)):
         return df.withColumn(out, F.lit(0).cast("bigint"))
-    splits = [-math.inf, *sorted(set(points)), math.inf]
+    splits = [-math.inf, *sorted(p for p in set(points) if math.isfinite(p)), math.inf]
     stage = Bucketizer(splits=splits, inputCol="__number", outputCol=out, handleInvalid="keep")
     numbered = df.withColumn("__number", F.col(column).cast("double"))
     return stage.transform(numbered).withColumn(out, F.col(out).cast("bigint")).drop("__number")
@@ -141,7 +143,7 @@ def global_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame
     sizes of its partitions, one row each, turn local into global positions.
     """
     at = "__at"
-    placed = checkpointed(
+    placed = stored(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     )
     part = F.shiftright(at, 33)

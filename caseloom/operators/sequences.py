@@ -14,22 +14,31 @@ from caseloom.operators.scan import global_index
 PAD_ID, END_ID, UNKNOWN_ID = 0, 1, 2
 FIRST_ID = 3
 
-# Most frequent tokens joined by broadcast; all rarer ones are joined by shuffle.
+# Most frequent tokens joined by broadcast, if short; all others are joined by shuffle.
+# So a broadcast holds at most 64 MB of words.
 HEAD_TOKENS = 1_000_000
+HEAD_WORD_BYTES = 64
 
 
-def token_rows(df: DataFrame, keep: Sequence[str], texts: Mapping[str, Column | str]) -> DataFrame:
+def token_rows(
+    df: DataFrame, keep: Sequence[str], texts: Mapping[str, Column | str], limit: int | None = None
+) -> DataFrame:
     """One row per word: the kept columns, ``field``, ``pos`` (from 0) and ``token``.
 
-    A row without any word stays as one row with null token.
+    A row without any word stays as one row with null token. ``limit`` keeps only the
+    first words of each text, before any of them becomes a row.
     """
+
+    def first(text: Column | str) -> Column:
+        return words(text) if limit is None else F.slice(words(text), 1, limit)
+
     if len(texts) == 1:
         ((name, text),) = texts.items()
-        return df.select(*keep, F.lit(name).alias("field"), F.posexplode_outer(words(text)).alias("pos", "token"))
+        return df.select(*keep, F.lit(name).alias("field"), F.posexplode_outer(first(text)).alias("pos", "token"))
 
     def numbered(name: str, text: Column | str) -> Column:
         return F.transform(
-            words(text), lambda w, i: F.struct(F.lit(name).alias("field"), i.alias("pos"), w.alias("token"))
+            first(text), lambda w, i: F.struct(F.lit(name).alias("field"), i.alias("pos"), w.alias("token"))
         )
 
     parts = [numbered(name, text) for name, text in texts.items()]
@@ -58,14 +67,15 @@ def vocabulary(df: DataFrame, text: Column | str, max_size: int | None = None) -
 def _look_up(rows: DataFrame, vocab: DataFrame, key: str, value: str, head: int) -> DataFrame:
     """Left join of word rows with the vocabulary that no frequent word can skew.
 
-    The ``head`` most frequent words are a bounded broadcast. Only rows without a
-    partner there are shuffled, and none of their words is frequent.
+    The ``head`` most frequent words of up to HEAD_WORD_BYTES bytes are a bounded
+    broadcast. Only rows without a partner there are shuffled, and their words are
+    rare, or longer than words are.
     """
-    entries = vocab.select(key, value)
-    first = F.broadcast(entries.where(vocab["token_id"] < FIRST_ID + head))
-    if vocab.where(F.col("token_id") >= FIRST_ID + head).isEmpty():
+    short = (F.col("token_id") < FIRST_ID + head) & (F.octet_length("token") <= HEAD_WORD_BYTES)
+    first = F.broadcast(vocab.where(short).select(key, value))
+    rest = vocab.where(~short).select(key, value)
+    if rest.isEmpty():
         return rows.join(first, key, "left")
-    rest = entries.where(vocab["token_id"] >= FIRST_ID + head)
     found = rows.join(first, key, "left").where(F.col(key).isNull() | F.col(value).isNotNull())
     rare = rows.where(F.col(key).isNotNull()).join(first, key, "left_anti").join(rest, key, "left")
     return found.unionByName(rare)
@@ -123,7 +133,7 @@ def examples(
     ``keep`` must identify a row.
     """
     columns = [*keep, class_label]
-    rows = token_rows(df, columns, {"prompt": prompt, "target": target})
+    rows = token_rows(df, columns, {"prompt": prompt, "target": target}, limit=max(max_len - 1, 0))
     arrays = id_arrays(encode(rows, vocab), columns, ["prompt", "target"])
     input_ids, mask = fixed_length("prompt", max_len)
     labels, _ = fixed_length("target", max_len)

@@ -116,7 +116,8 @@ def embedding_match(
 
     ``side`` is ``hyp`` or ``ref``; ``pos`` numbers a side's tokens. Tokens travel
     in blocks, so a task multiplies two small matrices and neither a long pair
-    nor its token combinations are ever held or written out as rows.
+    nor its token combinations are ever held or written out as rows. A pair with
+    tokens on one side only scores 0.
     """
     in_order = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(vector).alias("vector"))))
     blocks = (
@@ -130,7 +131,10 @@ def embedding_match(
         )
         for s in ("hyp", "ref")
     )
-    best = hyp.join(ref, pair).select(
+    # which blocks meet is joined first, so that a long pair's vectors are many keys, not one
+    meets = hyp.select(pair, "hyp_block").join(ref.select(pair, "ref_block"), pair)
+    met = meets.join(hyp, [pair, "hyp_block"]).join(ref, [pair, "ref_block"])
+    best = met.select(
         pair, "hyp_block", "ref_block", _best_cosines("hyp_vectors", "ref_vectors").alias("best")
     )
 
@@ -150,8 +154,9 @@ def embedding_match(
         return F.avg(F.when(F.col("s") == s, F.col("c")))
 
     scores = per_token.groupBy(pair).agg(mean_of("hyp").alias("precision"), mean_of("ref").alias("recall"))
+    every = tokens.select(pair).distinct().join(scores, pair, "left").fillna(0.0, ["precision", "recall"])
     p, r = F.col("precision"), F.col("recall")
-    return scores.withColumn("f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
+    return every.withColumn("f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
 
 
 def mean_scores(scores: DataFrame, *names: str) -> DataFrame:

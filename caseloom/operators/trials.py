@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.functions.columns import unit_interval
-from caseloom.operators.scan import Running, running, with_value_segments
+from caseloom.operators.scan import Running, global_index, running, step_segment, with_value_segments
 
 # The default search space.
 SEARCH_SPACE = {
@@ -58,9 +59,15 @@ def best_trial(trials: DataFrame, value: str = "value", trial: str = "trial") ->
 
 
 def trial_history(trials: DataFrame, value: str = "value", trial: str = "trial") -> DataFrame:
-    """Objective and best objective so far, along the trials."""
-    cut = with_value_segments(trials, trial)
-    return running(cut, [], [trial], [Running("best_value", "min", F.col(value))])
+    """Objective and best objective so far, along the trials.
+
+    Trial ids may be numbers or text; text goes by its spelling.
+    """
+    best = [Running("best_value", "min", F.col(value))]
+    if isinstance(trials.schema[trial].dataType, T.NumericType):
+        return running(with_value_segments(trials, trial), [], [trial], best)
+    placed = global_index(trials, [F.col(trial)], "__place")
+    return running(placed, [], ["__place"], best, step_segment("__place")).drop("__place")
 
 
 def param_slice(trials: DataFrame, params: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -107,6 +107,14 @@ def target_text(spark, folder):
     return tables.table(spark, folder, "documents").select("doc_id", C.target_text(text).alias("target"))
 
 
+# order of the parts, written out once more for the SQL
+ORDERS = {
+    "right": ("temps", "medical", "demographic"),
+    "left": ("demographic", "medical", "temps"),
+    "middle": ("medical", "temps", "demographic"),
+}
+
+
 def _prompt_sql(order: str) -> str:
     def reading(label: str, c: str) -> str:
         return f"'{label}: ' || CASE WHEN {c} IS NULL OR isnan({c}) THEN 'nan' ELSE printf('%.2f', {c}) END"
@@ -123,8 +131,8 @@ def _prompt_sql(order: str) -> str:
             ("Age", "age"), ("Cycle", "cycle"), ("Day", "day"), ("Pregnancies", "pregnancies"),
             ("Hormonal meds", "hormones"))],
     }
-    parts = " || '; ' || ".join(f"({p})" for g in prompts.ordering(order) for p in groups[g])
-    return f"WITH {CASES} SELECT c_custkey, '{prompts.PREFIX}' || {parts} AS prompt FROM cases"
+    parts = " || '; ' || ".join(f"({p})" for g in ORDERS[order] for p in groups[g])
+    return f"WITH {CASES} SELECT c_custkey, 'MWR data: ' || {parts} AS prompt FROM cases"
 
 
 def _prompt(spark, folder, order):
@@ -276,6 +284,46 @@ def residual_grouped(spark, folder):
     return _clean(done, "l_extendedprice")
 
 
+WIDE = [f"{side}{pos} int" for side in "LR" for pos in range(10)]
+
+
+def _wide_sql() -> str:
+    """Both stages of all columns: a fit and a residual on each control."""
+    raw = ", ".join(
+        f"""CASE WHEN l_returnflag <> 'R' OR {i % 4} <> 0 THEN l_extendedprice / {997 + 13 * i} + l_discount * {i} END AS "{n}\""""
+        for i, n in enumerate(WIDE)
+    )
+
+    def stage(out: str, source: str, control: str) -> str:
+        fits = ", ".join(f'regr_slope("{n}", {control}) AS k{i}, regr_intercept("{n}", {control}) AS b{i}' for i, n in enumerate(WIDE))
+        new = ", ".join(f'round_even("{n}" - (k{i} * {control} + b{i}), 1) + 0.0::DOUBLE AS "{n}"' for i, n in enumerate(WIDE))
+        return f"""{out}_fit AS (SELECT {fits} FROM {source}),
+{out} AS (SELECT l_orderkey, l_linenumber, x1, x2, cancer_risk, {new} FROM {source}, {out}_fit)"""
+
+    columns = ", ".join(f'"{n}"' for n in WIDE)
+    return f"""WITH wide AS (SELECT l_orderkey, l_linenumber, l_quantity AS x1, l_tax * 100 AS x2,
+  CASE WHEN l_discount = 0 THEN 0 ELSE 1 END AS cancer_risk, {raw} FROM lineitem),
+{stage("one", "wide", "x1")}, {stage("two", "one", "x2")}
+SELECT l_orderkey, l_linenumber, cancer_risk, {columns} FROM two"""
+
+
+@query(_wide_sql())
+def normalise_cases(spark, folder):
+    done = regression.label_and_normalise(tables.wide_cases(spark, folder))
+    return _clean(done.select(*LINE_KEYS, "cancer_risk", *WIDE), *WIDE)
+
+
+@query("""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS k, regr_intercept(l_extendedprice, l_quantity) AS b
+  FROM lineitem WHERE l_orderkey % 10 < 7)
+SELECT l_orderkey, l_linenumber, l_quantity, round_even(l_extendedprice - (k * l_quantity + b), 1) + 0.0::DOUBLE AS l_extendedprice
+FROM lineitem, f""")
+def fit_apply(spark, folder):
+    """Coefficients of the training rows, applied to all rows."""
+    rows = _lineitem(spark, folder, "l_quantity", "l_extendedprice")
+    fits = regression.fit_lines(rows.where(F.col("l_orderkey") % 10 < 7), ["l_extendedprice"], "l_quantity")
+    return _clean(regression.residual(rows, ["l_extendedprice"], "l_quantity", fits=fits), "l_extendedprice")
+
+
 # --- classes and losses -----------------------------------------------------
 
 LOGITS = """logits AS (SELECT c_custkey, c_acctbal / 1000 AS z0, c_nationkey / 10 AS z1, c_nationkey % 2 AS y
@@ -406,20 +454,20 @@ def meteor(spark, folder):
     return scores.withColumn("meteor", F.round("meteor", 6))
 
 
-EMBEDDING_MATCH = """t AS (SELECT vec_id // 16 AS row_id, vec_id % 16 < 8 AS hyp, vec_id, embedding::DOUBLE[] AS v
+EMBEDDING_MATCH = """vectors AS (SELECT vec_id // 16 AS row_id, vec_id % 16 < 8 AS hyp, vec_id, embedding::DOUBLE[] AS v
   FROM embeddings),
-c AS (SELECT a.row_id, a.vec_id AS h, b.vec_id AS r, list_cosine_similarity(a.v, b.v) AS cosine
-  FROM t a JOIN t b ON a.row_id = b.row_id WHERE a.hyp AND NOT b.hyp),
-p AS (SELECT row_id, avg(best) AS precision FROM (SELECT row_id, max(cosine) AS best FROM c GROUP BY row_id, h)
+cosines AS (SELECT a.row_id, a.vec_id AS h, b.vec_id AS r, list_cosine_similarity(a.v, b.v) AS cosine
+  FROM vectors a JOIN vectors b ON a.row_id = b.row_id WHERE a.hyp AND NOT b.hyp),
+best_hyp AS (SELECT row_id, avg(best) AS p FROM (SELECT row_id, max(cosine) AS best FROM cosines GROUP BY row_id, h)
   GROUP BY row_id),
-r AS (SELECT row_id, avg(best) AS recall FROM (SELECT row_id, max(cosine) AS best FROM c GROUP BY row_id, r)
+best_ref AS (SELECT row_id, avg(best) AS r FROM (SELECT row_id, max(cosine) AS best FROM cosines GROUP BY row_id, r)
   GROUP BY row_id),
-scores AS (SELECT row_id, precision, recall, 2 * precision * recall / (precision + recall) AS f1
-  FROM p JOIN r USING (row_id))"""
+match AS (SELECT row_id, coalesce(p, 0) AS precision, coalesce(r, 0) AS recall, coalesce(2 * p * r / (p + r), 0) AS f1
+  FROM (SELECT DISTINCT row_id FROM vectors) LEFT JOIN best_hyp USING (row_id) LEFT JOIN best_ref USING (row_id))"""
 
 
 @query(f"""WITH {EMBEDDING_MATCH} SELECT row_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
-round(f1, 6) AS f1 FROM scores""")
+round(f1, 6) AS f1 FROM match""")
 def embedding_match(spark, folder):
     scores = texts.embedding_match(tables.token_vectors(spark, folder))
     return scores.select("row_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -439,8 +487,7 @@ def mean_pool(spark, folder):
   WHERE regexp_matches(prediction, '\S') AND regexp_matches(reference, '\S')),
 {_meteor_sql("good")}, {CLASSES.replace("pairs AS", "labelled AS")},
 {CLASS_METRICS.replace("FROM pairs", "FROM labelled")}, {AUC.replace("FROM pairs", "FROM labelled")},
-{BATCHES}, {EMBEDDING_MATCH.replace("scores AS", "match AS").replace("r AS (SELECT row_id, avg", "rr AS (SELECT row_id, avg")
-    .replace("p JOIN r USING", "p JOIN rr USING").replace("t AS (", "tv AS (").replace("FROM t a JOIN t b", "FROM tv a JOIN tv b")}
+{BATCHES}, {EMBEDDING_MATCH}
 SELECT 'loss' AS metric, round(sum(coalesce(loss, 0)) / count(*), 6) AS value FROM batches
 UNION ALL SELECT 'accuracy', accuracy FROM metrics UNION ALL SELECT 'f1', f1 FROM metrics
 UNION ALL SELECT 'sensitivity', sensitivity FROM metrics UNION ALL SELECT 'specificity', specificity FROM metrics
@@ -472,10 +519,10 @@ def vocab(spark, folder):
     return sequences.vocabulary(tables.documents(spark, folder), "text")
 
 
-def _encoded(spark, folder):
+def _encoded(spark, folder, limit=None):
     documents = tables.documents(spark, folder)
     words = sequences.vocabulary(documents, "text")
-    return sequences.encode(sequences.token_rows(documents, ["doc_id"], {"text": "text"}), words), words
+    return sequences.encode(sequences.token_rows(documents, ["doc_id"], {"text": "text"}, limit), words), words
 
 
 @query(f"WITH {VOCAB} SELECT doc_id, pos::INTEGER AS pos, token_id FROM words JOIN vocab USING (token)")
@@ -493,7 +540,7 @@ MAX_LEN = 512
 SELECT doc_id, count(*)::INTEGER AS n_kept, {MAX_LEN} - count(*)::INTEGER AS n_pad, count(*)::INTEGER AS mask_sum,
 sum(token_id * (pos + 1))::BIGINT AS checksum FROM kept GROUP BY doc_id""")
 def pad_mask(spark, folder):
-    encoded, _ = _encoded(spark, folder)
+    encoded, _ = _encoded(spark, folder, limit=MAX_LEN - 1)
     arrays = sequences.id_arrays(encoded, ["doc_id"], ["text"])
     ids, mask = sequences.fixed_length("text", MAX_LEN)
     fixed = arrays.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
@@ -508,6 +555,42 @@ def pad_mask(spark, folder):
     )
 
 
+def _example_sql() -> str:
+    def side(name: str, text: str) -> str:
+        return f"""{name}_words AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos
+  FROM (SELECT doc_id, {WORDS.format(text)} AS ws FROM documents)),
+{name} AS (SELECT doc_id, count(*) AS n, sum(id * (pos + 1))::BIGINT AS checksum FROM (
+  SELECT doc_id, pos, coalesce(token_id, 2) AS id FROM {name}_words LEFT JOIN vocab USING (token) WHERE pos < {MAX_LEN - 1}
+  UNION ALL SELECT doc_id, (SELECT least(count(*), {MAX_LEN - 1}) FROM {name}_words w WHERE w.doc_id = d.doc_id), 1
+  FROM documents d) GROUP BY doc_id)"""
+
+    return f"""WITH {VOCAB}, {side("prompts", "text")}, {side("targets", "source || ' ' || lang")}
+SELECT doc_id, p.n::INTEGER AS prompt_ids, p.checksum AS prompt_checksum, t.n::INTEGER AS target_ids,
+t.checksum AS target_checksum, (doc_id % 2)::INTEGER AS class_labels FROM prompts p JOIN targets t USING (doc_id)"""
+
+
+def _checksum(ids: str):
+    weighted = F.transform(ids, lambda x, i: x.cast("bigint") * (i + 1))
+    return F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+
+@query(_example_sql())
+def model_examples(spark, folder):
+    documents = tables.documents(spark, folder).withColumn("cancer_risk", F.col("doc_id") % 2)
+    words = sequences.vocabulary(documents, "text")
+    target = F.concat_ws(" ", "source", "lang")
+    made = sequences.examples(documents, words, ["doc_id"], "text", target, MAX_LEN)
+    kept = lambda c: F.size(F.filter(c, lambda x: x != sequences.PAD_ID))
+    return made.select(
+        "doc_id",
+        F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("prompt_ids"),
+        _checksum("input_ids").alias("prompt_checksum"),
+        kept("labels").alias("target_ids"),
+        _checksum("labels").alias("target_checksum"),
+        "class_labels",
+    )
+
+
 @query(f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS text FROM documents")
 def decode(spark, folder):
     encoded, words = _encoded(spark, folder)
@@ -518,7 +601,7 @@ def decode(spark, folder):
 def _audit_sql() -> str:
     sizes = {"temps": WORDS.format("text"), "medical": WORDS.format("lang"), "demographic": WORDS.format("source")}
     rows = []
-    for name, order in prompts.ORDERINGS.items():
+    for name, order in ORDERS.items():
         start = "2"
         for group in order:
             rows.append(f"SELECT '{name}' AS ordering, '{group}' AS part, {group} AS n, {start} AS s FROM sizes")
@@ -667,6 +750,15 @@ def best_epoch(spark, folder):
     return runs.best_epoch(tables.checked_history(spark, folder), "val_loss")
 
 
+@query(f"""WITH {CHECKS}, marked AS (SELECT run_id, epoch, chk, coalesce(val_loss < min(val_loss) OVER
+  (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM checks)
+SELECT run_id, epoch, improved, chk - max(CASE WHEN improved THEN chk END) OVER (PARTITION BY run_id ORDER BY epoch)
+  AS waited FROM marked""")
+def patience_counter(spark, folder):
+    counted = runs.patience_counter(tables.checked_history(spark, folder), "val_loss")
+    return counted.select("run_id", "epoch", "improved", "waited")
+
+
 def _stop_sql(patience: int, min_delta: float) -> str:
     better = f"c.val_loss < w.best - {min_delta}::DOUBLE"
     return f"""WITH RECURSIVE {CHECKS}, walk AS (
@@ -805,20 +897,27 @@ def input_check(spark, folder):
     )
 
 
-@query()
+@query("""SELECT count(*) AS rows, round(avg(CASE WHEN label = 0 THEN 0 ELSE 1 END), 3) AS share,
+round(avg(CASE WHEN label = 0 THEN 0 ELSE 1 END), 3) AS mean_probability FROM embeddings""")
 def train_classifier(spark, folder):
+    """At the optimum the mean probability is the share of class 1, since the intercept is not penalised."""
     rows = learning.vector_column(tables.table(spark, folder, "embeddings"), "embedding")
     rows = rows.withColumn("risk", C.zero_label("label"))
-    model = learning.classifier(["features"], "risk").fit(rows)
-    return learning.decisions(model, rows, ["vec_id", "risk"])
+    model = learning.classifier(["features"], "risk", max_iter=200, tol=1e-9).fit(learning.complete_rows(rows, ["features"]))
+    scored = learning.decisions(model, rows, ["vec_id", "risk"])
+    return scored.agg(
+        F.count("*").alias("rows"),
+        F.round(F.avg("risk"), 3).alias("share"),
+        F.round(F.avg("probability"), 3).alias("mean_probability"),
+    )
 
 
 def _share_of_spaces(batch: pd.DataFrame) -> pd.Series:
     return batch["text"].str.count(" ") / batch["text"].str.len()
 
 
-@query("""SELECT doc_id, round((len(text) - len(replace(text, ' ', ''))) / len(text), 6) AS prediction, false AS failed
-FROM documents""")
+@query("""SELECT doc_id, round((len(text) - len(replace(text, ' ', ''))) / len(text), 6) AS prediction, false AS failed,
+NULL::VARCHAR AS error FROM documents""")
 def batch_score(spark, folder):
     scored = learning.batch_score(
         tables.documents(spark, folder), _share_of_spaces, ["doc_id"], ["text"], batch_size=64

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.operators.scan import position, running, with_value_segments
-from caseloom.session import checkpointed, spread
+from caseloom.session import stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     at = minutes * 60_000_000 + (second * 1_000_000).cast("bigint")
     cut = with_value_segments(events.withColumn("at", at), "at", "event_id")
     placed = running(cut, ["user_id"], ["at", "event_id"], [position("epoch")])
-    return checkpointed(
+    return stored(
         placed.select(F.col("user_id").alias("run_id"), "epoch", F.col("event_type").alias("kind"), "value")
     )
 
@@ -78,6 +78,21 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def wide_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as cases with 20 readings, two controls and a grade; some readings are missing."""
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    names = [f"{side}{pos} int" for side in "LR" for pos in range(10)]
+    known = F.col("l_returnflag") != "R"
+    readings = [
+        F.when(known | F.lit(i % 4 != 0), price / (997 + 13 * i) + discount * i).alias(name)
+        for i, name in enumerate(names)
+    ]
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", *readings, F.col("l_quantity").alias("T1 int"), (F.col("l_tax") * 100).alias("T1 sk"),
+        discount.alias("r:Th"),
+    )
+
+
 def cycle_text() -> Column:
     form, days = F.col("c_custkey") % 6, (F.col("c_nationkey") + 20).cast("string")
     return (

@@ -1,4 +1,4 @@
-"""Session defaults and the two places where a plan is cut or a side is broadcast."""
+"""Session defaults, and tables stored in between in a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A broadcast side may hold at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "caseloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -36,24 +31,6 @@ def build_session(app: str = "caseloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
-
-    The folder comes from ``spark.checkpoint.dir``. Only a local master, where
-    driver and tasks share one disk, falls back to a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="caseloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 _FOLDERS: dict[str, str] = {}
 
 
@@ -99,24 +76,5 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark an already stored ``df`` for broadcast when its counted size allows it.
-
-    Larger tables come back unmarked and are joined by shuffle, where AQE splits
-    skewed keys.
-    """
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan with fewer partitions than cores over all cores.
-
-    Meant for a few files of long texts. Large tables come in many partitions and
-    are returned as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

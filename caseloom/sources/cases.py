@@ -26,7 +26,7 @@ CASE_SCHEMA = T.StructType(
     + [T.StructField(AGE_COLUMN, T.IntegerType())]
     + [T.StructField(c, T.StringType()) for c in CYCLE_COLUMNS]
     + [T.StructField(c, T.DoubleType()) for c in (*CONTROL_COLUMNS, *READING_COLUMNS)]
-    + [T.StructField(GRADE_COLUMN, T.IntegerType())]
+    + [T.StructField(GRADE_COLUMN, T.DoubleType())]
 )
 
 
@@ -51,7 +51,8 @@ def read_cases(
         clean = na_to_null(F.col(f"`{name}`"))
         kind = types.get(name, T.StringType())
         if isinstance(kind, T.IntegerType):  # 3.0 is a whole number, too
-            clean = clean.try_cast("double").try_cast("int")
+            number = clean.try_cast("double")
+            clean = F.when(number == F.floor(number), number.try_cast("int"))
         elif not isinstance(kind, T.StringType):
             clean = clean.try_cast(kind)
         return clean.alias(name)

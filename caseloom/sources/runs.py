@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,15 @@ CHECK_LINE = r"^Epoch (\d+), Val Loss: (\S+), Val Time: ([^,]+?)(?:, BERTScore F
 FINAL_LINE = r"^Final Test Loss: ([^\s,]+)(?:, BERTScore P: ([^\s,]+), R: ([^\s,]+), F1: (\S+))?$"
 
 
-def append_history(df: DataFrame, path: str, run: str = "run_id") -> None:
-    df.write.mode("append").partitionBy(run).parquet(path)
+def append_history(df: DataFrame, path: str) -> None:
+    """Add rows to a stored history. Run ids are data, so any text keeps its form."""
+    df.write.mode("append").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, runs: Sequence[str] | None = None, run: str = "run_id") -> DataFrame:
+    """A stored history, or some of its runs."""
+    history = spark.read.parquet(path)
+    return history if runs is None else history.where(F.col(run).isin(list(runs)))
 
 
 def _four(c: Column | str) -> Column:

@@ -38,6 +38,33 @@ def test_classifier_learns_and_survives_a_round_trip(cases, model, tmp_path, row
     assert len({path, *paths}) == 3
 
 
+def test_rows_with_gaps_are_scored_as_null(cases):
+    gaps = cases.withColumn("R0 int", F.when(F.col("case_id") % 10 != 0, F.col("R0 int")))
+    gaps = gaps.withColumn("L0 int", F.when(F.col("case_id") % 10 == 1, float("nan")).otherwise(F.col("L0 int")))
+    fitted = L.classifier(["R0 int", "L0 int"]).fit(L.complete_rows(gaps, ["R0 int", "L0 int"]))
+    found = {r.case_id: r for r in L.decisions(fitted, gaps, ["case_id"]).collect()}
+    assert len(found) == 400
+    assert {i for i, r in found.items() if r.decision is None} == {i for i in range(400) if i % 10 < 2}
+    assert all((r.decision is None) == (r.probability is None) for r in found.values())
+
+
+def test_search_takes_sampled_parameters_of_two_stages(spark, cases):
+    pipeline = L.classifier(["R0 int", "L0 int"])
+    scaler, regression = pipeline.getStages()[1:]
+    drawn = spark.createDataFrame(
+        [(1, 0.5, "auto", True, 5), (0, 0.001, "binomial", False, None)],
+        "trial int, reg double, family string, mean boolean, rounds int",
+    )
+    params = {"reg": regression.regParam, "family": regression.family, "mean": scaler.withMean, "rounds": regression.maxIter}
+    grid = L.parameter_maps(drawn, params)
+    assert grid[0] == {regression.regParam: 0.001, regression.family: "binomial", scaler.withMean: False}
+    scorer = BinaryClassificationEvaluator(labelCol="cancer_risk")
+    trials, _ = L.search(cases, pipeline, scorer, grid)
+    found = {r.trial: r for r in trials.collect()}
+    assert (found[0].family, found[0].regParam, found[0].withMean, found[0].maxIter) == ("binomial", 0.001, False, None)
+    assert (found[1].family, found[1].maxIter) == ("auto", 5) and all(r.value < 0 for r in found.values())
+
+
 def test_failed_batches_give_null_predictions(spark):
     def predict(batch):
         if (batch["x"] == 33).any():
@@ -48,6 +75,7 @@ def test_failed_batches_give_null_predictions(spark):
     found = {r.id: r for r in L.batch_score(df, predict, ["id"], ["x"], batch_size=10).collect()}
     assert len(found) == 100
     assert all(found[i].failed and found[i].prediction is None for i in range(30, 40))
+    assert found[33].error == "ValueError: bad batch" and found[0].error is None
     assert all(not r.failed and r.prediction == 2 * i for i, r in found.items() if i not in range(30, 40))
 
 

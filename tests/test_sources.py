@@ -84,9 +84,10 @@ def test_splits_are_stored_once_and_pruned(spark, tmp_path):
 
 def test_history_is_appended(spark, tmp_path, rows):
     path = str(tmp_path / "history")
-    for run, epoch in (("a", 1), ("a", 2), ("b", 1)):
+    for run, epoch in (("007", 1), ("007", 2), ("b", 1)):
         R.append_history(spark.createDataFrame([(run, epoch, 0.5)], "run_id string, epoch int, train_loss double"), path)
-    assert rows(spark.read.parquet(path).select("run_id", "epoch")) == [("a", 1), ("a", 2), ("b", 1)]
+    assert rows(R.read_history(spark, path).select("run_id", "epoch")) == [("007", 1), ("007", 2), ("b", 1)]
+    assert R.read_history(spark, path, ["b"]).count() == 1
 
 
 def test_log_text(spark, tmp_path):
