@@ -18,8 +18,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, name: str, use: Column, r
     """doc_id, text and label of at most ``rows`` labelled ids that ``use`` admits.
 
     The ids with the smallest hashes are taken. Their number is bounded, so they are
-    broadcast and no text is exchanged. Copies of a document count as one.
+    broadcast and no other text is exchanged. Of rows that share a doc_id the first text
+    in order of spelling counts.
     """
     ids = one_label(labels, name).where(use).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    return found.dropDuplicates(["doc_id"])
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
