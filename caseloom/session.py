@@ -48,6 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
             if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             base = tempfile.mkdtemp(prefix="caseloom-")
+            atexit.register(_remove, f"file://{base}")
         base = base if "://" in base or base.startswith("file:") else f"file://{base}"
         _FOLDERS[context.applicationId] = f"{base.rstrip('/')}/caseloom-{context.applicationId}"
         atexit.register(_remove, _FOLDERS[context.applicationId])
