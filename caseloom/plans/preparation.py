@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.operators.regression import label_and_normalise
 from caseloom.operators.splitting import exact_split
+from caseloom.session import stored
 from caseloom.sources.cases import processed_path, read_cases, write_table
 
 
@@ -23,5 +24,8 @@ def prepare_cases(spark: SparkSession, path: str, format: str = "parquet", multi
 def split_and_prepare(
     cases: DataFrame, id_column: str = "case_id", seed: int = 42, group_by: Sequence[str] = ("split",)
 ) -> DataFrame:
-    """Split first, then label and normalise; by default with coefficients per split."""
-    return label_and_normalise(exact_split(cases, id_column, seed), group_by=group_by)
+    """Split first, then label and normalise; by default with coefficients per split.
+
+    The split is stored, since every stage of the normalisation reads it.
+    """
+    return label_and_normalise(stored(exact_split(cases, id_column, seed), "split"), group_by=group_by)
