@@ -33,7 +33,7 @@ class Bands:
 
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 3.0),
-        (128, 1.05, 2.5),
+        (128, 0.95, 2.5),
         (512, 1.25, 2.8),
         (2048, 1.5, 3.2),
         (8192, 1.7, 3.6),
