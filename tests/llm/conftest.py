@@ -1,17 +1,9 @@
-import random
-
 import pytest
+from invented import prose
 
-WORDS = "the quick brown fox jumps over lazy dogs while seven wizards mix strange potions near old stone towers".split()
 CLASHING = ["score", "label", "part", "tie", "row", "kept", "set", "size", "token", "n", "raw", "predicted"]
 
 
-def prose(seed: int, n: int) -> str:
-    """Invented words, so that two seeds share no passage."""
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") * rng.randint(0, 2) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     def docs(rows, extra=False):

@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from conftest import prose
+from invented import prose
 from hypothesis import given
 from hypothesis import strategies as st
 

@@ -1,6 +1,6 @@
 import random
 
-from conftest import prose  # noqa: F401  (tests/llm is on the path under pytest)
+from invented import prose
 from hypothesis import given
 from hypothesis import strategies as st
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import prose
+from invented import prose
 from hypothesis import given
 from hypothesis import strategies as st
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import prose
+from invented import prose
 
 from caseloom.llm import langid
 

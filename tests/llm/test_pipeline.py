@@ -1,7 +1,7 @@
 """The stages against plain versions, and all registered queries of the subpackage."""
 
 import pytest
-from conftest import prose
+from invented import prose
 from oracle import compare, connect
 
 import __spark_entry__ as driver

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import prose
+from invented import prose
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality, samples

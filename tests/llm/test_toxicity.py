@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import prose
+from invented import prose
 from hypothesis import given
 from hypothesis import strategies as st
 
