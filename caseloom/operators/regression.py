@@ -7,6 +7,7 @@ projection as one scalar subquery, so the wide table is never shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,9 +155,23 @@ def staged_residual(
     digits: int | None = 1,
 ) -> DataFrame:
     """Residuals on the first control, refitted on the next one, and so on."""
+    return staged_residual_counted(df, targets, controls, group_by, digits)[0]
+
+
+def staged_residual_counted(
+    df: DataFrame,
+    targets: Sequence[str],
+    controls: Sequence[str],
+    group_by: Sequence[str] = (),
+    digits: int | None = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """The staged residuals, and per control (and group) and target the pairs used and dropped."""
+    counts = []
     for control in controls:
-        df = residual(df, targets, control, group_by, digits=digits)
-    return df
+        fits = fit_lines(df, targets, control, group_by)
+        counts.append(fits.select(F.lit(control).alias("control"), *map(_quoted, group_by), "target", "pairs", "dropped"))
+        df = residual(df, targets, control, group_by, fits=fits, digits=digits)
+    return df, reduce(DataFrame.unionByName, counts)
 
 
 def normalise_readings(

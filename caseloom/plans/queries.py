@@ -313,6 +313,20 @@ def normalise_cases(spark, folder):
     return _clean(done.select(*LINE_KEYS, "cancer_risk", *WIDE), *WIDE)
 
 
+def _counts_sql() -> str:
+    used = ", ".join(f"count(*) FILTER (l_returnflag <> 'R' OR {i % 4} <> 0)" for i in range(len(WIDE)))
+    return f"""WITH sums AS (SELECT count(*) AS n, [{used}] AS used FROM lineitem),
+targets AS (SELECT n, unnest({WIDE}) AS target, unnest(used) AS pairs FROM sums)
+SELECT control, target, pairs::BIGINT AS pairs, (n - pairs)::BIGINT AS dropped
+FROM targets, (SELECT unnest(['T1 int', 'T1 sk']) AS control)"""
+
+
+@query(_counts_sql())
+def dropped_pairs(spark, folder):
+    """Pairs that the fits of both stages used and left out."""
+    return regression.staged_residual_counted(tables.wide_cases(spark, folder), WIDE, ("T1 int", "T1 sk"))[1]
+
+
 @query("""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS k, regr_intercept(l_extendedprice, l_quantity) AS b
   FROM lineitem WHERE l_orderkey % 10 < 7)
 SELECT l_orderkey, l_linenumber, l_quantity, round_even(l_extendedprice - (k * l_quantity + b), 1) + 0.0::DOUBLE AS l_extendedprice
