@@ -235,6 +235,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 def _within(word: str, term: str, edits: int) -> bool:
     """Whether the distance of two words is at most ``edits``."""
+    if abs(len(word) - len(term)) > edits:
+        return False
     row = list(range(len(term) + 1))
     for i, c in enumerate(word, 1):
         last, row = row, [i]
