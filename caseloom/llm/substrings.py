@@ -4,8 +4,13 @@ Every place where at least ``min_words`` words follow is a suffix. Suffixes are
 prefixes of variable length into groups that fit in memory; the sorted suffixes of a
 group and the depths they share with their neighbours are its subtree, whose internal
 nodes of ``min_words`` words or deeper are the repeats. The first leaf of such a node
-stays, all others are removed. Words are hashed, a suffix is spelled in four symbols of
-a quarter of ``min_words`` words each (128 bits in all).
+stays, all others are removed. Only equality over ``min_words`` words is built: a longer
+repeat is a run of such suffixes, so no greater depth is needed.
+
+Words are hashed. A suffix is spelled in four symbols of a quarter of ``min_words`` words
+and 16 bits each, which give its place in the tree. As a difference inside a quarter shows
+in one symbol only, the leaves of a node must also agree in two hashes of all ``min_words``
+words, of 64 bits each and over words hashed with different seeds.
 
 Most places start no repeat, so a first round finds out which can: every window of
 ``min_words`` words has a least half-window (by hash), equal windows have equal ones,
@@ -32,7 +37,9 @@ GROUP_BYTES = 4 << 20  # text of a group of documents
 BUCKET_BYTES = 12 << 20  # packed records of a bucket
 SUBTREE = 1 << 20  # suffixes of a subtree; longer prefixes are taken until it fits
 _ANCHOR = np.dtype([("hash", "<u8"), ("at", "<u4")])
-_SUFFIX = np.dtype([("high", "<u8"), ("low", "<u8"), ("at", "<u4")])
+_SUFFIX = np.dtype([("place", "<u8"), ("first", "<u8"), ("second", "<u8"), ("at", "<u4")])
+_SPELLED = ("place", "first", "second")  # equal suffixes agree in all of them
+_SEED = 0x5F3759DF  # of the words under the second hash of a suffix
 _OWNER = np.dtype([("doc_id", "<i8"), ("records", "<u4")])
 _NULL = np.iinfo(np.int64).min  # null ids sort first
 
@@ -73,16 +80,26 @@ class Group:
             where[lower] = np.flatnonzero(lower) + j
         return hashes, where
 
-    def symbols(self) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix at each window start, as two halves of two symbols."""
+    def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix at each window start: its four symbols, and two hashes of the whole."""
         cuts = np.linspace(0, self.size, 5).astype(int)
         n = len(self.inside)
-        parts = []
+        place = np.zeros(n, np.uint64)
         for a, b in zip(cuts, cuts[1:]):
             hashes = arrow.window_hashes(self.hashes, int(b - a), np.uint64(0xC2B2AE3D27D4EB4F))
-            parts.append(hashes[a : a + n] >> np.uint64(32))
-        shift = np.uint64(32)
-        return parts[0] << shift | parts[1], parts[2] << shift | parts[3]
+            place = place << np.uint64(16) | hashes[a : a + n] >> np.uint64(48)
+        first = arrow.window_hashes(self.hashes, self.size)[:n]
+        second = arrow.window_hashes(self.words.hashes(_SEED), self.size, np.uint64(0xD6E8FEB86659FD93))[:n]
+        return place, first, second
+
+
+def _alike(spelled: tuple[np.ndarray, ...], order: np.ndarray) -> np.ndarray:
+    """Which suffixes, in this order, are spelled like the one before."""
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for values in spelled:
+        values = values[order]
+        same &= values[1:] == values[:-1]
+    return same
 
 
 def _packed(records: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -160,21 +177,22 @@ def _suffix_records(min_words: int, buckets: int):
         can[anchors[_repeated(hashes[anchors])]] = True
         can[_places(back)] = True
         windows = windows[can[where[windows]]]
-        high, low = group.symbols()
-        high, low = high[windows], low[windows]
+        spelled = tuple(values[windows] for values in group.symbols())
         # what repeats within the group is settled here, the first leaf goes on
-        order = np.lexsort((windows, low, high))
+        order = np.lexsort((windows, *reversed(spelled)))
         later = np.zeros(len(windows), bool)
-        later[order[1:]] = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+        later[order[1:]] = _alike(spelled, order)
         part = table.column("part")[0].as_py()
         keep = ~later
         records = np.empty(int(keep.sum()), _SUFFIX)
-        records["high"], records["low"], records["at"] = high[keep], low[keep], windows[keep]
+        for name, values in zip(_SPELLED, spelled):
+            records[name] = values[keep]
+        records["at"] = windows[keep]
         rows = []
         if later.any():
             rows.append((part % buckets, part, b"", b"", _positions(part, windows[later])[1]))
         # hashes are spread evenly: so are their leading bits, the prefixes
-        prefix = (records["high"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        prefix = (records["place"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         for bucket, some in _packed(records, prefix.astype(np.int64), buckets):
             owner = np.searchsorted(group.words.bounds, some["at"], "right") - 1
             whose, counts = np.unique(owner, return_counts=True)
@@ -206,14 +224,14 @@ def subtree_groups(high: np.ndarray, low: np.ndarray, most: int = SUBTREE) -> It
         waiting.extend((rows[digit == d], bits + 4) for d in np.unique(digit))
 
 
-def deep_nodes(high: np.ndarray, low: np.ndarray, *rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def deep_nodes(spelled: tuple[np.ndarray, ...], *rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaves in the order of the subtree, and which share the whole depth with the one before.
 
     Leaves of a node are in the order of ``rank``, most significant first.
     """
-    order = np.lexsort((*reversed(rank), low, high))
+    order = np.lexsort((*reversed(rank), *reversed(spelled)))
     deep = np.zeros(len(order), bool)
-    deep[1:] = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    deep[1:] = _alike(spelled, order)
     return order, deep
 
 
@@ -224,10 +242,10 @@ def _repeats(table: pa.Table) -> pa.Table:
     ids = np.repeat(owner["doc_id"], owner["records"])
     groups = table.column("part").to_numpy()
     part = np.repeat(groups, [len(b) // _SUFFIX.itemsize for b in blobs])
-    high, low, at = (np.ascontiguousarray(records[f]) for f in ("high", "low", "at"))
+    spelled, at = [np.ascontiguousarray(records[f]) for f in _SPELLED], records["at"]
     found = []
-    for rows in subtree_groups(high, low):
-        order, deep = deep_nodes(high[rows], low[rows], ids[rows], part[rows], at[rows])
+    for rows in subtree_groups(*spelled[:2]):
+        order, deep = deep_nodes(tuple(values[rows] for values in spelled), ids[rows], part[rows], at[rows])
         found.append(rows[order[deep]])
     found = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
     local = [np.frombuffer(b, "<u4") for b in table.column("local").to_pylist()]

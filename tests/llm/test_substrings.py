@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from invented import prose
 
-from caseloom.llm import substrings
+from caseloom.llm import arrow, substrings
 
 
 def brute(rows, size=20):
@@ -56,6 +57,22 @@ def test_edges(make, edge_rows):
     assert substrings.remove_repeats(make([])).count() == 0
 
 
+def test_unique_windows_whose_symbols_agree(make):
+    """Pairs of texts that differ in their first word, where the upper 32 bits of its quarter's hash agree."""
+    fixed = [np.uint64(xxhash.xxh3_64_intdigest(w.encode(), 0)) for w in prose(77, 20).split()]
+    ids = np.array([xxhash.xxh3_64_intdigest(b"id%d" % i, 0) for i in range(300_000)], np.uint64)
+    total = np.zeros(len(ids), np.uint64)
+    for j in range(5):
+        total = total * np.uint64(0xC2B2AE3D27D4EB4F) + (fixed[j] if j else ids)
+    symbol = arrow.mixed(total) >> np.uint64(32)
+    order = np.argsort(symbol)
+    again = np.flatnonzero(symbol[order][1:] == symbol[order][:-1])
+    assert len(again)
+    words = prose(77, 20).split()
+    data = [(i, " ".join([f"id{k}", *words[1:]])) for i, k in enumerate(order[[*again, *(again + 1)]])]
+    assert compared(substrings.remove_repeats(make(data))) == sorted(brute(data), key=str)
+
+
 def test_ranges_cover_what_is_removed(make):
     text = prose(11, 30)
     found = {r.doc_id: r for r in substrings.remove_repeats(make([(1, text), (2, f"q {text} r")])).collect()}
