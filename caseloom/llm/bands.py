@@ -29,12 +29,19 @@ class Bands:
 
     ``whole`` holds (bytes at least, least ratio, greatest ratio). A chunk shorter
     than ``chunk_bytes`` (the rest of a text) is judged as a whole text of its length.
+    Least ratios from 128 bytes lie between those measured for base64 in words or lines
+    and for prose; below 128 bytes the two overlap.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 3.0),
-        (128, 0.95, 2.5),
-        (512, 1.25, 2.8),
+        (128, 1.04, 2.5),
+        (160, 1.085, 2.5),
+        (200, 1.135, 2.5),
+        (256, 1.23, 2.5),
+        (384, 1.3, 2.5),
+        (512, 1.35, 2.8),
+        (1024, 1.5, 2.8),
         (2048, 1.5, 3.2),
         (8192, 1.7, 3.6),
         (32768, 1.8, 4.2),

@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 from collections import Counter
@@ -50,6 +51,17 @@ def test_bands_reject_repetition_and_noise(make):
     assert not found[1].kept and not found[2].kept and not found[3].kept
 
 
+def test_encoded_text_is_rejected_in_every_band(make):
+    rng = random.Random(3)
+    rows = []
+    for length in (128, 140, 159, 160, 199, 200, 255, 256, 300, 383, 384, 511, 512, 800, 1023, 1024, 1300, 2047, 2048, 4095, 8192, 40_000):
+        for width in (8, 11):
+            code = base64.b64encode(rng.randbytes(length)).decode()
+            rows.append((length, "\n".join(code[i : i + width] for i in range(0, length, width))[:length]))
+    found = bands.quality_rules(make(rows)).collect()
+    assert not [r for r in found if r.base_failed] and not [(r.doc_id, r.ratio) for r in found if r.kept]
+
+
 def test_clean_documents_are_kept(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
