@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,21 +166,30 @@ class Tokeniser:
     A text may be cut before white space that follows a visible character, and between a
     letter and a sign: no match of the vocabulary's splitting pattern reaches over such a
     place. Units that are one match go straight to the library's merge model.
+
+    The library takes added tokens (such as an end-of-text marker) out of a text first: each
+    is a unit of its own, and so is a whole text with one that also takes its surroundings.
+    With ``literal`` special ones are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (literal and t.special)]
+        self.added = {t.content for t in added}
+        longest = sorted((c.encode() for c in self.added), key=len, reverse=True)
+        self.find = re.compile(b"|".join(map(re.escape, longest))) if added else None
+        self.apart = not self.tokenizer.normalizer and not any(t.lstrip or t.rstrip or t.single_word for t in added)
         self.cache = UnitCache(self._encode)
         # marked tokens and settings would apply to whole units, too
         self.direct = not self.tokenizer.normalizer and self.tokenizer.model.dropout is None
 
     def _encode(self, units: list[str]) -> list[list[int]]:
         merge = self.tokenizer.model.tokenize
-        whole = [bool(_WHOLE(u)) for u in units] if self.direct else [False] * len(units)
+        whole = [bool(_WHOLE(u)) and u not in self.added for u in units] if self.direct else [False] * len(units)
         rest = [u for u, w in zip(units, whole) if not w]
         other = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
         return [
@@ -187,6 +197,17 @@ class Tokeniser:
             for u, w in zip(units, whole)
         ]
 
+    def _found(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Added tokens, leftmost and longest first: begin, end and number of the text."""
+        raw, at = data.tobytes() if self.find else b"", 0
+        while self.find and (match := self.find.search(raw, at)):
+            begin = match.start()
+            text = int(np.searchsorted(offsets, begin, "right")) - 1
+            match = self.find.match(raw, begin, int(offsets[text + 1]))  # not into the next text
+            at = match.end() if match else begin + 1
+            if match:
+                yield begin, at, text
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = arrow.text_bytes(texts)
         cuts = np.zeros(len(data), bool)
@@ -200,14 +221,21 @@ class Tokeniser:
         letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
         sign = (data > 0x20) & (data < 0x7F) & ~capital & ~small & ~((data >= 48) & (data <= 57))
         cuts[1:] |= sign[1:] & letter[:-1]
+        for begin, end, text in self._found(data, offsets):
+            if self.apart:
+                cuts[begin + 1 : end] = False
+                cuts[begin] = True
+                cuts[end : end + 1] = True
+            else:
+                cuts[offsets[text] + 1 : offsets[text + 1]] = False
         units, first = unit_array(data, offsets, cuts)
         ids, lengths = self.cache(units)
         return ids, np.concatenate([[0], np.cumsum(lengths)])[first]
 
 
 @functools.lru_cache(maxsize=2)
-def tokeniser(path: str) -> Tokeniser:
-    return Tokeniser(path)
+def tokeniser(path: str, literal: bool = True) -> Tokeniser:
+    return Tokeniser(path, literal)
 
 
 def write_tokens(
@@ -218,7 +246,8 @@ def write_tokens(
     One exchange by ranges of doc_id; each task writes files of about ``file_tokens``
     ids. Returns the stored list of files: part, number, path, documents, tokens.
 
-    A null text is empty (its end id alone). Null doc_ids come first; rows with one
+    Ids are those of the library as it loads the vocabulary: special tokens in a text keep
+    their id. A null text is empty (its end id alone). Null doc_ids come first; rows with one
     doc_id are ordered by a hash of their text, so that even a doc_id with a third of
     all rows is spread over files; equal rows are kept. Other columns are ignored.
     """
@@ -249,7 +278,7 @@ def write_tokens(
                 ["part", "number", "path", "documents", "tokens"],
             )
 
-        encode = tokeniser(vocabulary)
+        encode = tokeniser(vocabulary, literal=False)
         for batch in arrow.sliced(batches):
             inner, bounds = encode(batch.column("text"))
             n = np.diff(bounds)

@@ -41,6 +41,31 @@ def test_any_mixture_of_signs(plain, text):
     assert encoded([text, text]) == [plain(text)] * 2
 
 
+UNCHANGED = Tokenizer.from_file(PATH)
+MARKER = "<|endoftext|>"
+MARKED = [
+    f"abc {MARKER} def", MARKER, f"{MARKER}{MARKER}", f"a{MARKER}b", f" {MARKER} ", f"x\n {MARKER}\n\ny", f"<|endof{MARKER}text|>",
+    "abc<|endof", "text|> d", f"é{MARKER}'s 日{MARKER}", f"<{MARKER}>", *ODD,
+]
+
+
+def test_special_tokens_are_those_of_the_unchanged_library(spark, make):
+    wanted = [UNCHANGED.encode(t or "", add_special_tokens=False).ids for t in MARKED]
+    ids, bounds = tokenfile.tokeniser(PATH, literal=False)(pa.array(MARKED, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == wanted
+    folder = new_folder(spark, "tokens")
+    files = tokenfile.write_tokens(make(list(enumerate(MARKED))), PATH, 2, folder)
+    found = tokenfile.read_tokens(files, folder, arrays=True).collect()
+    assert {r.doc_id: r.ids for r in found} == {i: [*w, 2] for i, w in enumerate(wanted)}
+
+
+@given(text=st.lists(st.sampled_from([MARKER, MARKER[:5], MARKER[5:], "ab", " ", "\n", "'s", "é", "!", "1"]), max_size=12).map("".join))
+def test_special_tokens_among_any_signs(text):
+    wanted = UNCHANGED.encode(text, add_special_tokens=False).ids
+    ids, bounds = tokenfile.tokeniser(PATH, literal=False)(pa.array([text, text], pa.string()))
+    assert ids.tolist() == wanted * 2
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.data())
 def test_random_access(ids, data):
     ids = np.array(ids, np.uint32)
