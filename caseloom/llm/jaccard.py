@@ -9,7 +9,9 @@ what remains is decided by intersecting the sorted arrays.
 The order puts tokens of many sets last, so that a passage shared by a third of all
 texts makes no large tiles. Tiles that stay large hold near copies of each other: there
 neighbours by size are linked first, and only sets that are still in different
-components are compared further. No link between different components is lost.
+components are compared further. No link between different components is lost. The
+number of links of each set is counted afterwards, in components that large tiles may have
+left incomplete by comparing all their sets in blocks; these pairs never become rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ BROADCAST_TOKENS = 4 << 20  # 32 MB of common tokens, and of set numbers, at mos
 BUCKET_BYTES = 16 << 20  # of tile entries in a group
 SMALL_TILE = 64
 BLOCK_SETS = 1024  # of a large tile in a block
+COUNT_SETS = 1024  # of a component in a block, when its links are counted
+COUNT_BODY = 1 << 20  # tokens of these sets, 8 MB
+COUNT_BLOCKS = 8  # of a smaller component, so that its pairs are spread over tasks
+COUNT_LEAST = 32  # sets of a block, where that leaves fewer blocks
+COUNT_TOKENS = 2048  # tokens multiplied at a time
 KNOWN_TILES = 64  # of a set's large tiles that tell where a pair was met before
 COMMON = 64  # tokens of more sets than this are put last
 
@@ -354,12 +361,13 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.select(_node("a", "m").alias("a"), _node("b", "n").alias("b"))
 
 
-def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of the documents, links between classes, and components of linked classes.
+def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Classes of the documents, links between classes, components of linked classes, link counts.
 
-    Returns documents (doc_id, set, size), links (a, m, b, n: sets and their sizes) and
-    labels (node, label: structs of size and set). In tiles of more than SMALL_TILE
-    different sets, links inside a component are not all listed; components are complete.
+    Returns documents (doc_id, set, size), links (a, m, b, n: sets and their sizes),
+    labels (node, label: structs of size and set) and degrees (set, size, n_links). In
+    tiles of more than SMALL_TILE different sets, links inside a component are not all
+    listed; components and degrees are complete.
     """
     spark = docs.sparkSession
     read = _read(docs, size)
@@ -379,7 +387,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Dat
         if not further.isEmpty():
             links = stored(links.union(_verified(docs, further, size, percent)), "links")
             labels = stored(components(_edges(links)), "labels")
-    return members, links, labels
+    return members, links, labels, _degrees(docs, links, labels, large, size, percent)
 
 
 def _folded(bits: list[bytes], to: int) -> np.ndarray:
@@ -460,24 +468,96 @@ def _across(large: DataFrame, labels: DataFrame, bitmaps: DataFrame, percent: in
     return stored(met.distinct(), "pairs")
 
 
+def _counted(percent: int):
+    """Links between the sets of one block of a component and those of another, or its own."""
+
+    def run(group: pa.Table) -> pa.Table:
+        first, second = (group.column(c)[0].as_py() for c in ("first", "second"))
+        block = group.column("block").to_numpy()
+        size = group.column("size").to_numpy().astype(np.int64)
+        tokens = np.frombuffer(b"".join(group.column("body").to_pylist()), "<u8")
+        _, token, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(size)), size)
+        # tokens of one set alone are in no overlap; the others get consecutive numbers
+        number = np.cumsum(often > 1) - 1
+        use = (often > 1)[token]
+        of, token = of[use], number[token[use]]
+        order = np.argsort(token, kind="stable")
+        of, token = of[order], token[order]
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        place = np.zeros(len(size), np.int64)
+        place[left] = np.arange(len(left))
+        place[right] = np.arange(len(right))
+        both = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 are exact
+        for base in range(0, int(token[-1]) + 1 if len(token) else 0, COUNT_TOKENS):
+            a, b = np.searchsorted(token, (base, base + COUNT_TOKENS))
+            has = np.zeros((len(size), COUNT_TOKENS), np.float32)
+            has[of[a:b], token[a:b] - base] = 1
+            both += has[left] @ has[right].T
+        least = -(-percent * (size[left][:, None] + size[right][None, :]) // (100 + percent))
+        linked = both >= least
+        counts = np.zeros(len(size), np.int64)
+        if first == second:
+            np.fill_diagonal(linked, False)
+            counts[left] = linked.sum(axis=1)
+        else:
+            counts[left], counts[right] = linked.sum(axis=1), linked.sum(axis=0)
+        return pa.Table.from_arrays([group.column("set"), group.column("size"), pa.array(counts)], ["set", "size", "n"])
+
+    return run
+
+
+def _degrees(docs: DataFrame, links: DataFrame, labels: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
+    """Number of links of every linked set: set, size, n_links.
+
+    A component none of whose sets share a large tile has all its links listed. The sets
+    of any other are dealt to blocks by hash, and a task counts the links of two blocks
+    from the whole sets; what leaves it is a row for each set.
+    """
+    degree = links.select(F.col("a").alias("set"), F.col("m").alias("size")).union(links.select("b", "n"))
+    listed = degree.groupBy("set", "size").agg(F.count(F.lit(1)).alias("n_links"))
+    if large.isEmpty():
+        return listed
+    named = labels.select(F.col("node.set").alias("set"), F.col("node.size").alias("size"), F.col("label").alias("part"))
+    shared = large.join(named, ["set", "size"]).groupBy("tile", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = shared.where("n > 1").select("part").distinct()
+    within = named.join(parts, "part")
+    blocks = F.greatest(
+        F.ceil(F.col("n") / COUNT_SETS), F.ceil(F.col("tokens") / COUNT_BODY), F.least(F.lit(COUNT_BLOCKS), F.ceil(F.col("n") / COUNT_LEAST))
+    ).cast("int")
+    sizes = within.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")).select("part", blocks.alias("blocks"))
+    within = stored(within.join(sizes, "part"), "within")
+    if within.isEmpty():
+        return listed
+    block = F.pmod(F.xxhash64("set", "size"), F.col("blocks")).cast("int")
+    bodies = _bodies(docs, within.select("set", "size"), size, np.ndarray.tobytes)
+    rows = within.join(bodies, ["set", "size"]).withColumn("block", block)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = rows.select(
+        "part", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block",
+        "set", "size", "body",
+    )
+    counts = keyed.groupBy("part", "first", "second").applyInArrow(_counted(percent), "set bigint, size int, n bigint")
+    counts = counts.groupBy("set", "size").agg(F.sum("n").alias("n_links"))
+    return listed.join(within, ["set", "size"], "left_anti").union(counts)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Set size and component of every document: doc_id, n_shingles, component_id, n_links.
 
     component_id is the least doc_id reachable over links of Jaccard ``percent`` or more;
-    n_links counts the listed links of the document's class to other classes.
+    n_links counts the links of the document's class to other classes.
 
     A null text, or one without words, has the empty set and is linked with nothing: its
     component is itself. A text with fewer than ``size`` words is one shingle. Repeated
     rows and copies come back as often as given; a null doc_id is no component's name
     unless all members lack one. Other columns are ignored.
     """
-    members, links, labels = similar_sets(docs, size, percent)
+    members, _, labels, degree = similar_sets(docs, size, percent)
     classes = members.where("size > 0").groupBy("set", "size").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "own"), _node("set", "size") == F.col("own"), "left")
     named = named.withColumn("label", F.coalesce("label", _node("set", "size")))
     lowest = named.groupBy("label").agg(F.min("least").alias("component"))
-    degree = links.select(F.col("a").alias("set"), F.col("m").alias("size")).union(links.select("b", "n"))
-    degree = degree.groupBy("set", "size").agg(F.count(F.lit(1)).alias("n_links"))
     resolved = named.join(lowest, "label").join(degree, ["set", "size"], "left").select("set", "size", "component", "n_links")
     return members.join(resolved, ["set", "size"], "left").select(
         "doc_id",

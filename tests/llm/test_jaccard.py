@@ -71,6 +71,26 @@ def test_equals_brute_force(make, rows, monkeypatch, small_tile, common):
     assert result(jaccard.near_duplicates(make(rows))) == sorted(brute(rows), key=str)
 
 
+def brute_links(rows):
+    """Sets that are similar enough to that of each row, other than its own."""
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    different = set(sets) - {frozenset()}
+    similar = lambda x, y: x != y and 100 * len(x & y) >= 80 * len(x | y)
+    count = {x: sum(similar(x, y) for y in different) for x in different}
+    return {d: count.get(s, 0) for (d, _), s in zip(rows, sets)}
+
+
+@pytest.mark.parametrize("sets, tokens", [(1024, 2048), (16, 50)])
+def test_all_links_are_counted(make, rows, monkeypatch, sets, tokens):
+    """Also in a group of more near copies than a small tile has."""
+    monkeypatch.setattr(jaccard, "COUNT_SETS", sets)
+    monkeypatch.setattr(jaccard, "COUNT_TOKENS", tokens)
+    rows = [*rows, *((1000 + i, t) for i, t in enumerate(family(9, 150, 200, 6)))]
+    wanted = brute_links(rows)
+    assert max(wanted.values()) > jaccard.SMALL_TILE
+    assert {r.doc_id: r.n_links for r in jaccard.near_duplicates(make(rows)).collect()} == wanted
+
+
 def test_without_broadcasts(make, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_TOKENS", 0)
     assert result(jaccard.near_duplicates(make(rows))) == sorted(brute(rows), key=str)
