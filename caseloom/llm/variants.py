@@ -71,21 +71,30 @@ def trie_nodes(words: DataFrame) -> DataFrame:
 def _paths(words: DataFrame) -> DataFrame:
     """For each word and way its text, size and the kept nodes on its path, by depth."""
     nodes = stored(trie_nodes(words), "nodes")
-    forks = nodes.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high")).where("low < high").select("node")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("next") % 64)
+    forks = nodes.groupBy("node").agg(
+        F.min("next").alias("low"), F.max("next").alias("high"), F.bit_or(F.when(F.col("next") >= 0, bit)).alias("onward")
+    )
+    forks = forks.where("low < high").select("node", "onward")
     # the end of a word stays, too: states and edges stop there
-    kept = nodes.join(forks, "node", "left_semi").where("next >= 0").union(nodes.where("next < 0").select("node", "id", "way", "depth", "next"))
-    paths = kept.groupBy("id", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
+    inner = nodes.where("next >= 0").join(forks, "node")
+    ends = nodes.where("next < 0").join(forks, "node", "left")
+    kept = inner.union(ends)
+    paths = kept.groupBy("id", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "onward"))).alias("path"))
     text = F.when(F.col("way") == 1, F.reverse("word")).otherwise(F.col("word"))
     return paths.join(words, "id").select("id", "n", text.alias("text"), F.length("word").alias("size"), "path")
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """Edges of the tries: node, first character, rest of the label, child and the word that ends there."""
+    """Edges of the tries: node, first character, rest of the label, child and the word that ends there.
+
+    ``onward`` has a bit for the characters that edges of the child begin with.
+    """
     steps = F.size("path") - 1
     from_to = F.zip_with(
         F.slice("path", F.lit(1), steps),
         F.slice("path", F.lit(2), steps),
-        lambda a, b: F.struct(a["depth"].alias("depth"), a["node"].alias("node"), b["depth"].alias("to"), b["node"].alias("child")),
+        lambda a, b: F.struct(a["depth"].alias("depth"), a["node"].alias("node"), b["depth"].alias("to"), b["node"].alias("child"), b["onward"].alias("onward")),
     )
     steps = paths.where(F.size("path") > 1).select("id", "n", "text", "size", F.explode(from_to).alias("e")).select("id", "n", "text", "size", "e.*")
     word = F.when(F.col("to") == F.col("size"), F.struct("id", "n", "text"))
@@ -94,9 +103,10 @@ def _edges(paths: DataFrame) -> DataFrame:
         F.substring("text", F.col("depth") + 1, F.lit(1)).alias("first"),
         F.substring("text", F.col("depth") + 2, F.col("to") - F.col("depth") - 1).alias("rest"),
         "child",
+        "onward",
         word.alias("ends"),
     )
-    return labelled.groupBy("node", "first", "rest", "child").agg(F.max("ends").alias("ends"))
+    return labelled.groupBy("node", "first", "rest", "child").agg(F.max("ends").alias("ends"), F.first("onward").alias("onward"))
 
 
 STATE = ["id", "n", "text", "size", "pos", "node"]
@@ -107,7 +117,9 @@ def _arrived(joined: DataFrame) -> DataFrame:
     met = (F.col("pos") == F.col("size")) & F.col("ends").isNotNull()
     # the hash of a prefix stands for it; the pair itself is compared
     pair = met & (F.levenshtein("text", F.col("ends.text"), 1) == 1)
-    live = joined.where(pair | (F.col("pos") < F.col("size")))
+    # a state in which no edge can go on is not made
+    following = F.ascii(F.substring("text", F.col("pos") + 1, F.lit(1))) % 64
+    live = joined.where(pair | ((F.col("pos") < F.col("size")) & (F.bit_get("onward", following) == 1)))
     other = F.when(F.col("pos") == F.col("size"), F.struct(F.col("ends.id").alias("id"), F.col("ends.n").alias("n")))
     return live.select(*STATE, other.alias("other"))
 
