@@ -151,6 +151,26 @@ def per_slice(
     return run
 
 
+def filtered(docs, function: Callable):
+    """``docs`` through a function that only leaves out rows; column names may hold any signs."""
+    plain = docs.toDF(*(name if name == "text" else f"c{i}" for i, name in enumerate(docs.columns)))
+    return plain.mapInArrow(function, plain.schema).toDF(*docs.columns)
+
+
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """A value that a worker keeps between batches, until another key asks for its own.
+
+    Workers go on to later stages, and should not carry the models of earlier ones there.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def crc_mod(column, divisor: int):
     """crc32 of the id as text, modulo ``divisor``, as a column."""
     from pyspark.sql import functions as F

@@ -7,16 +7,20 @@ stretch around every hit is verified with Myers' bit-parallel edit distance.
 
 from __future__ import annotations
 
-import functools
 import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from caseloom.llm import arrow
+from caseloom.session import stored
 
 ERROR_RATE = 0.07  # edits per character of an item
+LEAST_CHARS = 20  # shorter items stand in texts by chance
 BLOCK_CHARS = 4 << 20  # items are searched in blocks, which bounds each broadcast
 
 
@@ -69,7 +73,8 @@ class Matcher:
     """All items of a block."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, budget(len(t), rate)) for i, t in items if t]
+        # blanks at both ends: a match begins and ends with a word, or pays for it
+        self.items = [(i, f" {t} ", budget(len(t), rate)) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text, edits) in enumerate(self.items):
             for at, piece in pieces(text, edits):
@@ -84,6 +89,7 @@ class Matcher:
         """Best match of every item: item id, distance, begin (approximate) and end in the text."""
         if not len(self.automaton):
             return []
+        text = f" {text} "
         stretches: dict[int, list[list[int]]] = {}
         for end, (length, where) in self.automaton.iter(text):
             start = end - length + 1
@@ -110,52 +116,65 @@ class Matcher:
                 distances = myers(item, text[a:b])
                 least = min(distances)
                 if least <= edits and (best is None or least < best[0]):
-                    end = a + distances.index(least) + 1
-                    best = least, max(end - len(item), 0), end
+                    end = a + distances.index(least) + 1  # without the blanks at the ends:
+                    best = least, max(end - len(item), 0), min(max(end - 2, 0), len(text) - 2)
             if best is not None:
                 out.append((item_id, *best))
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    return Matcher(list(items), rate)
+def _blocks(items: DataFrame, chars: int, least: int) -> tuple[DataFrame, int]:
+    """The items, normalised and stored, dealt by hash to blocks of about ``chars`` characters."""
 
+    def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [normalised(t) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(texts, pa.string())], ["item_id", "text"])
 
-def _blocks(items: DataFrame, chars: int) -> list[tuple[tuple[int, str], ...]]:
-    """The items, normalised, in blocks of about ``chars`` characters."""
-    blocks, block, held = [], [], 0
-    for row in items.select("item_id", "text").where("text IS NOT NULL").distinct().toLocalIterator():
-        text = normalised(row.text)
-        if text:
-            block.append((row.item_id, text))
-            held += len(text)
-        if held >= chars:
-            blocks.append(tuple(block))
-            block, held = [], 0
-    return [*blocks, tuple(block)] if block else blocks
+    known = items.select("item_id", "text").where("text IS NOT NULL")
+    known = known.mapInArrow(arrow.per_slice(plain), known.schema).where(F.length("text") >= least).distinct()
+    known = stored(known, "items")
+    blocks = -(-(known.agg(F.sum(F.length("text"))).first()[0] or 0) // chars)
+    return known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1)))), blocks
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _matchers(items: DataFrame, rate: float, chars: int, least: int) -> Iterator[Callable[[], Matcher]]:
+    """What gives a task the matcher of each block in turn; the driver reads one block at a time."""
+    table, blocks = _blocks(items, chars, least)
+    for block in range(blocks):
+        rows = table.where(F.col("block") == block).orderBy("item_id", "text").collect()
+        sent = items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+        key = "matcher", uuid.uuid4().hex
+        yield lambda sent=sent, key=key: arrow.held(key, lambda: Matcher(sent.value, rate))
+
+
+def matches(
+    docs: DataFrame,
+    items: DataFrame,
+    rate: float = ERROR_RATE,
+    block_chars: int = BLOCK_CHARS,
+    least_chars: int = LEAST_CHARS,
+) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, distance, begin, end.
 
-    A text holds an item when a stretch of it is within ``rate`` edits per character,
-    both in lower case with single blanks; the best stretch is given, as character
-    places in that form. The items are a stated query set, broadcast in blocks.
+    A text holds an item when a stretch of its words is within ``rate`` edits per
+    character, both in lower case with single blanks; a stretch that begins or ends
+    inside a word pays an edit for each such end. The best stretch is given (ties: the
+    first), as character places in that form. Items of fewer than ``least_chars``
+    characters in that form are not looked for. The items are a stated query set,
+    broadcast in blocks of about ``block_chars`` characters; documents are read once for
+    each block. Whole texts of any length.
 
     Null or empty texts and items match nothing. Repeated items count once; repeated
-    documents come back as often as given; null ids stay null. Other columns are ignored.
+    documents come back as often as given; null ids stay null. Empty tables give an
+    empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     names = ["doc_id", "item_id", "distance", "begin", "end"]
     schema = "doc_id bigint, item_id bigint, distance int, begin bigint, end bigint"
-    found = None
-    for block in _blocks(items, block_chars):
-        sent = spark.sparkContext.broadcast(block)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for matcher in _matchers(items, rate, block_chars, least_chars):
 
-        def rows(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch | None:
-            match = _matcher(sent.value, rate)
-            out = []
+        def rows(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch | None:
+            match, out = matcher(), []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if text:
                     out.extend((doc_id, *m) for m in match(normalised(text)))
@@ -164,23 +183,27 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_c
             types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-        part = docs.select("doc_id", "text").mapInArrow(arrow.per_slice(rows), schema)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], schema) if found is None else found
+        found = found.union(docs.select("doc_id", "text").mapInArrow(arrow.per_slice(rows), schema))
+    return found
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    rate: float = ERROR_RATE,
+    block_chars: int = BLOCK_CHARS,
+    least_chars: int = LEAST_CHARS,
+) -> DataFrame:
     """Rows of ``docs``, with all their columns, that hold no item; as for ``matches``.
 
     Null and empty texts stay. The blocks of items are searched one after the other.
     """
-    for block in _blocks(items, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for matcher in _matchers(items, rate, block_chars, least_chars):
 
-        def rows(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            match = _matcher(sent.value, rate)
+        def rows(batch: pa.RecordBatch, matcher=matcher) -> pa.RecordBatch:
+            match = matcher()
             texts = batch.column("text").to_pylist()
             return batch.filter(pa.array([not (t and match(normalised(t))) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(arrow.per_slice(rows), docs.schema)
+        docs = arrow.filtered(docs, arrow.per_slice(rows))
     return docs

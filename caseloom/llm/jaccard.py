@@ -361,13 +361,15 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.select(_node("a", "m").alias("a"), _node("b", "n").alias("b"))
 
 
-def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def similar_sets(
+    docs: DataFrame, size: int = 5, percent: int = 80, counts: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Classes of the documents, links between classes, components of linked classes, link counts.
 
     Returns documents (doc_id, set, size), links (a, m, b, n: sets and their sizes),
     labels (node, label: structs of size and set) and degrees (set, size, n_links). In
     tiles of more than SMALL_TILE different sets, links inside a component are not all
-    listed; components and degrees are complete.
+    listed; components and degrees are complete. Without ``counts`` there are no degrees.
     """
     spark = docs.sparkSession
     read = _read(docs, size)
@@ -387,7 +389,8 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Dat
         if not further.isEmpty():
             links = stored(links.union(_verified(docs, further, size, percent)), "links")
             labels = stored(components(_edges(links)), "labels")
-    return members, links, labels, _degrees(docs, links, labels, large, size, percent)
+    degrees = _degrees(docs, links, labels, large, size, percent) if counts else None
+    return members, links, labels, degrees
 
 
 def _folded(bits: list[bytes], to: int) -> np.ndarray:
@@ -542,26 +545,31 @@ def _degrees(docs: DataFrame, links: DataFrame, labels: DataFrame, large: DataFr
     return listed.join(within, ["set", "size"], "left_anti").union(counts)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, counts: bool = True) -> DataFrame:
     """Set size and component of every document: doc_id, n_shingles, component_id, n_links.
 
     component_id is the least doc_id reachable over links of Jaccard ``percent`` or more;
-    n_links counts the links of the document's class to other classes.
+    n_links counts the links of the document's class to other classes; ``counts=False``
+    leaves it out, and the comparisons that only it needs.
 
     A null text, or one without words, has the empty set and is linked with nothing: its
     component is itself. A text with fewer than ``size`` words is one shingle. Repeated
     rows and copies come back as often as given; a null doc_id is no component's name
     unless all members lack one. Other columns are ignored.
     """
-    members, _, labels, degree = similar_sets(docs, size, percent)
+    members, _, labels, degree = similar_sets(docs, size, percent, counts)
     classes = members.where("size > 0").groupBy("set", "size").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "own"), _node("set", "size") == F.col("own"), "left")
     named = named.withColumn("label", F.coalesce("label", _node("set", "size")))
     lowest = named.groupBy("label").agg(F.min("least").alias("component"))
-    resolved = named.join(lowest, "label").join(degree, ["set", "size"], "left").select("set", "size", "component", "n_links")
+    resolved = named.join(lowest, "label")
+    if counts:
+        resolved = resolved.join(degree, ["set", "size"], "left")
+    links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counts else []
+    resolved = resolved.select("set", "size", "component", *(["n_links"] if counts else []))
     return members.join(resolved, ["set", "size"], "left").select(
         "doc_id",
         F.col("size").cast("bigint").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *links,
     )

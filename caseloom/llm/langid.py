@@ -8,8 +8,8 @@ long the text is. A prediction whose two smallest sizes are too close is marked
 
 from __future__ import annotations
 
-import functools
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import arrow
+from caseloom.session import stored
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 64  # training texts per language at most
-SAMPLE_CHARS = 4096  # of a training text at most
-LANGUAGES = 512  # dictionaries at most: bounds what is sent to the tasks
+SAMPLE_CHARS = 4096  # of a training text at most, in windows from all over it
+WINDOW_CHARS = 512
+LANGUAGES = 512  # dictionaries at most, of the most frequent languages: bounds what is sent to the tasks
 PIECE_BYTES = 2048
 LEVEL = 6  # lower levels overlook short matches with the dictionary
 SHARPNESS = 60.0  # turns a relative size difference into odds
@@ -36,13 +38,31 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def learn(labelled: DataFrame) -> dict[str, bytes]:
+def windows(text: str, seed: int, chars: int) -> str:
+    """The text, or windows from all its parts (one in each, at a place the seed chooses) of ``chars`` in all."""
+    if len(text) <= chars:
+        return text
+    size = min(WINDOW_CHARS, chars)
+    parts = chars // size
+    out = []
+    for i in range(parts):
+        a, b = len(text) * i // parts, len(text) * (i + 1) // parts
+        at = a + (seed + i * 0x9E3779B1) % max(b - a - size + 1, 1)
+        out.append(text[at : at + size])
+    return " ".join(out)
+
+
+def learn(
+    labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES
+) -> dict[str, bytes]:
     """Dictionary content of each language, from columns text and lang; most frequent first.
 
-    The sample is bounded: per language the SAMPLE_TEXTS texts with the smallest hashes,
-    cut to SAMPLE_CHARS letters. Each task keeps only its own smallest, so a language
-    with most of all rows is no large group. Rows without language or letters are left
-    out; equal texts count once. Beyond LANGUAGES languages an error is raised.
+    The sample is bounded: per language the ``texts`` texts with the smallest hashes, of
+    each at most ``chars`` characters in windows from all its parts. Of more than
+    ``languages`` different values of lang the most frequent are learned (ties: least
+    name). Each task keeps only its own smallest hashes, so a language with most of all
+    rows is no large group. Rows without language or letters are left out; equal texts
+    count once; an empty table teaches no language.
     """
 
     def smallest(batches):
@@ -51,35 +71,31 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
             order = ("lang", "rank", "text")
             for lang, rank, text in zip(*(batch.column(c).to_pylist() for c in order)):
                 held = best.setdefault(lang, {})
-                if rank in held or (len(held) >= SAMPLE_TEXTS and rank >= max(held)):
+                if rank in held or (len(held) >= texts and rank >= max(held)):
                     continue
-                if clean := letters(text)[:SAMPLE_CHARS]:
+                if clean := windows(letters(text), rank, chars):
                     held[rank] = clean
-                    if len(held) > SAMPLE_TEXTS:
+                    if len(held) > texts:
                         del held[max(held)]
         rows = [(lang, rank, text) for lang, held in best.items() for rank, text in held.items()]
         columns = list(zip(*rows)) if rows else [[], [], []]
         types = pa.string(), pa.int64(), pa.string()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "rank", "text"])
 
-    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     ranked = known.select("lang", F.xxhash64("text").alias("rank"), "text")
     few = ranked.mapInArrow(smallest, "lang string, rank bigint, text string").dropDuplicates(["lang", "rank"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
-    sample = few.withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).drop("place")
-    rows = sample.orderBy("lang", "rank").limit(LANGUAGES * SAMPLE_TEXTS + 1).collect()
-    texts: dict[str, list[str]] = {}
-    for row in rows:
-        texts.setdefault(row.lang, []).append(row.text)
-    if len(texts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sample = stored(few.withColumn("place", place).where(F.col("place") <= texts).drop("place"), "sample")
     # the most frequent language first: it gets texts that all compress alike
-    counts = dict(known.groupBy("lang").count().collect())
-    order = sorted(texts, key=lambda lang: (-counts[lang], lang))
-    return {lang: "\n".join(texts[lang]).encode() for lang in order}
+    counts = known.groupBy("lang").count().join(sample.select("lang").distinct(), "lang", "left_semi")
+    order = [r.lang for r in counts.orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    held: dict[str, list[str]] = {lang: [] for lang in order}
+    for row in sample.where(F.col("lang").isin(order)).orderBy("lang", "rank").collect():
+        held[row.lang].append(row.text)
+    return {lang: "\n".join(kept).encode() for lang, kept in held.items()}
 
 
-@functools.lru_cache(maxsize=2)
 def _compressors(content: tuple[tuple[str, bytes], ...], level: int) -> list[zstandard.ZstdCompressor]:
     out = []
     for _, raw in content:
@@ -104,9 +120,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL)
     content = tuple(dictionaries.items())
     names = [lang for lang, _ in content]
     sent = docs.sparkSession.sparkContext.broadcast(content)
+    key = "compressors", uuid.uuid4().hex
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        compressors = _compressors(sent.value, level)
+        compressors = arrow.held(key, lambda: _compressors(sent.value, level))
         lang, score, margin = [], [], []
         for text in pc.fill_null(batch.column("text"), "").to_pylist():
             clean = letters(text).encode()

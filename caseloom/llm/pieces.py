@@ -10,9 +10,9 @@ positions to its span of bytes in the original text.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
 from caseloom.llm import arrow
+from caseloom.llm.arrow import counts_between
 from caseloom.llm.units import UnitCache, unit_array
 
 MARK = "▁".encode()
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+SLICE_BYTES = 1 << 20
 
 
 class CharacterMap:
@@ -155,38 +157,40 @@ class Encoder:
     def _segment(self, units: list[str]) -> list[list[int]]:
         return self.segmenter.encode(units, num_threads=1)
 
-    def _normalised(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Normalised bytes, their source positions in the slice, text offsets, source offsets."""
+    def _normalised(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Normalised bytes, their source positions in the slice, text offsets, source offsets, source ends."""
         data, offsets = arrow.text_bytes(texts)
         if self.normalise.plain:
             # every blank becomes a mark; a text that is not empty gets one mark in front
             wide = len(self.normalise.mark)
-            copies = np.where(data == 32, wide, 1)
+            copies = np.where(data == 32, np.int8(wide), np.int8(1))
             first = offsets[:-1][np.diff(offsets) > 0]
             copies[first] += wide
-            source = np.repeat(np.arange(len(data)), copies)
+            source = np.repeat(np.arange(len(data), dtype=np.int32), copies)
             out = data[source]
-            ends = np.cumsum(copies)
+            ends = np.cumsum(copies, dtype=np.int32)
             lead = ends[first] - copies[first]
             blanks = np.flatnonzero(data == 32)
             for j, byte in enumerate(self.normalise.mark):
                 out[ends[blanks] - wide + j] = byte
                 out[lead + j] = byte
-            return out, source, np.concatenate([[0], ends])[offsets], offsets
-        parts, sources, lengths = [], [], []
+            return out, source, np.concatenate([[0], ends])[offsets].astype(np.int64), offsets, offsets[1:]
+        parts, sources, lengths, ends = [], [], [], []
         raw = data.tobytes()
         for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
             out, source = self.normalise(raw[a:b])
             parts.append(out)
-            sources.append(np.array(source[:-1], np.int64) + a)
+            sources.append(np.array(source[:-1], np.int32) + np.int32(a))
             lengths.append(len(out))
+            ends.append(source[-1] + a)
         edges = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         out = np.frombuffer(b"".join(parts), np.uint8)
-        return out, np.concatenate(sources) if sources else np.empty(0, np.int64), edges, offsets
+        source = np.concatenate(sources) if sources else np.empty(0, np.int32)
+        return out, source, edges, offsets, np.array(ends, np.int64)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids without begin and end, first id of each text, byte span of each piece in its text."""
-        out, source, edges, offsets = self._normalised(texts)
+    def __call__(self, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, ...]:
+        """Ids without begin and end, first id of each text, and byte span of each piece in its text."""
+        out, source, edges, offsets, stops = self._normalised(texts)
         cuts = np.zeros(len(out), bool)
         mark = np.frombuffer(self.normalise.mark, np.uint8)
         if self.by_unit and len(out) >= 2 * len(mark):
@@ -198,53 +202,62 @@ class Encoder:
         units, first = unit_array(out, edges, cuts)
         ids, lengths = self.cache(units)
         bounds = np.concatenate([[0], np.cumsum(lengths)])[first]
-        return ids, bounds, *self._spans(ids, bounds, source, edges, offsets)
-
-    def _spans(self, ids, bounds, source, edges, offsets):
+        if not spans:
+            return ids, bounds
         size = self.size[ids]
+        unknown = ids == self.full.unk_id()
+        if unknown.any():  # only the library knows their sizes; only whole texts have them
+            for i in np.flatnonzero(counts_between(unknown, bounds)).tolist():
+                proto = self.segmenter.encode(out[edges[i] : edges[i + 1]].tobytes().decode(), return_type="proto")
+                size[bounds[i] : bounds[i + 1]] = [p.end - p.begin for p in proto.pieces]
+        return ids, bounds, *self._spans(ids, bounds, size, source, edges, offsets, stops)
+
+    def _spans(self, ids, bounds, size, source, edges, offsets, stops):
         value = self.byte[ids]
         # the last byte piece of a character stands for it, those before are empty
         lead = np.flatnonzero((value >= 0) & ((value < 0x80) | (value >= 0xC0)))
         width = np.select([value[lead] < 0x80, value[lead] < 0xE0, value[lead] < 0xF0], [1, 2, 3], 4)
         size[lead + width - 1] = width
-        unknown = ids == self.full.unk_id()
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        if unknown.any():  # such a piece takes what its neighbours leave; only whole texts have them
-            rest = np.diff(edges) - np.bincount(doc, np.where(unknown, 0, size), len(bounds) - 1).astype(np.int64)
-            alone = np.bincount(doc[unknown], minlength=len(bounds) - 1)
-            size[unknown] = np.where(alone == 1, rest, 0)[doc[unknown]]
         total = np.concatenate([[0], np.cumsum(size)])
         position = edges[:-1][doc] - total[bounds[:-1]][doc]
         begin, end = total[:-1] + position, total[1:] + position
-        past = np.append(source, len(source) and offsets[-1])
-        stop = offsets[1:][doc]
-        at_end = end >= edges[1:][doc]
+        past = np.append(source, 0)
+        stop = stops[doc]
         start = np.where(begin >= edges[1:][doc], stop, past[np.minimum(begin, len(source))])
-        finish = np.where(at_end, stop, past[np.minimum(end, len(source))])
+        finish = np.where(end >= edges[1:][doc], stop, past[np.minimum(end, len(source))])
         return (start - offsets[:-1][doc]).astype(np.int32), (finish - offsets[:-1][doc]).astype(np.int32)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return arrow.held(("pieces", path), lambda: Encoder(path))
+
 
+#: What ``encode`` can return besides doc_id, n_tokens and the two digests.
+EXTRA = {
+    "covered_bytes": "bigint", "ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "decoded": "string"
+}
 
-def encode(docs: DataFrame, model: str, arrays: bool = True) -> DataFrame:
+
+def encode(docs: DataFrame, model: str, extra: Sequence[str] = tuple(EXTRA)) -> DataFrame:
     """Ids, source spans and decoded text of every document.
 
     Returns doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit
-    integers), decoded_sha256, covered_bytes (source bytes inside the spans), and with
-    ``arrays`` also ids, begins and ends (byte spans in the source; the begin and end
-    ids have empty spans) and decoded. ``model`` is the path of a model file, which
-    every worker has. One pass without any exchange; whole texts.
+    integers), decoded_sha256 and what ``extra`` names: covered_bytes (source bytes
+    inside the spans), ids, begins and ends (byte spans in the source; the begin and end
+    ids have empty spans), decoded. Spans are only worked out where they are asked for.
+    ``model`` is the path of a model file, which every worker has. One pass without any
+    exchange; whole texts, about a megabyte of them at a time.
 
     A null text is encoded as an empty one: begin and end id only. Repeated rows come
     back as often as given, a null doc_id stays null, other columns are ignored.
     """
 
+    spans = bool({"covered_bytes", "begins", "ends"} & {*extra})
+
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(model)
-        ids, bounds, begins, ends = e(batch.column("text"))
+        ids, bounds, *places = e(batch.column("text"), spans)
         n = np.diff(bounds)
         # put begin and end ids around each text
         at = bounds[:-1] + 2 * np.arange(len(n))
@@ -254,29 +267,37 @@ def encode(docs: DataFrame, model: str, arrays: bool = True) -> DataFrame:
         full[inner], full[at], full[at + n + 1] = ids, e.begin, e.end
         edges = np.append(at, len(full))
         raw = memoryview(full.astype("<u4")).cast("B")
-        every = full.tolist()
-        decoded = [e.full.decode(every[a:b]) for a, b in zip(edges, edges[1:])]
-        spans = np.concatenate([[0], np.cumsum(ends.astype(np.int64) - begins)])
+        digests, decoded = [], []
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            text = e.full.decode(full[a:b].tolist())
+            digests.append((hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            if "decoded" in extra:
+                decoded.append(text)
         columns = {
             "doc_id": batch.column("doc_id"),
             "n_tokens": pa.array(np.diff(edges)),
-            "ids_sha256": pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(edges, edges[1:])]),
-            "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
-            "covered_bytes": pa.array(np.diff(spans[bounds])),
+            "ids_sha256": pa.array([d[0] for d in digests], pa.string()),
+            "decoded_sha256": pa.array([d[1] for d in digests], pa.string()),
         }
-        if arrays:
-            lists = pa.array(edges.astype(np.int32))
-            both = np.zeros((2, len(full)), np.int32)
-            both[0, inner], both[1, inner] = begins, ends
-            last = at + n + 1
-            length = np.where(n > 0, both[1, last - 1], 0)
-            both[:, last] = length
-            for name, values in (("ids", full), ("begins", both[0]), ("ends", both[1])):
-                columns[name] = pa.ListArray.from_arrays(lists, pa.array(values))
-            columns["decoded"] = pa.array(decoded, pa.string())
-        return pa.RecordBatch.from_pydict(columns)
-
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered_bytes bigint"
-    if arrays:
-        schema += ", ids array<int>, begins array<int>, ends array<int>, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(arrow.per_slice(rows), schema)
+        lists = pa.array(edges.astype(np.int32))
+
+        def around(values: np.ndarray, last: np.ndarray | int) -> pa.Array:
+            whole = np.zeros(len(full), np.int32)
+            whole[inner], whole[at + n + 1] = values, last
+            return pa.ListArray.from_arrays(lists, pa.array(whole))
+
+        if spans:
+            begins, ends = places
+            length = np.where(n > 0, np.append(ends, 0)[bounds[1:] - 1], 0)
+        make = {
+            "covered_bytes": lambda: pa.array(np.diff(np.concatenate([[0], np.cumsum(ends.astype(np.int64) - begins)])[bounds])),
+            "ids": lambda: pa.ListArray.from_arrays(lists, pa.array(full)),
+            "begins": lambda: around(begins, length),
+            "ends": lambda: around(ends, length),
+            "decoded": lambda: pa.array(decoded, pa.string()),
+        }
+        return pa.RecordBatch.from_pydict(columns | {name: make[name]() for name in extra})
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema += "".join(f", {name} {EXTRA[name]}" for name in extra)
+    return docs.select("doc_id", "text").mapInArrow(arrow.per_slice(rows, limit=SLICE_BYTES), schema)

@@ -57,7 +57,7 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose word shingles are similar."""
-    return jaccard.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op9_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode(table(spark, folder, "documents"), path, arrays=False)
+    return pieces.encode(table(spark, folder, "documents"), path, extra=["covered_bytes"])
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -202,9 +202,16 @@ SQL: dict[str, str] = {
             SELECT doc_id, doc_id AS other FROM documents
             UNION
             SELECT r.doc_id, e.y FROM reach r JOIN edges e ON r.other = e.x
+        ), bodies AS (
+            SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS body FROM shingles GROUP BY doc_id
+        ), degrees AS (
+            SELECT x AS doc_id, count(DISTINCT b.body) AS n_links FROM edges
+            JOIN bodies a ON a.doc_id = x JOIN bodies b ON b.doc_id = y WHERE a.body != b.body GROUP BY x
         )
-        SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
-        FROM documents d JOIN reach r USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROUP BY d.doc_id
+        SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id,
+            coalesce(any_value(g.n_links), 0) AS n_links
+        FROM documents d JOIN reach r USING (doc_id) LEFT JOIN sizes s USING (doc_id) LEFT JOIN degrees g USING (doc_id)
+        GROUP BY d.doc_id
     """,
     "op11_spelling_variants": r"""
         WITH RECURSIVE runs AS (

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from caseloom.llm.arrow import held as worker_held
 from caseloom.llm.linededup import BLANKS
 from caseloom.session import stored
 
@@ -249,9 +250,8 @@ class Replay:
         raise ValueError("the edits do not fit the grammar")
 
 
-@functools.lru_cache(2)
 def repairer(costs: Costs) -> Repair:
-    return Repair(costs=costs)
+    return worker_held(("roles", costs), lambda: Repair(costs=costs))
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], most: int) -> Iterator[dict[str, list]]:

@@ -19,7 +19,6 @@ left is never read.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -233,9 +232,8 @@ class Tokeniser:
         return ids, np.concatenate([[0], np.cumsum(lengths)])[first]
 
 
-@functools.lru_cache(maxsize=2)
 def tokeniser(path: str, literal: bool = True) -> Tokeniser:
-    return Tokeniser(path, literal)
+    return arrow.held(("tokens", path, literal), lambda: Tokeniser(path, literal))
 
 
 def write_tokens(

@@ -402,4 +402,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             counts = hit_counts(batch.column("text"), automaton)
             yield batch.filter(pa.array(_scores(counts, sent.value) < LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow.filtered(docs, run)

@@ -16,14 +16,17 @@ from caseloom.llm import arrow
 
 
 class UnitCache:
-    """Ids by unit. Emptied when it holds ``most`` units, so its size is bounded."""
+    """Ids by unit. Emptied before a slice that would take it beyond ``most`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000):
+    UNIT_BYTES = 150  # of a unit's string and entries, besides its characters and ids
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 32 << 20):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.size = 0
         self.flat = np.empty(1 << 16, np.int32)
         self.edges = np.zeros(1 << 12, np.int64)
         self.used = 0
@@ -46,12 +49,14 @@ class UnitCache:
         """All ids of the pieces in order, and the number of ids of each piece."""
         number, unique = arrow.dictionary(pieces)
         units = unique.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
-        if len(self.place) + len(units) > self.most:
+        size = self.UNIT_BYTES * len(units) + 2 * unique.nbytes
+        if self.size + size > self.most:
             self._clear()
         known = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(known < 0)
         if len(new):
             known[new] = len(self.place) + np.arange(len(new))
+            self.size += size * len(new) // len(units)
             self._add([units[i] for i in new.tolist()])
         known = known[number]
         begin, lengths = self.edges[known], self.edges[known + 1] - self.edges[known]

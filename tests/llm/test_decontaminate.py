@@ -45,8 +45,10 @@ def brute(docs, items):
     for doc_id, text in docs:
         plain = decontaminate.normalised(text or "")
         for item_id, item in {(i, decontaminate.normalised(t or "")) for i, t in items}:
-            if item and plain and min(distances(item, plain)) <= decontaminate.budget(len(item)):
-                yield doc_id, item_id, min(distances(item, plain))
+            if len(item) >= decontaminate.LEAST_CHARS and plain:
+                least = min(distances(f" {item} ", f" {plain} "))
+                if least <= decontaminate.budget(len(item)):
+                    yield doc_id, item_id, least
 
 
 def test_matches_equal_brute_force(spark, make):
@@ -66,5 +68,33 @@ def test_empty_tables(spark, make):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.matches(make([(1, "x")]), items).count() == 0
     assert decontaminate.clean(make([(1, "x")]), items).count() == 1
-    some = spark.createDataFrame([(1, "x")], "item_id bigint, text string")
+    some = spark.createDataFrame([(1, prose(1, 20))], "item_id bigint, text string")
     assert decontaminate.matches(make([]), some).count() == 0
+
+
+def test_short_items_and_parts_of_words(spark, make):
+    items = spark.createDataFrame([(1, "A."), (2, "cat sat on a mat, he did"), (3, "is")], "item_id bigint, text string")
+    docs = make([(1, "a clean cat sat"), (2, "the cat sat on a mat: he did it"), (3, "bobcat sat on a mat he didnt"), (4, "this is")])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()] == [(2, 2)]
+    found = decontaminate.matches(docs, items, least_chars=1).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 1), (2, 2), (3, 1), (4, 3)]
+    assert decontaminate.clean(docs, items).count() == 3
+
+
+def test_places_and_long_texts(spark, make):
+    item = prose(5, 20)
+    text = f"{prose(6, 50_000)} {item} {prose(7, 50_000)}"
+    row = decontaminate.matches(make([(1, text), (2, item)]), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    for r in row.collect():
+        plain = decontaminate.normalised(text if r.doc_id == 1 else item)
+        assert r.distance == 0 and plain[r.begin : r.end] == decontaminate.normalised(item)
+
+
+def test_many_blocks(spark, make):
+    items = [(i, prose(2000 + i, 10)) for i in range(30)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    blocks, n = decontaminate._blocks(table, 400, 20)
+    assert n > 3 and blocks.where("block < 0 OR block >= " + str(n)).count() == 0 and blocks.count() == 30
+    docs = make([(i, f"so {t} it is") for i, t in items])
+    found = decontaminate.matches(docs, table, block_chars=400).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.distance == 0} >= {(i, i) for i, _ in items}

@@ -19,15 +19,29 @@ def test_learns_only_languages_with_letters(learned):
     assert len(learned["en"]) <= langid.SAMPLE_TEXTS * (langid.SAMPLE_CHARS + 1)
 
 
-def test_sample_is_bounded_and_repeatable(spark, monkeypatch):
-    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 3)
-    monkeypatch.setattr(langid, "SAMPLE_CHARS", 50)
+def test_sample_is_bounded_and_repeatable(spark):
     rows = [(prose(i, 120), "en") for i in range(40)]
-    first = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
-    again = langid.learn(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(5))
+    first = langid.learn(spark.createDataFrame(rows, "text string, lang string"), texts=3, chars=50)
+    again = langid.learn(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(5), texts=3, chars=50)
     assert first == again and len(first["en"]) <= 3 * 51
 
 
+def test_windows_come_from_all_parts_of_a_text():
+    text = "".join(chr(97 + i // 1000) for i in range(26_000))
+    for seed in (0, 1, -5, 2**62):
+        found = langid.windows(text, seed, 4096)
+        assert len(found) <= 4096 + 8 and len(set(found) - {" "}) >= 8
+        # one window in each eighth of the text
+        assert [text.index(w[0]) * 8 // 26_000 in (i - 1, i) for i, w in enumerate(found.split(" "))] == [True] * 8
+    assert langid.windows("short", 3, 4096) == "short"
+
+
+def test_the_most_frequent_languages_are_learned(spark):
+    rows = [(prose(i * 7 + n, 20), f"l{i}") for i in range(6) for n in range(6 - i)]
+    found = langid.learn(spark.createDataFrame(rows, "text string, lang string"), languages=3)
+    assert list(found) == ["l0", "l1", "l2"]
+
+
 def test_predictions(make, learned):
     english, german = prose(99, 40), "Über den alten Fluss springt der braune Hund und die Türme stehen."
     rows = [(1, english), (2, german), (3, english.upper() + "$$$"), (4, None), (5, ""), (6, "12 ... !"), (None, german),

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import numpy as np
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2
 
 from caseloom.llm import pieces
+from caseloom.llm.units import UnitCache
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -42,6 +44,56 @@ def test_any_mixture_of_signs(library, text):
     assert own([text, "x", text])[2] == spans(library, text)
 
 
+def with_rule(rule, unigram, folder):
+    """The public vocabulary with the normaliser of a named rule, as it is or scored by pieces without bytes."""
+    with open(PATH, "rb") as file:
+        model = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+    rules = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    model.normalizer_spec.CopyFrom(sentencepiece_model_pb2.ModelProto.FromString(rules).normalizer_spec)
+    for name in ("add_dummy_prefix", "remove_extra_whitespaces", "escape_whitespaces"):
+        setattr(model.normalizer_spec, name, True)
+    if unigram:
+        model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, False
+        rest = [p for p in model.pieces if p.type != pieces.BYTE]
+        del model.pieces[:]
+        model.pieces.extend(rest)
+    path = f"{folder}/{rule}{unigram}.model"
+    with open(path, "wb") as file:
+        file.write(model.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc_cf", "nfkc"])
+@pytest.mark.parametrize("unigram", [False, True])
+def test_spans_through_a_character_map(rule, unigram, tmp_path):
+    path = with_rule(rule, unigram, tmp_path)
+    reference = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(1)
+    signs = "abc Abé  日𝄞\n\tﬁ①ＡЖ́ßİ☃️👍▁.!"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    ids, bounds, begins, ends = pieces.Encoder(path)(pa.array(texts))
+    found = [list(zip(*(x[a:b].tolist() for x in (ids, begins, ends)))) for a, b in zip(bounds, bounds[1:])]
+    assert found == [spans(reference, t) for t in texts]
+
+
+def test_only_what_is_asked_for(make):
+    found = pieces.encode(make([(1, "some text"), (None, None)]), PATH, extra=["ids"])
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    whole = pieces.encode(make([(1, "some text"), (None, None)]), PATH)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.select(found.columns).collect()))
+
+
+def test_the_cache_is_bounded_by_bytes():
+    calls = []
+    cache = UnitCache(lambda units: calls.append(len(units)) or [[len(u)] * 2 for u in units], most=20_000)
+    for start in (0, 0, 200, 400, 0):
+        units = pa.array([f"unit {i}".encode() for i in range(start, start + 50)] * 2, pa.large_binary())
+        ids, lengths = cache(units)
+        assert ids.tolist() == [len(f"unit {i}") for _ in range(2) for i in range(start, start + 50) for _ in range(2)]
+        assert lengths.tolist() == [2] * 100 and cache.size <= 20_000
+    assert calls == [50, 50, 50, 50]
+
+
 def test_documents(library, make, edge_rows):
     found = pieces.encode(make(edge_rows, extra=True), PATH).collect()
     digest = lambda b: hashlib.sha256(b).hexdigest()

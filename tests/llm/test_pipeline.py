@@ -49,6 +49,23 @@ def test_stages_take_effect_and_leave_clean_documents(spark, folder):
     assert (600, None) in after and (601, "") in after
 
 
+def test_similar_rows_without_ids_or_with_repeated_ones(spark):
+    x, y, z = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(1, x), (5, x), (5, y), (None, x), (None, z), (9, z + " end"), (9, None), (9, None), (None, ""), (7, ""), (3, y)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS `a.b`", "2 AS `c``d`", "3 AS label")
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    found = sorted(((r[0], r[1]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, x), (3, y), (9, z + " end"), (9, None), (9, None), (None, ""), (7, "")], key=str)
+
+
+def test_dotted_columns_pass_all_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 120").selectExpr("*", "1 AS `a.b`")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert "a.b" in docs.columns and docs.count() >= 100
+
+
 def test_run_returns_ids_of_all_that_is_kept(spark, folder):
     found = corpus_pipeline.run(spark, folder).collect()
     assert len(found) == 100 + 5 + 2 + 1 + 2
@@ -66,5 +83,5 @@ def test_query_matches_sql_on_a_larger_table(spark, name):
     assert compare(spark, connect(FOLDER), FOLDER, name) is None
 
 
-def test_all_eleven_are_registered():
-    assert len(QUERIES) == 11 and set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(QUERIES)
+def test_all_are_registered():
+    assert len(QUERIES) == 14 and set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(QUERIES)
