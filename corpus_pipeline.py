@@ -5,15 +5,15 @@ documents; the last one returns token ids. A stage works on all rows its predece
 kept. Stages are written as Parquet to the shared folder and read back in between.
 
 Empty tables pass through. Null and empty texts are kept by every stage (they are not
-toxic, linked with nothing, and hold no passage). Rows are judged one by one, except that
-the second stage drops by doc_id: rows without one stay there, and of rows that share
-both doc_id and text one stays. Extra columns pass through all stages but the last.
+toxic, linked with nothing, and hold no passage). Rows are judged one by one, also where
+they share a doc_id or have none; of similar rows that with the smallest doc_id stays, one
+without doc_id only where all lack one. Extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import decontaminate, jaccard, pieces, samples, substrings, toxicity
@@ -34,16 +34,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of similar ones."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
-    twice = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").where("text IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    rest = kept.join(twice, "doc_id", "left_anti").union(kept.join(twice, "doc_id", "left_semi").where("text IS NULL"))
-    return rest.select(docs.columns).union(again.select(docs.columns))
+    """The row with the smallest doc_id of every group of similar ones."""
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.join(_later(docs), "doc_id", "left_anti").select(_columns(docs))
+    # ids that do not tell rows apart: places in their order stand in
+    ranked = docs.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    ranked = stored(ranked.select(F.monotonically_increasing_id().alias("place"), F.struct(*_columns(docs)).alias("row")), "ranked")
+    gone = _later(ranked.select(F.col("place").alias("doc_id"), "row.text")).withColumnRenamed("doc_id", "place")
+    return ranked.join(gone, "place", "left_anti").select("row.*")
+
+
+def _later(docs: DataFrame) -> DataFrame:
+    """The doc_ids that are similar to a smaller one."""
+    found = jaccard.near_duplicates(docs, counts=False)
+    return found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """All columns, also those whose names hold dots or backticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in docs.columns]
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +74,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded text."""
-    found = pieces.encode(docs, public_tokenizers.path(MODEL), arrays=True)
+    found = pieces.encode(docs, public_tokenizers.path(MODEL), extra=["ids"])
     return found.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
