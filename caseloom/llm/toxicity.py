@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from caseloom.llm import arrow
 from caseloom.session import stored
 
-TERMS = 512  # lexicon size at most
-CANDIDATES = 20_000  # terms whose counts are compared, at most
+TERMS = 512  # words, and beginnings, of a learned lexicon at most
+CANDIDATES = 20_000  # terms of the labelled sample whose counts are compared, at most
 LEAST_DOCUMENTS = 4  # toxic documents that hold a term, at least
 LEAST_ODDS = 8.0  # how much likelier a term is in toxic documents, at least
 LEAST_GAIN = 14.0  # log likelihood gained by a term's own share of toxic documents, at least
@@ -195,19 +195,21 @@ def _document_counts(sample: DataFrame, wanted: set[str] | None) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
+def learn_lexicon(sample: DataFrame, terms: int = TERMS, candidates: int = CANDIDATES) -> Lexicon:
     """Terms that toxic documents of a bounded sample (text, label) hold far more often.
 
-    A beginning becomes a term only when it stands for several words. Without documents
-    of both kinds the lexicon is empty.
+    A beginning becomes a term only when it stands for several words; these words stay
+    in the lexicon for their misspellings. At most ``terms`` words and as many beginnings
+    (those with the highest odds) are kept, out of the ``candidates`` that most toxic
+    documents hold. Without documents of both kinds the lexicon is empty.
     """
     size = dict(sample.groupBy("label").count().collect())
     n_toxic, n_clean = size.get(1, 0), sum(n for label, n in size.items() if label != 1)
     often = _document_counts(sample, None).where(F.col("toxic") >= LEAST_DOCUMENTS)
-    candidates = {r.term for r in often.orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()}
-    if not candidates or not n_clean:
+    wanted = {r.term for r in often.orderBy(F.desc("toxic"), "term").limit(candidates).collect()}
+    if not wanted or not n_clean:
         return Lexicon((), ())
-    counts = _document_counts(sample, candidates).collect()
+    counts = _document_counts(sample, wanted).collect()
     odds = {r.term: (r.toxic + 0.5) / (n_toxic + 1) / ((r.clean + 0.5) / (n_clean + 1)) for r in counts}
     toxic = {r.term: r.toxic for r in counts}
     share = n_toxic / (n_toxic + n_clean)
@@ -229,8 +231,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     for term in sorted((t[:-1] for t in good if t.endswith("*")), key=lambda t: (len(t), t)):
         if toxic[term + "*"] >= 1.5 * single[term] and not any(term.startswith(b) for b in beginnings):
             beginnings.append(term)
-    words = [w for w in words if not any(w.startswith(b) for b in beginnings)]
-    return Lexicon(tuple(words[: TERMS - len(beginnings[:TERMS])]), tuple(beginnings[:TERMS]))
+    return Lexicon(tuple(words[:terms]), tuple(sorted(beginnings, key=lambda b: (-odds[b + "*"], b))[:terms]))
 
 
 def _within(word: str, term: str, edits: int) -> bool:
@@ -344,10 +345,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return weights
 
 
-def learn(sample: DataFrame) -> Model:
-    """Lexicon and weights from a bounded sample with columns doc_id, text and label."""
+def learn(sample: DataFrame, terms: int = TERMS, candidates: int = CANDIDATES) -> Model:
+    """Lexicon and weights from a bounded sample with columns doc_id, text and label.
+
+    ``terms`` and ``candidates`` bound the lexicon, see ``learn_lexicon``.
+    """
     sample = stored(sample, "labelled")
-    lexicon = drop_ordinary_neighbours(sample, learn_lexicon(sample))
+    lexicon = drop_ordinary_neighbours(sample, learn_lexicon(sample, terms, candidates))
     sent = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:

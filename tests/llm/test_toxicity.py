@@ -76,3 +76,19 @@ def test_held_out_accuracy(spark):
     assert held.where("label = predicted").count() >= 0.9 * held.count()
     clean = held.where("label = 0")
     assert clean.where("predicted = 1").count() <= 0.02 * clean.count()
+
+
+def test_words_under_a_beginning_keep_their_misspellings(spark):
+    family = ["grumblefoo", "grumblebar", "grumblequx"]
+    rows = [(i, f"{prose(i, 30)} {family[i % 3]} {prose(100 + i, 10)}", 1) for i in range(45)]
+    rows += [(100 + i, prose(200 + i, 40), 0) for i in range(150)]
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    lexicon = toxicity.learn_lexicon(sample)
+    assert {*family} <= {*lexicon.words} and any("grumble".startswith(b) for b in lexicon.beginnings)
+    automaton = toxicity.Automaton(lexicon)
+    for word in ("gumblefoo", "grrumblebar", "gxumblequx"):
+        assert automaton(word) == toxicity.MISSPELLED
+    assert automaton("grumbleanything") == toxicity.EXACT
+    few = toxicity.learn_lexicon(sample, terms=2)
+    assert len(few.words) <= 2 and len(few.beginnings) <= 2
+    assert toxicity.learn_lexicon(sample, candidates=1).words + toxicity.learn_lexicon(sample, candidates=1).beginnings != ()
