@@ -45,12 +45,13 @@ def test_flagship_is_two_aggregates_over_one_projection(plans):
 def test_runs_are_never_gathered_in_one_window(spark):
     """Windows over rows are partitioned by run and segment."""
     df = spark.range(100).select(
-        F.lit("a").alias("run_id"), F.col("id").cast("int").alias("epoch"), F.rand(1).alias("val_loss")
+        F.format_string("run %d", F.col("id") % 3).alias("run_id"), F.col("id").cast("int").alias("epoch"), F.rand(1).alias("val_loss")
     )
     plan = runs.best_so_far(df, "val_loss")._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    over_rows = [w for w in windows if "val_loss" in w]
-    assert over_rows and all("__segment" in w for w in over_rows)
+    # partition and order of every window
+    windows = re.findall(r"Window \[.*\], \[([^\]]*)\], \[([^\]]*)\]", plan)
+    over_rows = [keys for keys, order in windows if "epoch" in order]
+    assert over_rows and all("run_id" in keys and "__segment" in keys for keys in over_rows)
 
 
 def test_shuffled_batches_have_one_large_exchange(spark):
