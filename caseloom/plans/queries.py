@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import columns as C
-from caseloom.operators import classes, learning, prompts, readings, regression, runs, sequences, splitting
-from caseloom.operators import texts, trials
-from caseloom.operators import median
+from caseloom.operators import classes, importance, learning, median, prompts, readings, regression, runs, search
+from caseloom.operators import sequences, splitting, subwords, texts, trials
 from caseloom.plans import tables
 from caseloom.plans.evaluation import evaluate
+from caseloom.session import stored
 from caseloom.sources import runs as run_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -902,6 +902,66 @@ def param_scaled(spark, folder):
     return scaled.withColumns({c: F.round(c, 6) for c in names})
 
 
+FOREST = {"trees": 8, "depth": 5}
+
+
+@query()
+def param_fanova(spark, folder):
+    """Shares of the variance by a forest; compared with a grid in the tests, since SQL grows no trees."""
+    rows = _lineitem(spark, folder, *PARAMS, "l_extendedprice")
+    return importance.param_fanova(rows, PARAMS, "l_extendedprice", **FOREST)
+
+
+# --- sub-words --------------------------------------------------------------
+
+MERGES = 6
+
+
+def _merges_sql(merges: int = MERGES) -> str:
+    """Merges one at a time: the tables m0, m1 ... hold the best pair, w1, w2 ... the words after it."""
+    parts = [
+        r"words AS (SELECT unnest(regexp_extract_all(replace(text, '␟', '�'), '[^ \t\n\x0B\f\r]+')) AS word FROM documents)",
+        "w0 AS MATERIALIZED (SELECT list_append(regexp_extract_all(word, '(?s).'), '␟') AS s, count(*) AS n FROM words GROUP BY word)",
+    ]
+    for k in range(merges):
+        parts.append(
+            f"m{k} AS MATERIALIZED (SELECT l, r, n FROM (SELECT p.l AS l, p.r AS r, sum(n)::BIGINT AS n FROM (SELECT n, unnest(list_transform(range(1, len(s)), "
+            f"lambda i: {{'l': s[i], 'r': s[i + 1]}})) AS p FROM w{k}) GROUP BY p.l, p.r) ORDER BY n DESC, encode(l), encode(r) LIMIT 1)"
+        )
+        # from left to right: a symbol joins the one before it, unless that has just been joined
+        parts.append(
+            f"w{k + 1} AS MATERIALIZED (SELECT list_reduce(list_prepend([]::VARCHAR[], list_transform(s, lambda x: [x])), lambda a, x: CASE WHEN "
+            f"len(a) > 0 AND a[-1] = l AND x[1] = r THEN list_append(a[:-2], l || r) ELSE list_concat(a, x) END) AS s, w{k}.n FROM w{k}, m{k})"
+        )
+    return "WITH " + ",\n".join(parts)
+
+
+def _merges(spark, folder):
+    counts = subwords.word_counts(tables.documents(spark, folder), "text")
+    return stored(counts, "word_counts"), MERGES
+
+
+@query(_merges_sql() + "\n" + " UNION ALL ".join(f"SELECT {k}::INTEGER AS rank, l AS left, r AS right, n FROM m{k}" for k in range(MERGES)))
+def subword_merges(spark, folder):
+    return subwords.learn_merges(*_merges(spark, folder))
+
+
+@query(_merges_sql() + f""", split AS (SELECT array_to_string(s, '') AS word, len(s) AS size FROM w{MERGES}),
+own AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, '␟', '�'), '[^ \\t\\n\\x0B\\f\\r]+')) || '␟' AS word FROM documents),
+sizes AS (SELECT doc_id, sum(size)::BIGINT AS size FROM own JOIN split USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(size, 0) AS n_subwords, coalesce(size, 0) > 511 AS truncated, true AS same_text
+FROM documents LEFT JOIN sizes USING (doc_id)""")
+def subword_audit(spark, folder):
+    """Sub-words of each text, whether 512 ids cut it, and whether its ids give the text back."""
+    docs = tables.documents(spark, folder).select("doc_id", "text")
+    counts, merges = _merges(spark, folder)
+    known = subwords.subwords(counts, subwords.learn_merges(counts, merges))
+    ids = subwords.encode_subwords(docs, "text", known, ["doc_id", "text"]).withColumnRenamed("text", "given")
+    back = subwords.decode_subwords(ids, "ids", known)
+    same = F.col("text") == F.coalesce(subwords.clean("given"), F.lit(""))
+    return back.select("doc_id", "n_subwords", (F.col("n_subwords") > 511).alias("truncated"), same.alias("same_text"))
+
+
 # --- learning ---------------------------------------------------------------
 
 @query("""SELECT count(*) AS rows, 1 AS missing, 'conclusion' AS missing_names, false AS usable FROM labels""")
@@ -911,19 +971,126 @@ def input_check(spark, folder):
     )
 
 
-@query("""SELECT count(*) AS rows, round(avg(CASE WHEN label = 0 THEN 0 ELSE 1 END), 3) AS share,
-round(avg(CASE WHEN label = 0 THEN 0 ELSE 1 END), 3) AS mean_probability FROM embeddings""")
+CLASSIFIER_REG = 0.01
+
+
+def _classifier(rows: DataFrame, part: str):
+    """The classifier fitted on the rows of a condition, and its coefficients for the unscaled features."""
+    model = learning.classifier(["features"], "risk", max_iter=500, reg=CLASSIFIER_REG, tol=1e-13)
+    model = model.fit(learning.complete_rows(rows.where(part), ["features"]))
+    scaler, logistic = model.stages[1], model.stages[2]
+    return model, [c / s if s else 0.0 for c, s in zip(logistic.coefficients, scaler.std)]
+
+
+def _risk_rows(spark, folder, array) -> DataFrame:
+    rows = tables.table(spark, folder, "embeddings").select("vec_id", C.zero_label("label").alias("risk"), array.alias("x"))
+    return learning.vector_column(rows, "x")
+
+
+@query("""SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings)))::INTEGER AS feature, 0.0::DOUBLE AS residual""")
 def train_classifier(spark, folder):
-    """At the optimum the mean probability is the share of class 1, since the intercept is not penalised."""
-    rows = learning.vector_column(tables.table(spark, folder, "embeddings"), "embedding")
-    rows = rows.withColumn("risk", C.zero_label("label"))
-    model = learning.classifier(["features"], "risk", max_iter=200, tol=1e-9).fit(learning.complete_rows(rows, ["features"]))
-    scored = learning.decisions(model, rows, ["vec_id", "risk"])
-    return scored.agg(
-        F.count("*").alias("rows"),
-        F.round(F.avg("risk"), 3).alias("share"),
-        F.round(F.avg("probability"), 3).alias("mean_probability"),
+    """A fit on all features solves the score equation of each feature; a fit on anything else does not."""
+    rows = _risk_rows(spark, folder, F.col("embedding").cast("array<double>"))
+    model, coefficients = _classifier(rows, "true")
+    scored = learning.decisions(model, rows, ["x", "risk"])
+    found = search.score_equations(scored, "x", "risk", "probability", coefficients, CLASSIFIER_REG)
+    return found.select("feature", *_rounded(4, residual=F.col("residual")))
+
+
+FEATURES = 3
+
+
+def _block_means(n: int = FEATURES):
+    """Means of ``n`` equal parts of an embedding."""
+    vector = F.transform("embedding", lambda v: v.cast("double"))
+    size = F.floor(F.size("embedding") / n).cast("int")
+    parts = [F.slice(vector, F.lit(i) * size + 1, size) for i in range(n)]
+    return F.array(*[F.aggregate(p, F.lit(0.0), lambda a, v: a + v) / size for p in parts])
+
+
+def _newton_sql(grid: str, held_out: str, tests: str, scale: bool, steps: int = 12) -> str:
+    """Logistic fits in SQL, by Newton steps whose 4 x 4 systems are solved column by column.
+
+    ``grid`` gives trial, reg and positive_weight; ``held_out`` lists the folds of table x
+    that a fit leaves out. The result is table b (trial, fold, weights c0 to c3).
+    """
+    n = FEATURES + 1
+    size = f"(len(embedding) // {FEATURES})"
+    means = ", ".join(
+        f"list_sum(list_transform(embedding[{i} * {size} + 1:{i + 1} * {size}], lambda v: v::DOUBLE)) / {size} AS r{i + 1}"
+        for i in range(FEATURES)
+    )
+    scaled = ", ".join(
+        f"(r{i} - (SELECT avg(r{i}) FROM raw WHERE {tests})) / (SELECT stddev_samp(r{i}) FROM raw WHERE {tests}) AS x{i}" if scale
+        else f"r{i} AS x{i}" for i in range(1, n)
+    )
+    parts = [
+        f"raw AS MATERIALIZED (SELECT vec_id, CASE WHEN label = 0 THEN 0 ELSE 1 END AS y, {means} FROM embeddings)",
+        f"x AS MATERIALIZED (SELECT vec_id, y, 1.0::DOUBLE AS x0, {scaled}, {held_out} AS part FROM raw)",
+        f"b0 AS MATERIALIZED (SELECT trial, reg, positive_weight, fold, {', '.join(f'0.0::DOUBLE AS c{i}' for i in range(n))} "
+        f"FROM ({grid}) g, (SELECT DISTINCT part AS fold FROM x WHERE part >= 0) f)",
+    ]
+    for k in range(steps):
+        margin = " + ".join(f"c{i} * x{i}" for i in range(n))
+        weight = "CASE WHEN y = 1 THEN positive_weight ELSE 1 END"
+        keys = "trial, reg, positive_weight, fold, " + ", ".join(f"c{i}" for i in range(n))
+        sums = [f"sum(w * (p - y) * x{i}) / sum(w){f' + reg * c{i}' if i else ''} AS g{i}" for i in range(n)]
+        sums += [f"sum(w * p * (1 - p) * x{i} * x{j}) / sum(w){' + reg' if i == j and i else ''} AS h{i}{j}" for i in range(n) for j in range(n)]
+        body = (
+            f"SELECT {keys}, {', '.join(sums)} FROM (SELECT *, {weight} AS w, 1 / (1 + exp(-({margin}))) AS p "
+            f"FROM b{k} JOIN x ON x.part != b{k}.fold) GROUP BY {keys}"
+        )
+        for i in range(n):  # clear column i from all other rows
+            columns = []
+            for r in range(n):
+                factor = f"h{r}{i} / h{i}{i}"
+                columns.append(f"g{r} AS g{r}" if r == i else f"g{r} - {factor} * g{i} AS g{r}")
+                columns += [f"h{r}{c} AS h{r}{c}" if r == i else f"h{r}{c} - {factor} * h{i}{c} AS h{r}{c}" for c in range(n)]
+            body = f"SELECT {keys}, {', '.join(columns)} FROM ({body})"
+        steps_taken = ", ".join(f"c{i} - g{i} / h{i}{i} AS c{i}" for i in range(n))
+        parts.append(f"b{k + 1} AS MATERIALIZED (SELECT trial, reg, positive_weight, fold, {steps_taken} FROM ({body}))")
+    parts.append(f"b AS (SELECT * FROM b{steps})")
+    return "WITH " + ",\n".join(parts)
+
+
+_MARGIN = " + ".join(f"c{i} * x{i}" for i in range(FEATURES + 1))
+
+
+@query(_newton_sql("SELECT 0 AS trial, 0.01 AS reg, 1.0 AS positive_weight", "CASE WHEN vec_id % 5 = 0 THEN 0 ELSE -1 END", "vec_id % 5 != 0", True) + f"""
+, s AS (SELECT y, {_MARGIN} AS score FROM x, b WHERE part = 0),
+r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS place FROM s)
+SELECT unnest(['intercept', 'x1', 'x2', 'x3', 'held-out auc']) AS name, round(unnest([c0, c1, c2, c3,
+  (SELECT (sum(place) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2)
+   / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) FROM r)]), 4) + 0.0 AS value FROM b""")
+def classifier_fit(spark, folder):
+    """Weights of the scaled features fitted on four fifths of the rows, and the AUC on the rest."""
+    rows = _risk_rows(spark, folder, _block_means())
+    model, _ = _classifier(rows, "vec_id % 5 != 0")
+    logistic = model.stages[2]
+    # centred features: the weights apply to (x - mean) / deviation
+    named = [("intercept", logistic.intercept), *((f"x{i + 1}", c) for i, c in enumerate(logistic.coefficients))]
+    fitted = spark.createDataFrame([(n, float(c)) for n, c in named], "name string, value double")
+    auc = classes.roc_auc(learning.decisions(model, rows.where("vec_id % 5 = 0"), ["risk"]), "risk", "probability")
+    both = fitted.union(auc.select(F.lit("held-out auc"), F.col("roc_auc")))
+    return both.select("name", *_rounded(4, value=F.col("value")))
+
+
+TRIAL_GRID = """SELECT (row_number() OVER (ORDER BY reg, positive_weight) - 1)::INTEGER AS trial, reg, positive_weight
+FROM (SELECT unnest([0.001, 0.01, 0.1, 1.0])::DOUBLE AS reg), (SELECT unnest([1.0, 2.0, 4.0])::DOUBLE AS positive_weight)"""
+
+
+@query(_newton_sql(TRIAL_GRID, "vec_id % 3", "true", False) + f"""
+SELECT trial, reg, positive_weight, round(avg(ln(1 + exp(CASE WHEN y = 1 THEN -1 ELSE 1 END * ({_MARGIN})))), 6) AS value,
+count(*) AS rows, true AS converged FROM b JOIN x ON x.part = b.fold GROUP BY trial, reg, positive_weight""")
+def search_trials(spark, folder):
+    rows = tables.table(spark, folder, "embeddings").select(
+        _block_means().alias("x"), C.zero_label("label").alias("risk"), (F.col("vec_id") % 3).alias("fold")
+    )
+    grid = [(i, r, w) for i, (r, w) in enumerate((r, w) for r in (0.001, 0.01, 0.1, 1.0) for w in (1.0, 2.0, 4.0))]
+    found = search.search_trials(
+        rows, spark.createDataFrame(grid, "trial int, reg double, positive_weight double"), "x", "risk"
     )
+    return found.trials.withColumn("value", F.round("value", 6))
 
 
 def _share_of_spaces(batch: pd.DataFrame) -> pd.Series:

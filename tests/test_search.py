@@ -1,0 +1,88 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from caseloom.operators import learning, search
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(2)
+    out = []
+    for i in range(600):
+        x = [rng.gauss(0, 1), rng.gauss(1, 3), rng.random()]
+        out.append((i, x, float(rng.random() < 1 / (1 + math.exp(-(x[0] - 0.3 * x[1] + x[2])))), i % 3))
+    return spark.createDataFrame(out, "id int, features array<double>, cancer_risk double, fold int")
+
+
+def grid(spark, n):
+    values = [(i, 10.0 ** -(i % 4), 1.0 + i % 5 * 0.7) for i in range(n)]
+    return spark.createDataFrame(values, "trial int, reg double, positive_weight double")
+
+
+def test_losses_equal_single_fits(spark, rows):
+    found = search.search_trials(rows, grid(spark, 6))
+    for trial in found.trials.collect():
+        losses = []
+        for held in range(3):
+            train = learning.vector_column(rows.where(F.col("fold") != held), "features", "v")
+            train = train.withColumn("w", F.when(F.col("cancer_risk") == 1, trial.positive_weight).otherwise(1.0))
+            fit = LogisticRegression(
+                featuresCol="v", labelCol="cancer_risk", weightCol="w", regParam=trial.reg, standardization=False, tol=1e-12, maxIter=500
+            ).fit(train)
+            mine = found.weights.where((F.col("trial") == trial.trial) & (F.col("fold") == held)).first()
+            assert np.allclose([mine.intercept, *mine.coefficients], [fit.intercept, *fit.coefficients], atol=1e-5)
+            for r in rows.where(F.col("fold") == held).collect():
+                margin = fit.intercept + float(np.dot(r.features, fit.coefficients))
+                losses.append(np.logaddexp(0, -margin if r.cancer_risk else margin))
+        assert trial.value == pytest.approx(np.mean(losses), abs=1e-6)
+        assert trial.rows == 600 and trial.converged
+
+
+def test_passes_do_not_grow_with_the_trials(spark, rows):
+    few, many = (search.search_trials(rows, grid(spark, n)) for n in (4, 40))
+    assert many.trials.count() == 40 and many.passes <= few.passes + 1 <= 15
+
+
+def test_blocks_of_trials_change_nothing(spark, rows, monkeypatch):
+    whole = search.search_trials(rows, grid(spark, 5))
+    monkeypatch.setattr(search, "BLOCK_BYTES", 1000)
+    blocks = search.search_trials(rows, grid(spark, 5))
+    key = lambda s: sorted((r.trial, round(r.value, 9)) for r in s.trials.collect())
+    assert key(whole) == key(blocks) and blocks.passes > whole.passes
+
+
+def test_gaps_clashing_columns_and_empty_tables(spark, rows):
+    odd = [(900, None, 1.0, 0), (901, [1.0, None, 2.0], 1.0, 0), (902, [1.0, float("nan"), 2.0], 0.0, 1), (903, [1.0, 2.0, 3.0], None, 1),
+           (904, [1.0, 2.0, 3.0], 2.0, 1), (905, [1.0, 2.0, 3.0], 1.0, None)]
+    more = rows.union(spark.createDataFrame(odd, rows.schema)).selectExpr("*", "1 AS x", "2 AS y", "3 AS sums", "4 AS `a.b`")
+    named = grid(spark, 3).withColumn("note", F.lit("n")).union(grid(spark, 1).select(F.lit(9), F.lit(None), "positive_weight", F.lit("m")))
+    found = search.search_trials(more, named)
+    assert found.trials.columns == ["trial", "reg", "positive_weight", "note", "value", "rows", "converged"]
+    plain = {r.trial: r.value for r in search.search_trials(rows, grid(spark, 3)).trials.collect()}
+    assert {r.trial: r.value for r in found.trials.collect()} == pytest.approx(plain)
+    empty = search.search_trials(rows.where("id < 0"), grid(spark, 2))
+    assert empty.trials.count() == 0 and empty.passes == 0 and empty.weights.columns == ["trial", "fold", "intercept", "coefficients"]
+    assert search.search_trials(rows, grid(spark, 2).where("trial < 0")).trials.count() == 0
+
+
+def test_separable_classes_converge_with_a_penalty(spark):
+    rows = spark.createDataFrame([([float(i)], float(i > 50), i % 2) for i in range(100)], "features array<double>, cancer_risk double, fold int")
+    row = search.search_trials(rows, grid(spark, 1).withColumn("reg", F.lit(1e-3))).trials.first()
+    assert row.converged and row.value < 0.1
+
+
+def test_score_equations_tell_a_fit_from_another(spark, rows):
+    train = learning.vector_column(rows, "features", "v")
+    scored = lambda inputs, table: (m := learning.classifier(inputs, max_iter=300, tol=1e-12).fit(table), learning.decisions(m, table, ["features", "cancer_risk"]))
+    model, good = scored(["v"], train)
+    own = [c / s for c, s in zip(model.stages[2].coefficients, model.stages[1].std)]
+    found = search.score_equations(good, "features", "cancer_risk", "probability", own, 0.01).collect()
+    assert len(found) == 3 and all(abs(r.residual) < 1e-6 and abs(r.gradient) > 1e-4 for r in found)
+    junk_model, junk = scored(["junk"], train.withColumn("junk", (F.col("id") % 2).cast("double")))
+    bad = search.score_equations(junk, "features", "cancer_risk", "probability", [0.0, 0.0, 0.0], 0.01).collect()
+    assert max(abs(r.residual) for r in bad) > 0.05
