@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.scan import SEGMENT, with_value_segments
+from caseloom.operators.scan import SEGMENT
 
 
 def confusion(df: DataFrame, truth: str, decision: str, by: Sequence[str] = ()) -> DataFrame:
@@ -42,15 +42,16 @@ def class_metrics(df: DataFrame, truth: str, decision: str, by: Sequence[str] =
 def roc_auc(df: DataFrame, truth: str, score: str, segments: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; null when a class is missing.
 
-    Rows shrink to counts per distinct score first. Score segments are then
-    counted side by side, and only one row per segment meets in a single task.
+    Rows shrink to counts per distinct score first. Ranges of scores are then
+    counted side by side, and only one row per range meets in a single task.
     """
     known = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).select(truth, score)
-    cut = with_value_segments(known, score, segments=segments)
-    per_score = cut.groupBy(SEGMENT, score).agg(
+    counts = known.groupBy(score).agg(
         F.count_if(F.col(truth) == 1).cast("double").alias("pos"),
         F.count_if(F.col(truth) == 0).cast("double").alias("neg"),
     )
+    dealt = counts.repartitionByRange(segments, score) if segments else counts.repartitionByRange(score)
+    per_score = dealt.withColumn(SEGMENT, F.spark_partition_id())
     below = Window.partitionBy(SEGMENT).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     beaten = F.coalesce(F.sum("neg").over(below), F.lit(0.0)) + F.col("neg") / 2
     per_segment = (

@@ -160,7 +160,7 @@ def _doubled_chain(
             )
         ).alias("r"),
     ).select(run, epoch, "r.*")
-    cut = with_value_segments(both, "down")
+    cut = with_value_segments(both, "down", run, "asks", epoch)
     counted = running(
         cut, [run], ["down", "asks", epoch], [Running("seen", "sum", (1 - F.col("asks")).cast("bigint"))]
     )

@@ -8,16 +8,13 @@ of the same run, and the two are combined. No task sees more than one segment.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.session import shuffle_partitions, stored
+from caseloom.session import stored
 
 SEGMENT = "__segment"
 SEGMENT_ROWS = 1 << 16
@@ -54,50 +51,17 @@ def step_segment(step: str, rows: int = SEGMENT_ROWS) -> Column:
     return F.floor(F.col(step) / rows)
 
 
-def with_value_segments(
-    df: DataFrame,
-    column: str,
-    tie_breaker: str | None = None,
-    segments: int | None = None,
-    cuts_from: DataFrame | None = None,
-) -> DataFrame:
-    """Add a segment number that grows with ``column`` and holds a bounded row share.
+def with_value_segments(df: DataFrame, *order: str, segments: int | None = None) -> DataFrame:
+    """Add a segment number that grows along ``order`` and holds a bounded row share; stored.
 
-    Cut points are approximate quantiles over the whole table, so that a segment
-    of any group is at most about ``1 / segments`` of all rows. A value frequent
-    enough to fill segments alone gets one for itself, cut again by
-    ``tie_breaker``, which must be what the order sorts by next. ``cuts_from`` is
-    a cheaper table with the same values.
+    One range exchange deals the rows, and the number of the partition is the segment, so
+    neither cut points nor counts reach the driver. Name as many columns as make rows
+    different: rows equal in all of them stay together. Without ``segments`` Spark
+    chooses the number. The table is stored once, because sampled ranges may differ when
+    they are worked out again, and everything along the order reads it twice.
     """
-    source = df if cuts_from is None else cuts_from
-    # enough segments for the rows there are, and for the tasks that share them
-    n = segments or max(shuffle_partitions(df), math.ceil(source.count() / SEGMENT_ROWS))
-    points = _cut_points(source, column, n)
-    frequent = sorted(p for p, times in Counter(points).items() if times > 1 and math.isfinite(p))
-    if not frequent or tie_breaker is None:
-        return _bucket(df, column, points, SEGMENT)
-    alone = F.col(column).cast("double").isin(frequent)
-    above = [math.nextafter(p, math.inf) for p in frequent]
-    placed = _bucket(df, column, points + above, SEGMENT)
-    placed = _bucket(placed, tie_breaker, _cut_points(source.where(alone), tie_breaker, n), "__tie")
-    part = F.when(alone, F.col("__tie")).otherwise(0)
-    return placed.withColumn(SEGMENT, F.col(SEGMENT) * (n + 1) + part).drop("__tie")
-
-
-def _cut_points(df: DataFrame, column: str, n: int) -> list[float]:
-    if n < 2:
-        return []
-    number = df.select(F.col(column).cast("double").alias("number"))
-    return number.approxQuantile("number", [i / n for i in range(1, n)], 1 / (4 * n))
-
-
-def _bucket(df: DataFrame, column: str, points: list[float], out: str) -> DataFrame:
-    if not any(map(math.isfinite, points)):
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    splits = [-math.inf, *sorted(p for p in set(points) if math.isfinite(p)), math.inf]
-    stage = Bucketizer(splits=splits, inputCol="__number", outputCol=out, handleInvalid="keep")
-    numbered = df.withColumn("__number", F.col(column).cast("double"))
-    return stage.transform(numbered).withColumn(out, F.col(out).cast("bigint")).drop("__number")
+    dealt = df.repartitionByRange(segments, *order) if segments else df.repartitionByRange(*order)
+    return stored(dealt.withColumn(SEGMENT, F.spark_partition_id().cast("bigint")), "segments")
 
 
 def running(

@@ -62,7 +62,7 @@ def test_position_is_exact_and_independent_of_partitions(skewed, segments):
         ordered = sorted((v, step) for r, step, v in data if r == run)
         wanted.update({(run, step): i + 1 for i, (_, step) in enumerate(ordered)})
     for table in (df, df.repartition(5, "v")):
-        cut = with_value_segments(table, "v", "step", segments)
+        cut = with_value_segments(table, "v", "step", segments=segments)
         out = running(cut, ["run"], ["v", "step"], [position("p")])
         assert {(r.run, r.step): r.p for r in out.collect()} == wanted
 
