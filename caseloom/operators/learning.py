@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
@@ -17,6 +19,8 @@ from pyspark.ml.param import Param
 from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 
 def vector_column(df: DataFrame, array: str, name: str = "features") -> DataFrame:
@@ -111,6 +115,78 @@ def batch_score(
     return table.mapInPandas(score, schema)
 
 
+def bisected(predict: Callable[[pd.DataFrame], Sequence], batch: pd.DataFrame) -> list[tuple[object, str | None]]:
+    """(result, error) of every row: a batch that fails is halved until the bad rows stand alone.
+
+    A bad row takes at most two more calls for each halving of its batch.
+    """
+    try:
+        found = list(predict(batch))
+        if len(found) != len(batch):
+            raise ValueError(f"{len(found)} predictions for {len(batch)} rows")
+        return [(value, None) for value in found]
+    except Exception as reason:  # the good rows of the batch are scored all the same
+        if len(batch) == 1:
+            return [(None, f"{type(reason).__name__}: {reason}")]
+        half = len(batch) // 2
+        return bisected(predict, batch.iloc[:half]) + bisected(predict, batch.iloc[half:])
+
+
+_LOADED: dict[str, object] = {}
+
+
+def score_rows(
+    df: DataFrame,
+    load: Callable[[], object],
+    predict: Callable[[object, pd.DataFrame], Sequence],
+    keep: Sequence[str],
+    inputs: Sequence[str],
+    result_type: str = "struct<loss:double,text:string>",
+    batch_size: int = 64,
+    name: str = "result",
+) -> DataFrame:
+    """Run a loaded model over batches on the executors; one bad row costs only itself.
+
+    ``load`` is called once in each worker, ``predict`` gets what it returned and the input
+    columns of up to ``batch_size`` rows, and returns a value of ``result_type`` for each
+    row (a mapping for a struct). Rows for which it raises on their own have a null result,
+    ``failed`` set and ``error`` saying why. Kept columns come first; an empty table stays empty.
+    """
+    table = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, *inputs])))
+    places = {c: f"c{i}" for i, c in enumerate(table.columns)}
+    key = uuid.uuid4().hex
+    own = ", ".join(f"{places[c]} {table.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{own}, result {result_type}, failed boolean, error string"
+    result = DataType.fromDDL(result_type)
+
+    def plain(value):
+        if isinstance(result, StructType) and value is not None:
+            return {f.name: value.get(f.name) for f in result.fields}
+        return value
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[key] = load()
+        model, kind = _LOADED[key], to_arrow_type(result)
+        for batch in batches:
+            frame = batch.select([places[c] for c in inputs]).to_pandas()
+            frame.columns = list(inputs)
+            found = []
+            for start in range(0, len(frame), batch_size):
+                found += bisected(lambda rows: predict(model, rows), frame.iloc[start : start + batch_size])
+            columns = [batch.column(places[c]) for c in keep]
+            columns += [
+                pa.array([plain(value) for value, _ in found], kind),
+                pa.array([error is not None for _, error in found], pa.bool_()),
+                pa.array([error for _, error in found], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*(places[c] for c in keep), "result", "failed", "error"])
+
+    scored = table.toDF(*places.values()).mapInArrow(score, schema)
+    return scored.toDF(*keep, name, "failed", "error")
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """One-row report: is the table non-empty, and which columns are missing?"""
     missing = [c for c in required if c not in df.columns]

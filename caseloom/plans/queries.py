@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import columns as C
-from caseloom.operators import classes, importance, learning, median, prompts, readings, regression, runs, search
+from caseloom.operators import classes, importance, learning, median, moments, prompts, readings, regression, runs, search
 from caseloom.operators import sequences, splitting, subwords, texts, trials
 from caseloom.plans import tables
-from caseloom.plans.evaluation import evaluate
-from caseloom.session import stored
+from caseloom.plans.evaluation import evaluate, evaluate_while_writing
+from caseloom.session import new_folder, stored
+from caseloom.sources import batches
 from caseloom.sources import runs as run_source
+from caseloom.sources.versions import KeyedAppends
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -229,6 +231,23 @@ def ols_fit(spark, folder):
     )
 
 
+@query(SQL["ols_fit"])
+def merged_fit(spark, folder):
+    """The same lines out of the stored moments of each line status, as if each were a file of its own."""
+    rows = _lineitem(spark, folder, "l_returnflag", "l_linestatus", "l_quantity", *FIT_TARGETS)
+    parts = stored(moments.line_moments(rows, FIT_TARGETS, "l_quantity", ["l_returnflag", "l_linestatus"]), "moments")
+    whole = moments.merged_moments(parts, ["l_returnflag"])
+    return moments.lines_from_moments(whole, ["l_returnflag"]).select(
+        "l_returnflag",
+        "target",
+        *_rounded(6, slope=F.col("slope")),
+        *_rounded(4, intercept=F.col("intercept")),
+        F.round("control_mean", 6).alias("control_mean"),
+        "pairs",
+        "dropped",
+    )
+
+
 def _clean(df, *names):
     """Without negative zero."""
     return df.withColumns({n: F.col(n) + F.lit(0.0) for n in names})
@@ -671,6 +690,14 @@ def batch_shuffled(spark, folder):
     return splitting.shuffled_batches(_orders(spark, folder), "o_orderkey").select("o_orderkey", "batch_id")
 
 
+@query(f"WITH {_ranked_orders('42:0')} SELECT o_orderkey, (r - 1) // 16 AS batch_id FROM ranked WHERE (r - 1) // 16 = 37")
+def one_batch(spark, folder):
+    """One shuffled batch, read out of files in batch order."""
+    path = new_folder(spark, "batches")
+    batches.write_batches(splitting.shuffled_batches(_orders(spark, folder), "o_orderkey"), path)
+    return batches.read_batch(spark, path, 37).select("o_orderkey", "batch_id")
+
+
 @query("""SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 16 AS batch_id,
 (row_number() OVER (ORDER BY c_custkey) - 1) // 64 AS step_id FROM customer""")
 def batch_sequential(spark, folder):
@@ -1104,3 +1131,54 @@ def batch_score(spark, folder):
         tables.documents(spark, folder), _share_of_spaces, ["doc_id"], ["text"], batch_size=64
     )
     return scored.withColumn("prediction", F.round("prediction", 6))
+
+
+def _shares(model: str, batch: pd.DataFrame) -> list[dict]:
+    """Loss and text of every row; fails for texts without the mark that the model asks for."""
+    if not batch["text"].str.contains(model, regex=False).all():
+        raise ValueError("no mark")
+    loss = batch["text"].str.count(" ") / batch["text"].str.len()
+    return [{"loss": a, "text": b} for a, b in zip(loss, batch["text"].str.slice(0, 20))]
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, '.') THEN round((len(text) - len(replace(text, ' ', ''))) / len(text), 6) END AS loss,
+CASE WHEN contains(text, '.') THEN substr(text, 1, 20) END AS text, NOT contains(text, '.') AS failed,
+CASE WHEN NOT contains(text, '.') THEN 'ValueError: no mark' END AS error FROM documents""")
+def score_isolated(spark, folder):
+    """Loss and text from one call; texts that the predictor cannot take fail alone."""
+    docs = tables.documents(spark, folder)
+    scored = learning.score_rows(docs, lambda: ".", _shares, ["doc_id"], ["text"])
+    return scored.select("doc_id", F.round("result.loss", 6).alias("loss"), "result.text", "failed", "error")
+
+
+@query("""WITH r AS (SELECT l.quality AS y, l.toxic AS p, CASE WHEN l.doc_id % 13 <> 0 THEN n_chars / 1000 END AS loss,
+  l.doc_id % 7 = 0 AS blank, lang FROM labels l JOIN documents d USING (doc_id)),
+m AS (SELECT count(*) AS n, sum(coalesce(loss, 0)) AS s, count_if(blank OR lang IS NULL) AS bad, count_if(loss IS NULL) AS gaps,
+  count_if(y = 1 AND p = 1) AS tp, count_if(y = 0 AND p = 1) AS fp, count_if(y = 0 AND p = 0) AS tn, count_if(y = 1 AND p = 0) AS fn FROM r)
+SELECT unnest(['rows', 'loss', 'accuracy', 'f1', 'sensitivity', 'specificity', 'rejected', 'missing_loss', 'missing_input']) AS metric,
+round(unnest([n, s / n, (tp + tn) / (tp + fp + tn + fn), 2 * tp / (2 * tp + fp + fn), tp / (tp + fn), tn / (tn + fp), bad, gaps, n]), 9) AS value FROM m""")
+def evaluate_once(spark, folder):
+    """Metrics and input checks that are collected while the predictions are written."""
+    labels, docs = tables.table(spark, folder, "labels"), tables.documents(spark, folder)
+    rows = labels.join(docs, "doc_id").select(
+        "doc_id", F.col("quality").alias("y"), F.col("toxic").alias("p"),
+        F.when(F.col("doc_id") % 13 != 0, F.col("n_chars") / 1000).alias("loss"),
+        F.when(F.col("doc_id") % 7 == 0, " ").otherwise("x").alias("prediction"), F.col("lang").alias("reference"),
+    )
+    found = evaluate_while_writing(rows, new_folder(spark, "predictions"), required=["loss", "input"])
+    return found.withColumn("value", F.round("value", 9))
+
+
+@query(f"""WITH {HISTORY} SELECT run_id, epoch, CASE WHEN epoch % 2 = 0 THEN value + 1 ELSE value END AS loss,
+CASE WHEN epoch % 2 = 0 THEN 2 ELSE 1 END::INTEGER AS attempt FROM history""")
+def history_appends(spark, folder):
+    """Histories appended in three parts, one of them twice, compacted in between; the last attempt counts."""
+    rows = tables.history(spark, folder).select("run_id", "epoch", F.col("value").alias("loss"), F.lit(1).alias("attempt"))
+    store = KeyedAppends(spark, new_folder(spark, "history"), attempt="attempt")
+    first, second = rows.where("epoch % 3 = 0"), rows.where("epoch % 3 != 0")
+    again = rows.where("epoch % 2 = 0").withColumns({"loss": F.col("loss") + 1, "attempt": F.lit(2)})
+    for part in (again, first, first):
+        store.append(part)
+    store.compact()
+    store.append(second)
+    return store.read()

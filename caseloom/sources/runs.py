@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.columns import as_column, duration_seconds, duration_text
+from caseloom.sources.versions import KeyedAppends, current, publish
 
 # The line shapes of a run log.
 EPOCH_LINE = r"^Epoch (\d+)/(\d+), Train Loss: (\S+), Time: ([^,]+), Total Time: (.+)$"
@@ -16,17 +17,29 @@ CHECK_LINE = r"^Epoch (\d+), Val Loss: (\S+), Val Time: ([^,]+?)(?:, BERTScore F
 FINAL_LINE = r"^Final Test Loss: ([^\s,]+)(?:, BERTScore P: ([^\s,]+), R: ([^\s,]+), F1: (\S+))?$"
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Add rows to a stored history. Run ids are data, so any text keeps its form."""
-    df.write.mode("append").parquet(path)
+def append_history(df: DataFrame, path: str, keys: Sequence[str] = ("run_id", "epoch"), attempt: str | None = None) -> None:
+    """Add rows to a stored history; the same rows again count once. Run ids are data, so any text keeps its form."""
+    KeyedAppends(df.sparkSession, path, keys, attempt).append(df)
 
 
-def read_history(spark: SparkSession, path: str, runs: Sequence[str] | None = None, run: str = "run_id") -> DataFrame:
-    """A stored history, or some of its runs."""
-    history = spark.read.parquet(path)
+def read_history(
+    spark: SparkSession,
+    path: str,
+    runs: Sequence[str] | None = None,
+    run: str = "run_id",
+    keys: Sequence[str] = ("run_id", "epoch"),
+    attempt: str | None = None,
+) -> DataFrame:
+    """A stored history, or some of its runs: the last row of each key."""
+    history = KeyedAppends(spark, path, keys, attempt).read()
     return history if runs is None else history.where(F.col(run).isin(list(runs)))
 
 
+def compact_history(spark: SparkSession, path: str, keys: Sequence[str] = ("run_id", "epoch"), attempt: str | None = None) -> None:
+    """Make one folder of all complete appends, while others may append."""
+    KeyedAppends(spark, path, keys, attempt).compact()
+
+
 def _four(c: Column | str) -> Column:
     return F.format_string("%.4f", as_column(c).cast("double"))
 
@@ -101,25 +114,35 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(spark.read.text(path))
 
 
-def save_best(model: PipelineModel, folder: str) -> str:
-    """Store the best model, replacing the previous one."""
-    path = f"{folder}/best_model"
-    model.write().overwrite().save(path)
-    return path
+def save_best(model: PipelineModel, folder: str, keep: int = 3) -> str:
+    """Store the best model as a new version; the former one stays until this is complete."""
+    return publish(f"{folder}/best_model", lambda path: model.write().save(path), keep)
+
+
+def load_best(folder: str) -> PipelineModel:
+    return PipelineModel.load(current(f"{folder}/best_model"))
 
 
 def save_epoch(model: PipelineModel, folder: str, epoch: int) -> str:
-    """Store a periodic model under its epoch."""
-    path = f"{folder}/checkpoint_epoch_{epoch}"
-    model.write().overwrite().save(path)
-    return path
+    """Store a periodic model under its epoch, as a new version."""
+    return publish(f"{folder}/checkpoint_epoch_{epoch}", lambda path: model.write().save(path), 1)
 
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def write_trials(trials: DataFrame, best: DataFrame, folder: str) -> None:
-    """All trials as Parquet and the best parameters as JSON."""
-    trials.write.mode("overwrite").parquet(f"{folder}/trials")
-    best.write.mode("overwrite").json(f"{folder}/best")
+def write_trials(trials: DataFrame, best: DataFrame, folder: str, keep: int = 3) -> str:
+    """All trials as Parquet and the best parameters as JSON, together as one version."""
+
+    def write(path: str) -> None:
+        trials.write.parquet(f"{path}/trials")
+        best.write.json(f"{path}/best")
+
+    return publish(folder, write, keep)
+
+
+def read_trials(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The current trials and best parameters."""
+    path = current(folder)
+    return spark.read.parquet(f"{path}/trials"), spark.read.json(f"{path}/best")

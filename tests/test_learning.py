@@ -1,5 +1,6 @@
 """Classifier, batch scoring and search on small tables."""
 
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
@@ -31,8 +32,7 @@ def test_classifier_learns_and_survives_a_round_trip(cases, model, tmp_path, row
     scored = L.decisions(model, cases, ["case_id", "cancer_risk"])
     assert class_metrics(scored, "cancer_risk", "decision").first().accuracy > 0.95
     path = store.save_best(model, str(tmp_path))
-    assert store.save_best(model, str(tmp_path)) == path  # replaces the former best
-    again = L.decisions(store.load_model(path), cases, ["case_id", "cancer_risk"])
+    again = L.decisions(store.load_best(str(tmp_path)), cases, ["case_id", "cancer_risk"])
     assert rows(scored) == rows(again)
     paths = [store.save_epoch(model, str(tmp_path), e) for e in (1, 2)]
     assert len({path, *paths}) == 3
@@ -105,3 +105,62 @@ def test_input_report(cases):
     assert good.usable and good.rows == 400 and good.missing == 0
     assert not L.require_columns(cases, ["other"]).first().usable
     assert not L.require_columns(cases.where("case_id < 0"), ["case_id"]).first().usable
+
+
+class _Counted:
+    """A predictor that fails for bad rows and counts its calls."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self, batch):
+        self.calls += 1
+        if batch["x"].isin([-1.0]).any():
+            raise ValueError("bad row")
+        return (batch["x"] * 2).tolist()
+
+
+@pytest.mark.parametrize("bad", [[], [0], [63], [17], [3, 40], [0, 1, 2, 3]])
+def test_only_bad_rows_fail_within_few_calls(bad):
+    frame = pd.DataFrame({"x": [-1.0 if i in bad else float(i) for i in range(64)]})
+    predict = _Counted()
+    found = L.bisected(predict, frame)
+    assert [i for i, (_, error) in enumerate(found) if error] == bad
+    assert all(value == i * 2 for i, (value, error) in enumerate(found) if not error)
+    assert predict.calls <= 1 + 2 * 6 * len(bad)  # log2(64) halvings
+
+
+def test_rows_are_scored_with_a_model_loaded_once(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def load():
+        import uuid
+
+        open(f"{marks}/{uuid.uuid4().hex}", "w").close()
+        return 10.0
+
+    def predict(model, batch):
+        if (batch["a.b"] == 13).any():
+            raise ValueError("thirteen")
+        return [{"loss": model * v, "text": f"row {v}"} if v != 14 else None for v in batch["a.b"].tolist()]
+
+    df = spark.range(200).select(F.col("id").alias("a.b"), (F.col("id") % 3).alias("c0"), F.lit("x").alias("result")).coalesce(2)
+    found = L.score_rows(df, load, predict, ["a.b", "result"], ["a.b"])
+    assert found.columns == ["a.b", "result", "result", "failed", "error"]
+    rows = {r[0]: r for r in found.collect()}
+    assert [k for k, r in rows.items() if r.failed] == [13] and rows[13][2] is None and "thirteen" in rows[13].error
+    assert rows[14][2] is None and not rows[14].failed
+    assert rows[7][2] == (70.0, "row 7") and len(rows) == 200
+    import os
+
+    assert 1 <= len(os.listdir(marks)) <= 8  # one for each worker, not one for each batch
+    assert L.score_rows(df.where(F.lit(False)), load, predict, ["a.b"], ["a.b"]).count() == 0
+    plain = L.score_rows(df, lambda: 1, lambda m, b: b["c0"].tolist(), ["a.b"], ["c0"], "bigint", name="p")
+    assert {r.p for r in plain.collect()} == {0, 1, 2}
+
+
+def test_a_wrong_number_of_predictions_fails(spark):
+    found = L.score_rows(spark.range(4), lambda: 1, lambda m, b: [1.0], ["id"], ["id"], "double").collect()
+    assert all(r.result == 1.0 for r in found)  # alone, each row gets its one prediction
+    none = L.score_rows(spark.range(4), lambda: 1, lambda m, b: [], ["id"], ["id"], "double").collect()
+    assert all(r.failed and "0 predictions for 1 rows" in r.error for r in none)

@@ -9,7 +9,7 @@ from caseloom.operators import runs, splitting
 from caseloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"batch_score", "embedding_match", "evaluate_summary", "median_prune", "subword_audit"}
+PYTHON_ALLOWED = {"batch_score", "embedding_match", "evaluate_summary", "median_prune", "score_isolated", "subword_audit"}
 
 
 @pytest.fixture(scope="module")

@@ -127,5 +127,5 @@ def test_lines_are_written_as_they_are_read(spark):
 def test_trials_are_written(spark, tmp_path):
     df = spark.createDataFrame([(0, 1.0), (1, 0.5)], "trial int, value double")
     R.write_trials(df, df.where("trial = 1"), str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/trials").count() == 2
-    assert spark.read.json(f"{tmp_path}/best").first().value == 0.5
+    trials, best = R.read_trials(spark, str(tmp_path))
+    assert trials.count() == 2 and best.first().value == 0.5
