@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ STATISTICS = (
 )
 COSINES = 256
 RIDGE = 1.0
+BRANCH = 256  # tasks whose sums are added first
 WIDTH = 3.0  # of the kernel, in standard deviations of a statistic
 BINS = 2_000  # of the calibration, from score -0.5 to 1.5
 _CAPITAL = np.zeros(256, bool)
@@ -114,7 +116,10 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def ridge_weights(rows: DataFrame, cosines: Cosines, ridge: float = RIDGE) -> np.ndarray:
-    """Weights for ``label``: tasks sum their normal equations, Spark sums matrix row by matrix row."""
+    """Weights for ``label``: tasks sum their normal equations, Spark sums matrix row by matrix row.
+
+    The sums are made in two levels, so no group holds a part of every task.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(cosines)
 
     def sums(batches):
@@ -125,15 +130,18 @@ def ridge_weights(rows: DataFrame, cosines: Cosines, ridge: float = RIDGE) -> np
             total = part if total is None else total + part
         if total is not None:
             rows = [row.tobytes() for row in total]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows)], ["place", "sums"])
+            branch = np.full(len(rows), TaskContext.get().partitionId() // BRANCH, np.int32)
+            places = pa.array(range(len(rows)), pa.int32())
+            yield pa.RecordBatch.from_arrays([places, pa.array(branch), pa.array(rows)], ["place", "branch", "sums"])
 
     def added(table: pa.Table) -> pa.Table:
         # sorted parts: one result whatever the order of arrival
         parts = [np.frombuffer(b) for b in sorted(table.column("sums").to_pylist())]
         return pa.table({"place": table.column("place")[:1], "sums": pa.array([np.sum(parts, axis=0).tobytes()])})
 
-    parts = rows.mapInArrow(sums, "place int, sums binary")
-    whole = parts.groupBy("place").applyInArrow(added, "place int, sums binary").collect()
+    parts = rows.mapInArrow(sums, "place int, branch int, sums binary")
+    some = parts.groupBy("place", "branch").applyInArrow(added, "place int, sums binary")
+    whole = some.groupBy("place").applyInArrow(added, "place int, sums binary").collect()
     size = len(cosines.phase) + len(STATISTICS) + 1
     if not whole:
         return np.zeros(size)
