@@ -72,8 +72,11 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Sets:
             total = total * arrow._MULTIPLIER + h[w.bounds[which] + j]
         short.append((which, arrow.mixed(total)))
     doc, values = np.concatenate([d for d, _ in short]), np.concatenate([v for _, v in short])
-    order = np.lexsort((values, doc))
+    order = np.argsort(doc, kind="stable")  # nearly sorted
     doc, values = doc[order], values[order]
+    edges = np.searchsorted(doc, np.arange(len(count) + 1)).tolist()
+    for a, b in zip(edges, edges[1:]):
+        values[a:b].sort()
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
     doc, values = doc[first], values[first]
@@ -150,6 +153,20 @@ def _contains(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+def _late_last(sets: Sets, of: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Values of each set with the marked ones behind the others, both in order."""
+    if not late.any():
+        return sets.values
+    before = np.concatenate([[0], np.cumsum(late)])
+    passed = before[:-1] - before[sets.bounds[:-1]][of]  # marked ones before this one in its set
+    early = sets.sizes - np.diff(before[sets.bounds])
+    place = np.arange(len(of))
+    place = np.where(late, sets.bounds[of] + early[of] + passed, place - passed)
+    out = np.empty_like(sets.values)
+    out[place] = sets.values
+    return out
+
+
 def _dealt(docs: DataFrame, size: int, percent: int, common, buckets: int) -> DataFrame:
     """Tile entries: the first tokens of every set, packed by bucket."""
 
@@ -160,9 +177,7 @@ def _dealt(docs: DataFrame, size: int, percent: int, common, buckets: int) -> Da
         mine[one] = True
         mine &= sets.sizes > 0
         of = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
-        late = _contains(common.value, sets.values)
-        order = np.lexsort((sets.values, late, of)) if late.any() else slice(None)
-        of, tokens = of[order], sets.values[order]
+        tokens = _late_last(sets, of, _contains(common.value, sets.values))
         place = np.arange(len(of)) - sets.bounds[of]
         first = sets.sizes - (percent * sets.sizes + 99) // 100 + 1
         use = (place < first[of]) & mine[of]

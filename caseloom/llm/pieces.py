@@ -145,7 +145,7 @@ class Encoder:
         spec.name, spec.precompiled_charsmap = "identity", b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.cache = UnitCache(self._segment)
+        self.cache = UnitCache(self._segment, 64 << 20)
         self.begin, self.end = self.full.bos_id(), self.full.eos_id()
         #: normalised bytes of each piece; byte pieces are set apart
         self.size = np.array([len(p.piece.encode()) for p in model.pieces], np.int64)

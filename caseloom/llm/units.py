@@ -20,7 +20,7 @@ class UnitCache:
 
     UNIT_BYTES = 150  # of a unit's string and entries, besides its characters and ids
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 32 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 96 << 20):
         self.encode, self.most = encode, most
         self._clear()
 

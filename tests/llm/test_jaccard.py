@@ -116,3 +116,14 @@ def test_components_of_long_paths_and_hubs(spark):
     assert {found[i] for i in range(201)} == {0}
     assert {found[i] for i in range(1000, 1301)} == {1000}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_marked_tokens_come_last():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes = rng.integers(0, 9, 12)
+        values = np.concatenate([np.sort(rng.choice(1000, n, replace=False)) for n in sizes]).astype(np.uint64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        of, late = np.repeat(np.arange(12), sizes), rng.random(len(values)) < 0.4
+        found = jaccard._late_last(jaccard.Sets(values, bounds, np.zeros(12, np.uint64)), of, late)
+        assert found.tolist() == values[np.lexsort((values, late, of))].tolist()
