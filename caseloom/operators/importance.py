@@ -34,7 +34,7 @@ def forest(trials: DataFrame, params: Sequence[str], value: str, trees: int = 32
     return grown.fit(rows)
 
 
-def boxes(model: RandomForestRegressionModel, params: int) -> DataFrame:
+def boxes(spark: SparkSession, model: RandomForestRegressionModel, params: int) -> DataFrame:
     """The leaves of all trees: tree, leaf, value, and the bounds of each parameter.
 
     At most ``2 ** depth`` rows for each tree.
@@ -56,7 +56,7 @@ def boxes(model: RandomForestRegressionModel, params: int) -> DataFrame:
                 rows.append((number, leaf, float(end[2]), low, high))
                 leaf += 1
     schema = "tree int, leaf int, value double, low array<double>, high array<double>"
-    return SparkSession.getActiveSession().createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema)
 
 
 def _squares(found: DataFrame, n: int, subsets: Sequence[tuple[int, ...]]) -> DataFrame:
@@ -122,6 +122,6 @@ def param_fanova(
     for c in names:
         known = known.where(F.col(c).isNotNull() & ~F.isnan(c))
     model = forest(param_scaled(known, params), params, value, trees, depth, seed)
-    parts = variance_parts(boxes(model, len(params)), params)
+    parts = variance_parts(boxes(trials.sparkSession, model, len(params)), params)
     share = F.when(F.col("total") > 0, F.col("variance") / F.col("total")).otherwise(0.0)
     return parts.groupBy("param", "other").agg(F.avg("variance").alias("variance"), F.avg(share).alias("importance"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -23,6 +24,25 @@ def _long(row: DataFrame) -> DataFrame:
     ).select("m.*")
 
 
+@contextmanager
+def _session_apart(rows: DataFrame) -> Iterator[DataFrame]:
+    """The same rows in a session of their own, with the same settings.
+
+    A session that has observed anything cannot run Spark ML fits any more (Spark 4.1 then
+    fails to serialise it), so observations are kept out of the caller's session.
+    """
+    spark, name = rows.sparkSession, f"rows_{uuid.uuid4().hex}"
+    rows.createGlobalTempView(name)
+    try:
+        other = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(key):
+                other.conf.set(key, value)
+        yield other.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 def evaluate_while_writing(
     rows: DataFrame,
     folder: str,
@@ -53,9 +73,10 @@ def evaluate_while_writing(
         sums["rejected"] = F.count_if(~both_present(f"`{prediction}`", f"`{reference}`"))
     for i, name in enumerate(required):
         sums[f"missing_{i}"] = F.count_if(col(name).isNull()) if name in here else F.count(F.lit(1))
-    seen = Observation(f"evaluation-{uuid.uuid4().hex}")
-    rows.observe(seen, *(c.alias(n) for n, c in sums.items())).write.parquet(folder)
-    got = {name: value or 0 for name, value in seen.get.items()}
+    with _session_apart(rows) as apart:
+        seen = Observation(f"evaluation-{uuid.uuid4().hex}")
+        apart.observe(seen, *(c.alias(n) for n, c in sums.items())).write.parquet(folder)
+        got = {name: value or 0 for name, value in seen.get.items()}
 
     def ratio(top: float, bottom: float) -> float | None:
         return top / bottom if bottom else None

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from caseloom.operators.learning import classifier
 from caseloom.plans.evaluation import evaluate, evaluate_while_writing
 
 
@@ -40,3 +41,11 @@ def test_one_scan(spark, tmp_path):
     source = spark.read.parquet(str(tmp_path / "in"))
     evaluate_while_writing(source.mapInArrow(counted, source.schema), str(tmp_path / "out"), required=["y"])
     assert seen.value == 50
+
+
+def test_the_session_can_still_fit_models(spark, tmp_path):
+    df = spark.range(60).selectExpr("id % 2 AS y", "id % 3 AS p", "cast(id % 2 AS double) AS x")
+    evaluate_while_writing(df, str(tmp_path / "o"))
+    fitted = classifier(["x"], "y").fit(df)
+    assert fitted.stages[2].coefficients[0] > 0
+    assert spark.catalog.listTables("global_temp") == []

@@ -52,7 +52,7 @@ def test_parts_equal_a_grid_and_add_up(spark, trials):
     known = trials.dropna().where(~F.isnan("b"))
     scaled = importance.param_scaled(known.select(*(F.col(c).cast("double").alias(c) for c in (*params, "value"))), params)
     model = importance.forest(scaled, params, "value", trees=4, depth=4)
-    found = importance.boxes(model, 3)
+    found = importance.boxes(spark, model, 3)
     parts = importance.variance_parts(found, params).collect()
     boxes = found.collect()
     for tree in range(4):
