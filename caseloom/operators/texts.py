@@ -35,12 +35,25 @@ def nonblank_pairs(
 
 
 def rejected_pairs(
-    df: DataFrame, key: str = "row_id", prediction: str = "prediction", reference: str = "reference", show: int = 5
+    df: DataFrame,
+    key: str = "row_id",
+    prediction: str = "prediction",
+    reference: str = "reference",
+    show: int = 5,
+    inputs: DataFrame | None = None,
 ) -> DataFrame:
-    """First rejected pairs by id, each with the number of rejected pairs left out."""
+    """First rejected pairs by id, each with the number of rejected pairs left out.
+
+    ``inputs`` (the key and, say, the input text; a key at most once) is looked up for the
+    pairs that are shown only.
+    """
     bad = df.where(~both_present(prediction, reference))
     total = bad.agg(F.count("*")).scalar()
-    return bad.orderBy(key).limit(show).withColumn("more", F.greatest(total - F.lit(show), F.lit(0)))
+    shown = bad.orderBy(key).limit(show)
+    if inputs is not None:  # a handful of rows, so the inputs are filtered where they lie
+        found = inputs.join(F.broadcast(shown.select(key)), key, "left_semi")
+        shown = shown.join(F.broadcast(found), key, "left")
+    return shown.withColumn("more", F.greatest(total - F.lit(show), F.lit(0)))
 
 
 def rejected_count(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:

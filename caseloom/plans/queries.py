@@ -16,10 +16,12 @@ from caseloom.operators import classes, importance, learning, median, moments, p
 from caseloom.operators import sequences, splitting, subwords, texts, trials
 from caseloom.plans import tables
 from caseloom.plans.evaluation import evaluate, evaluate_while_writing
+from caseloom.plans.preparation import prepare_cases
 from caseloom.session import new_folder, stored
 from caseloom.sources import batches
+from caseloom.sources import cases as case_source
 from caseloom.sources import runs as run_source
-from caseloom.sources.versions import KeyedAppends
+from caseloom.sources.versions import KeyedAppends, current
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -303,6 +305,22 @@ def residual_grouped(spark, folder):
     return _clean(done, "l_extendedprice")
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS internal,
+  CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 1000 END AS a, l_extendedprice / 1300 + l_discount AS b FROM lineitem),
+f AS (SELECT regr_slope(a, x) AS ka, regr_intercept(a, x) AS ba, regr_slope(b, x) AS kb, regr_intercept(b, x) AS bb FROM r)
+SELECT l_orderkey, l_linenumber, internal AS "L0 int", round_even(a - (ka * x + ba), 1) + 0.0::DOUBLE AS "L0 sk",
+round_even(b - (kb * x + bb), 1) + 0.0::DOUBLE AS "R3 sk" FROM r, f""")
+def normalise_skin(spark, folder):
+    """Skin readings on the skin control; internal readings stay as they are."""
+    price = F.col("l_extendedprice")
+    rows = _lineitem(
+        spark, folder, price.alias("L0 int"), F.when(F.col("l_returnflag") != "R", price / 1000).alias("L0 sk"),
+        (price / 1300 + F.col("l_discount")).alias("R3 sk"), F.col("l_quantity").alias("T1 sk"),
+    )
+    done = regression.normalise_readings(rows, kinds=("sk",), controls=("T1 sk",))
+    return _clean(done.drop("T1 sk"), "L0 sk", "R3 sk")
+
+
 WIDE = [f"{side}{pos} int" for side in "LR" for pos in range(10)]
 
 
@@ -449,9 +467,12 @@ def nonblank_pairs(spark, folder):
 
 @query(rf"""WITH {PAIRS}, bad AS (SELECT * FROM pairs
 WHERE NOT (regexp_matches(prediction, '\S') AND regexp_matches(reference, '\S')))
-SELECT *, greatest((SELECT count(*) FROM bad) - 5, 0)::BIGINT AS more FROM bad ORDER BY row_id LIMIT 5""")
+SELECT bad.*, c.text AS input, greatest((SELECT count(*) FROM bad) - 5, 0)::BIGINT AS more
+FROM bad LEFT JOIN conversations c ON c.conv_id || '-' || c.turn = row_id ORDER BY row_id LIMIT 5""")
 def rejected_pairs(spark, folder):
-    return texts.rejected_pairs(tables.text_pairs(spark, folder))
+    said = tables.table(spark, folder, "conversations")
+    inputs = said.select(F.concat_ws("-", "conv_id", "turn").alias("row_id"), F.col("text").alias("input"))
+    return texts.rejected_pairs(tables.text_pairs(spark, folder), inputs=inputs)
 
 
 @query(rf"""WITH {PAIRS} SELECT count(*) FILTER (NOT (regexp_matches(prediction, '\S')
@@ -516,6 +537,20 @@ def mean_pool(spark, folder):
     )
 
 
+@query(f"""WITH {EMBEDDING_MATCH}, asked AS (SELECT unnest([0, 1]) AS part)
+SELECT part, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1
+FROM asked LEFT JOIN match ON part = 0 GROUP BY part""")
+def match_means(spark, folder):
+    """Mean scores of all pairs, and of no pair, which are null."""
+    scores = stored(texts.embedding_match(tables.token_vectors(spark, folder)), "scores")
+    names = ("precision", "recall", "f1")
+    means = [
+        texts.mean_scores(scores.where(kept), *names).select(F.lit(part).alias("part"), *[F.round(c, 6).alias(c) for c in names])
+        for part, kept in enumerate(("true", "f1 IS NULL"))
+    ]
+    return means[0].union(means[1])
+
+
 @query(rf"""WITH {PAIRS}, good AS (SELECT * FROM pairs
   WHERE regexp_matches(prediction, '\S') AND regexp_matches(reference, '\S')),
 {_meteor_sql("good")}, {CLASSES.replace("pairs AS", "labelled AS")},
@@ -1182,3 +1217,84 @@ def history_appends(spark, folder):
     store.compact()
     store.append(second)
     return store.read()
+
+
+# --- files out and in -------------------------------------------------------
+
+@query("""SELECT doc_id, text AS "Conclusion (Tr)", CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN '28-35'
+ELSE lang END AS "Cycle", CASE WHEN doc_id % 4 = 0 THEN (n_chars % 90)::INTEGER END AS "r:AgeInYears",
+CASE WHEN doc_id % 6 <> 0 THEN n_chars / 7 END AS "R0 int", source FROM documents""")
+def read_case_file(spark, folder):
+    """Documents written as a delimited case file and read back, texts with line breaks and quotes included."""
+    key, size = F.col("doc_id"), F.col("n_chars")
+    cycle = F.when(key % 5 == 0, "n/a").when(key % 5 == 1, "").when(key % 5 == 2, "28-35").otherwise(F.col("lang"))
+    years = (size % 90).cast("string")  # 3.0 is a whole number, 3.5 is none
+    cases = tables.documents(spark, folder).select(
+        "doc_id", F.col("text").alias("Conclusion (Tr)"), cycle.alias("Cycle"),
+        F.concat(years, F.when(key % 4 == 0, ".0").otherwise(".5")).alias("r:AgeInYears"),
+        F.when(key % 6 == 0, F.lit(float("nan"))).otherwise(size / 7).alias("R0 int"), "source",
+    )
+    path = new_folder(spark, "cases")
+    case_source.write_table(cases, path, "csv")
+    read = case_source.read_cases(spark, path)
+    return read.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+@query(_wide_sql())
+def processed_cases(spark, folder):
+    """A case file labelled, normalised, written beside its input and read back."""
+    path = f"{new_folder(spark, 'raw')}/cases.csv"
+    case_source.write_table(tables.wide_cases(spark, folder), path, "csv")
+    prepare_cases(spark, path, multi_line=False)
+    done = spark.read.parquet(case_source.processed_path(path))
+    keys = [F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber")]
+    return _clean(done.select(*keys, "cancer_risk", *WIDE), *WIDE)
+
+
+@query(f"""WITH {SPLIT} SELECT split, o_orderkey, count(*) OVER (PARTITION BY split) AS rows FROM split""")
+def stored_splits(spark, folder):
+    """Splits stored on the first call and only read on the second; each is read out of its own folder."""
+    path = new_folder(spark, "splits")
+    orders = _orders(spark, folder)
+    case_source.splits_or_create(spark, path, lambda: splitting.exact_split(orders, "o_orderkey"))
+    found = case_source.splits_or_create(spark, path, lambda: orders.withColumn("split", F.lit("made again")))
+    parts = [found.where(F.col("split") == name) for name in ("train", "val", "test")]
+    rows = found.groupBy("split").agg(F.count("*").alias("rows"))
+    return parts[0].union(parts[1]).union(parts[2]).join(F.broadcast(rows), "split").select("split", "o_orderkey", "rows")
+
+
+@query(_newton_sql("SELECT unnest([0, 1]) AS trial, unnest([0.01, 1.0]) AS reg, 1.0 AS positive_weight", "CASE WHEN vec_id % 5 = 0 THEN 0 ELSE -1 END", "vec_id % 5 != 0", True) + """
+SELECT CASE trial WHEN 0 THEN 'best' ELSE 'epoch 5' END AS model, unnest(['intercept', 'x1', 'x2', 'x3']) AS name,
+round(unnest([c0, c1, c2, c3]), 4) + 0.0 AS value FROM b""")
+def stored_models(spark, folder):
+    """Weights of the best model, which replaced a former best one, and of a periodic one, all read from files."""
+    rows = learning.complete_rows(_risk_rows(spark, folder, _block_means()).where("vec_id % 5 != 0"), ["features"])
+    strict, loose = (
+        learning.classifier(["features"], "risk", max_iter=500, reg=reg, tol=1e-13).fit(rows) for reg in (1.0, CLASSIFIER_REG)
+    )
+    path = new_folder(spark, "models")
+    run_source.save_epoch(strict, path, 5)
+    for model in (strict, loose):
+        run_source.save_best(model, path)
+    found = {"best": run_source.load_best(path), "epoch 5": run_source.load_model(current(f"{path}/checkpoint_epoch_5"))}
+    weights = [
+        (kind, name, float(value))
+        for kind, model in found.items()
+        for name, value in zip(("intercept", "x1", "x2", "x3"), (model.stages[2].intercept, *model.stages[2].coefficients))
+    ]
+    return spark.createDataFrame(weights, "model string, name string, value double").select(
+        "model", "name", *_rounded(4, value=F.col("value"))
+    )
+
+
+@query(f"""WITH {TRIALS}, best AS (SELECT trial FROM trials ORDER BY value, trial LIMIT 1)
+SELECT trial, value, trial IN (SELECT trial FROM best) AS best FROM trials""")
+def stored_trials(spark, folder):
+    """Trials and the best of them, published twice: what is read is the second version of both."""
+    path = new_folder(spark, "trials")
+    done = _trials(spark, folder)
+    for part in (done.where("trial % 2 = 0"), done):
+        run_source.write_trials(part, trials.best_trial(part), path)
+    every, best = run_source.read_trials(spark, path)
+    won = F.broadcast(best.select("trial", F.lit(True).alias("best")))
+    return every.join(won, "trial", "left").select("trial", "value", F.coalesce("best", F.lit(False)).alias("best"))

@@ -63,7 +63,9 @@ def read_cases(
 def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer = writer.option("header", True).option("escape", '"')
+        # blanks around a text are part of it
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.format(format).save(path)
 

@@ -88,6 +88,15 @@ def test_blank_pairs(pairs):
     assert T.rejected_count(pairs).first()[:] == (10, 20)
 
 
+def test_rejected_pairs_show_their_input(spark, pairs):
+    inputs = spark.createDataFrame([(i, f"asked {i}") for i in range(20) if i != 4], "row_id long, asked string")
+    shown = T.rejected_pairs(pairs, inputs=inputs)
+    assert {r.row_id: (r.asked, r.more) for r in shown.collect()} == {
+        i: (None if i == 4 else f"asked {i}", 5) for i in (0, 1, 4, 5, 8)
+    }
+    assert T.rejected_pairs(pairs.where("row_id % 4 > 1"), inputs=inputs).count() == 0
+
+
 def brute_match(hyp, ref):
     cosine = np.array([[a @ b / np.linalg.norm(a) / np.linalg.norm(b) for b in ref] for a in hyp])
     p, r = cosine.max(axis=1).mean(), cosine.max(axis=0).mean()

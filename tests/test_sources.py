@@ -66,6 +66,13 @@ def test_split_and_prepare(spark, case_file):
     assert {r.split: r["count"] for r in done.groupBy("split").count().collect()} == {"train": 28, "val": 6, "test": 6}
 
 
+def test_blanks_and_breaks_survive_a_case_file(spark, tmp_path):
+    texts = ["  led", "trailed \t", 'quo"ted, "', "two\nlines", "back\\slash", '"', ",", None]
+    path = str(tmp_path / "cases")
+    S.write_table(spark.createDataFrame(list(enumerate(texts)), "case_id int, Cycle string"), path, "csv")
+    assert {int(r.case_id): r.Cycle for r in S.read_cases(spark, path).collect()} == dict(enumerate(texts))
+
+
 def test_splits_are_stored_once_and_pruned(spark, tmp_path):
     path, made = str(tmp_path / "splits"), []
 
