@@ -4,6 +4,8 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+import zstandard
 from invented import prose
 from hypothesis import given
 from hypothesis import strategies as st
@@ -42,6 +44,40 @@ def test_whole_table(make, edge_rows):
     assert bands.quality_rules(make([])).count() == 0
 
 
+def brute_verdict(text, rules=bands.Bands()):
+    """One text at a time: ratio of the whole, ratios of the chunks, limits by length."""
+    data = (text or "").encode()
+
+    def size(part):
+        return max(len(zstandard.ZstdCompressor(level=rules.level, write_content_size=False).compress(part)), 1)
+
+    def limits(n):
+        return [(low, high) for least, low, high in rules.whole if n >= least][-1]
+
+    chunks = [data[i : i + rules.chunk_bytes] for i in range(0, len(data), rules.chunk_bytes)]
+    bad = 0
+    for chunk in chunks:
+        low, high = rules.chunk if len(chunk) == rules.chunk_bytes else limits(len(chunk))
+        bad += not low <= len(chunk) / size(chunk) <= high
+    ratio, (low, high) = len(data) / size(data), limits(len(data))
+    inside = low <= ratio <= high and bad <= rules.bad_chunk_share * len(chunks)
+    n_words, *_, n_repeat = brute(text)
+    return ratio, n_words >= 10 and 100 * n_repeat <= 20 * n_words and inside
+
+
+def test_verdicts_equal_brute_force(make, edge_rows):
+    folder = "/root/testdata/sf0.001"
+    rng = random.Random(8)
+    texts = pq.read_table(f"{folder}/documents.parquet").column("text").to_pylist()
+    texts += [t for _, t in edge_rows] + ["ab " * 1365 + "c", "ab " * 1365 + "cd", prose(1, 700)[:4096], prose(2, 900)[:4097]]
+    texts += [prose(i, 400) + rng.randbytes(2000 * i).hex() + prose(50 + i, 400) for i in range(8)]
+    found = bands.quality_rules(make(list(enumerate(texts)))).collect()
+    assert len(found) == len(texts) and {r.kept for r in found} == {True, False}
+    for r in found:
+        ratio, kept = brute_verdict(texts[r.doc_id])
+        assert abs(r.ratio - ratio) < 1e-12 and r.kept == kept
+
+
 def test_bands_reject_repetition_and_noise(make):
     rng = random.Random(1)
     noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=é日本語ñ") for _ in range(40)) for _ in range(60))

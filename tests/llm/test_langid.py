@@ -1,4 +1,5 @@
 import pytest
+import zstandard
 from invented import prose
 
 from caseloom.llm import langid
@@ -54,6 +55,37 @@ def test_predictions(make, learned):
     assert all(0 <= r.score <= 1 for r in found) and not by_id[2].rejected
 
 
+def brute(text, dictionaries):
+    """Sizes of one text under fresh compressors, one for each piece and language."""
+    clean = " ".join("".join(c if c.isalnum() and not c.isdecimal() else " " for c in (text or "").lower()).split())
+    data = clean.encode()
+    if not data:
+        return "und", 0.0
+    sizes = {}
+    for lang, raw in dictionaries.items():
+        sizes[lang] = 0
+        for i in range(0, len(data), langid.PIECE_BYTES):
+            known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=langid.LEVEL)
+            one = zstandard.ZstdCompressor(dict_data=known, write_checksum=False, write_content_size=False)
+            sizes[lang] += len(one.compress(data[i : i + langid.PIECE_BYTES]))
+    best = min(sizes.values())
+    return next(n for n, s in sizes.items() if s == best), min([1 - best / s for s in sizes.values() if s > best], default=0.0)
+
+
+def test_predictions_equal_brute_force(spark, make, edge_rows):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    dictionaries = langid.learn(docs.where("doc_id % 2 = 0").select("text", "lang"), texts=8, chars=1000)
+    assert len(dictionaries) == 4
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + [t and t[:20_000] for _, t in edge_rows]
+    for r in langid.predict(make(list(enumerate(texts))), dictionaries).collect():
+        lang, margin = brute(texts[r.doc_id], dictionaries)
+        assert r.lang_pred == lang
+        if not r.rejected:
+            assert abs(r.margin - margin) < 1e-12
+
+
 def test_narrow_margins_are_rejected(make, spark):
     same = {"a": b"alpha beta gamma", "b": b"alpha beta gamma"}
     row = langid.predict(make([(1, "alpha beta")]), same).first()

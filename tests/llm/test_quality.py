@@ -44,6 +44,37 @@ def test_isotonic_equals_the_min_max_formula():
     assert np.allclose(quality.isotonic(labels, counts), wanted)
 
 
+def test_scores_equal_one_computation(spark, make):
+    """The whole operator against one solution, calibration by the min-max formula, over rows in one array."""
+    rng = np.random.default_rng(5)
+    rows = [(i, prose(i, 10 + i % 70) + " $$$ ##" * int(rng.integers(0, 1 + 6 * (i % 3 == 0)))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0 or rng.random() < 0.2)) for i in range(400)], "doc_id bigint, quality int")
+    docs = make(rows).repartition(9)
+    found = quality.quality_scores(docs, labels, F.col("doc_id") % 4 != 2).toPandas().sort_values("doc_id")
+    table = quality.document_statistics(docs).join(labels, "doc_id")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
+    known = table.withColumn("held", held).toPandas().sort_values("doc_id")
+    x = known[list(quality.STATISTICS)].to_numpy()
+    deviation = x.std(axis=0)
+    scaled = np.clip((x - x.mean(axis=0)) / np.where(deviation.round(9) == 0, 1, deviation), -8, 8)
+    random = np.random.default_rng(0)
+    frequency = random.normal(0, 1 / quality.WIDTH, (x.shape[1], quality.COSINES))
+    phase = random.uniform(0, 2 * np.pi, quality.COSINES)
+    z = np.column_stack([np.cos(scaled @ frequency + phase) * np.sqrt(2 / quality.COSINES), scaled / 8, np.ones(len(x))])
+    use, held, y = (known.doc_id % 4 != 2).to_numpy(), known.held.to_numpy(), known.quality.to_numpy()
+    fit = z[use & ~held]
+    penalty = np.append(np.full(z.shape[1] - 1, quality.RIDGE), 1e-6)
+    raw = z @ np.linalg.solve(fit.T @ fit + np.diag(penalty), fit.T @ y[use & ~held])
+    assert np.allclose(found.raw, raw, atol=1e-5)
+    place = np.floor((np.clip(found.raw.to_numpy()[use & held], -0.5, 1.5) + 0.5) * quality.BINS / 2)
+    bins = np.unique(place)
+    good, n = (np.array([f(y[use & held][place == b]) for b in bins], float) for f in (np.sum, len))
+    share = [[good[a : b + 1].sum() / max(n[a : b + 1].sum(), 1) for b in range(len(bins))] for a in range(len(bins))]
+    levels = [max(min(share[a][b] for b in range(i, len(bins))) for a in range(i + 1)) for i in range(len(bins))]
+    wanted = np.interp(found.raw, bins / (quality.BINS / 2) - 0.5 + 1 / quality.BINS, levels)
+    assert np.allclose(found.score, wanted, atol=1e-9)
+
+
 def test_scores(spark, make, edge_rows):
     good = [(100 + i, prose(i, 60)) for i in range(150)]
     bad = [(300 + i, "$$$ ### BUY " * (5 + i)) for i in range(60)]

@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -37,6 +42,59 @@ def test_context_separates_quotation_from_abuse():
     assert counts[2, 1] == 1
 
 
+def brute(text, lexicon):
+    """Every word against every term by edit distance, contexts cut out of the split text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+    def kind(core):
+        if core in lexicon.words or core.startswith(lexicon.beginnings):
+            return EXACT
+        return MISSPELLED if any(distance(core, t) <= lexicon.edits(t) for t in lexicon.words) else NONE
+
+    counts = [0, 0, 0, 0]
+    hits = 0
+    for i, word in enumerate(words):
+        kinds = {kind(core) for core in re.findall(r"\w+", word.lower())} - {NONE}
+        if not kinds:
+            continue
+        hits += 1
+        before, after = words[max(i - 8, 0) : i + 1], words[i : i + 9]
+        cores = {c for w in before + after for c in re.findall(r"\w+", w.lower())}
+        marks = any(w[0] in toxicity.QUOTES for w in before) and any(w.rstrip(".,;:!?")[-1:] in toxicity.QUOTES for w in after if w.rstrip(".,;:!?"))
+        quoted = marks or bool(cores & toxicity.REPORTING)
+        counts[2 if quoted else 0 if EXACT in kinds else 1] += 1
+        counts[3] += bool(cores & toxicity.AIMED)
+    return [*counts, hits / max(len(words), 1)]
+
+
+@cache
+def distance(a, b):
+    if not a or not b:
+        return len(a) + len(b)
+    if a[0] == b[0]:
+        return distance(a[1:], b[1:])
+    return 1 + min(distance(a[1:], b), distance(a, b[1:]), distance(a[1:], b[1:]))
+
+
+def test_scores_equal_brute_force(make, edge_rows):
+    lexicon = Lexicon(("idiot", "scumbag", "dumbheaded", "fool"), ("grumb",), frozenset(["scumbag"]))
+    weights = (0.7, -0.3, -0.9, 0.4, 1.1, 1.3, -0.2, -2.0)
+    rng = random.Random(4)
+    odd = ["idiot", "Idoit", "idioot.", "scumbag!", "scumbagg", "dumheadd", "dumbheadedly", "grumbler", "“fool”", "fol", "you", "said",
+           '"idiot', 'x"', "tu", "«", "»", "...", "fool-idoit", "grumb"]
+    texts = [" ".join(rng.choice(odd if rng.random() < 0.3 else prose(i, 9).split()) for _ in range(i)) for i in range(60)]
+    texts += [t and t[:4000] for _, t in edge_rows]
+    model = toxicity.Model(lexicon, weights)
+    for r in toxicity.score(make(list(enumerate(texts))), model).collect():
+        wanted = brute(texts[r.doc_id], lexicon)
+        assert [r[f] for f in toxicity.FEATURES] == pytest.approx(wanted), texts[r.doc_id]
+        exact, misspelled, quoted, aimed, density = wanted
+        inputs = [*(math.log1p(v) for v in (exact + misspelled, misspelled, quoted, aimed)), min(density * 20, 1)]
+        inputs += [exact + misspelled > 0, misspelled > 0, 1]
+        score = 1 / (1 + math.exp(-sum(a * b for a, b in zip(inputs, weights))))
+        assert abs(r.score - score) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
 @pytest.fixture(scope="module")
 def model(spark, make):
     rows = [(i, prose(i, 50) + (" dumbhead scumbag" if i % 4 == 0 else "")) for i in range(200)]
