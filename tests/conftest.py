@@ -2,11 +2,16 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from caseloom.session import build_session  # noqa: E402
 
+# how long an example takes depends on the machine, and tells nothing about the result
+settings.register_profile("unhurried", deadline=None)
+settings.load_profile("unhurried")
+
 
 @pytest.fixture(scope="session")
 def spark():
