@@ -1,8 +1,12 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from invented import prose
 from pyspark.sql import functions as F
+from test_bands import brute as counted
 
 from caseloom.llm import quality, samples
 
@@ -12,6 +16,27 @@ def test_statistics_are_finite(edge_rows):
     assert found.shape == (len(edge_rows), len(quality.STATISTICS)) and np.isfinite(found).all()
 
 
+def test_statistics_equal_brute_force(edge_rows):
+    texts = [t for _, t in edge_rows] + ["Ab 12, 3.5!\n\nAb  CDE é日\r\n$5 #x", "a b c d e " * 6, "A" * 300, "\n" * 9, " x" * 4097]
+    found = quality.statistics(pa.array(texts, pa.string()))
+    for text, row in zip(texts, found):
+        text = text or ""
+        words, data = re.findall(r"[^\x20\x09-\x0D]+", text), text.encode()
+        n_words, word_chars, symbols, again, repeated = counted(text)
+        some, size, lines = max(n_words, 1), max(len(data), 1), text.count("\n") + 1
+        share = lambda pattern: np.sqrt(len(re.findall(pattern, data)) / size)  # noqa: E731, B023
+        lengths = [len(w.encode()) for w in words]
+        wanted = {
+            "words": np.log1p(n_words), "word_chars": word_chars / some, "symbols": np.sqrt(symbols / size),
+            "digits": share(rb"[0-9]"), "capitals": share(rb"[A-Z]"), "signs": share(rb"[!\"'(),\-./:;?@\[\\\]^_`{}~+=]"),
+            "lines": np.log1p(lines), "dup_lines": np.sqrt(again / lines), "repeats": np.sqrt(repeated / some),
+            "variety": np.log(max(len(set(words)), 1)) / np.log(some + 1), "longest": np.log1p(max(lengths, default=0)),
+            "top_word": np.sqrt(max(Counter(words).values(), default=0) / some),
+            "non_ascii": sum(b >= 128 for b in data) / size, "short_words": sum(n <= 3 for n in lengths) / some,
+        }
+        assert dict(zip(quality.STATISTICS, row)) == pytest.approx(wanted), text[:50]
+
+
 def test_summed_equations_equal_one_solution(spark, make):
     table = quality.document_statistics(make([(i, prose(i, 20 + i)) for i in range(80)])).withColumn("label", F.col("doc_id") % 2)
     cosines = quality.Cosines.fit(table, cosines=16)
