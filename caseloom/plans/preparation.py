@@ -13,9 +13,13 @@ from caseloom.sources.cases import processed_path, read_cases, write_table
 
 
 def prepare_cases(spark: SparkSession, path: str, format: str = "parquet", multi_line: bool = True) -> DataFrame:
-    """Scan, label and normalise one file; store the result beside it and return it."""
+    """Scan, label and normalise one file; store the result beside it and return it.
+
+    The file is parsed once: the typed table is stored, since every stage reads it.
+    """
     out = processed_path(path)
-    write_table(label_and_normalise(read_cases(spark, path, multi_line=multi_line)), out, format)
+    cases = stored(read_cases(spark, path, multi_line=multi_line), "cases")
+    write_table(label_and_normalise(cases), out, format)
     if format == "csv":
         return read_cases(spark, out, multi_line=multi_line)
     return spark.read.format(format).load(out)

@@ -136,3 +136,14 @@ def test_trials_are_written(spark, tmp_path):
     R.write_trials(df, df.where("trial = 1"), str(tmp_path))
     trials, best = R.read_trials(spark, str(tmp_path))
     assert trials.count() == 2 and best.first().value == 0.5
+
+
+def test_case_file_is_parsed_once(spark, case_file, monkeypatch):
+    """Three stages read the typed table, not the file."""
+    from caseloom.plans import preparation
+
+    seen = []
+    work = preparation.label_and_normalise
+    monkeypatch.setattr(preparation, "label_and_normalise", lambda df: seen.append(df.inputFiles()) or work(df))
+    preparation.prepare_cases(spark, case_file)
+    assert len(seen) == 1 and seen[0] and all(f.endswith(".parquet") for f in seen[0])
