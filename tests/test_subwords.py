@@ -104,3 +104,21 @@ def test_word_counts_and_ids(spark, known):
     df = spark.createDataFrame([("a b\ta",), (None,), ("",), (" b ",)], "text string")
     assert {r.word: r.n for r in subwords.word_counts(df, "text").collect()} == {"a": 2, "b": 2}
     assert len(set(known.symbols)) == len(known.symbols) and END in known.symbols
+
+
+def test_many_words_are_encoded_as_one_at_a_time():
+    """Equal symbols, symbols made in two ways and characters never seen included; a merge costs no pass of its own."""
+    import random
+
+    draw = random.Random(5)
+    for _ in range(200):
+        symbols, merges = [*"abcé", subwords.END], []
+        for _ in range(draw.randrange(12)):
+            merges.append((draw.choice(symbols), draw.choice(symbols)))
+            symbols.append("".join(merges[-1]))
+        encoder = subwords.Encoder(subwords.Subwords(tuple(merges), tuple(dict.fromkeys(symbols))))
+        words = ["", *("".join(draw.choices("aabcé😀", k=draw.randrange(1, 12))) for _ in range(40))]
+        ids, sizes = encoder.many(words)
+        assert sizes.tolist() == [len(encoder(w)) if w else 0 for w in words]
+        assert ids.tolist() == [i for w in words if w for i in encoder(w)]
+    assert [a.tolist() for a in encoder.many([])] == [[], []]
