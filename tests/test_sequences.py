@@ -76,3 +76,51 @@ def test_examples(spark, texts, vocab):
 def test_special_ids_are_skipped(spark, vocab):
     df = spark.createDataFrame([(1, [3, 0, 2, 1, 4]), (2, [0, 0])], "id int, ids array<int>")
     assert {r.id: r.text for r in S.decode(df, vocab, ["id"], "ids").collect()} == {1: "zebra the", 2: ""}
+
+
+def _moved(df):
+    """Bytes that the last exchange of an executed plan dealt out."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while node.nodeName() != "Exchange":
+        node = node.children().apply(0)
+    return node.metrics().get("dataSize").get().value()
+
+
+def test_texts_are_moved_in_runs(spark):
+    """What goes to the groupings grows with the texts, not with a record for every word."""
+    texts = [" ".join(f"word{(i * j) % 97}" for j in range(400)) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    vocab = S.vocabulary(df, "text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        arrays = S.id_arrays(S.encode(S.token_rows(df, ["id"], {"text": "text"}), vocab), ["id"], ["text"])
+        ids = arrays.collect()
+        assert _moved(arrays) < 6 * 400 * 300
+        given = spark.createDataFrame(ids, arrays.schema).withColumnRenamed("text", "ids").repartition(2)
+        decoded = S.decode(given, vocab, ["id"], "ids")
+        assert _moved(decoded) < 2 * sum(len(t) for t in texts)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [r.text for r in decoded.orderBy("id").collect()] == texts
+
+
+@pytest.mark.parametrize("head", [0, 2, 100])
+def test_rows_of_equal_keys_are_one_text(spark, head):
+    df = spark.createDataFrame(
+        [(1, "b c b"), (1, "a c d e"), (None, "b"), (None, "a b"), (2, None), (2, "c")], "id int, text string"
+    ).coalesce(1)
+    vocab = S.vocabulary(df, "text")
+    of = {r.token: r.token_id for r in vocab.collect()}
+    encoded = S.encode(S.token_rows(df, ["id"], {"text": "text", "turned": F.reverse("text")}), vocab, head)
+    arrays = S.id_arrays(encoded, ["id"], ["text", "turned"])
+    texts = {1: ["a b", "c c", "b d", "e"], None: ["a b", "b"], 2: ["c"]}
+    turned = {1: ["b e", "c d", "b c", "a"], None: ["b b", "a"], 2: ["c"]}
+    in_order = lambda parts: [i for p in parts for i in sorted(of[w] for w in p.split())]
+    found = {r.id: (r.text, r.turned) for r in arrays.collect()}
+    assert found == {k: (in_order(texts[k]), in_order(turned[k])) for k in texts}
+    ids = df.select("id", F.transform(S.words("text"), lambda w: F.lit(0)).alias("ids"))  # only special ids
+    assert {r.id: r.text for r in S.decode(ids, vocab, ["id"], "ids", head=head).collect()} == {1: "", 2: "", None: ""}
+    rows = [(1, [of[w] for w in "b c b".split()]), (1, [of[w] for w in "a c d e".split()]), (2, None), (2, [of["c"]])]
+    decoded = S.decode(spark.createDataFrame(rows, "id int, ids array<int>"), vocab, ["id"], "ids", head=head)
+    assert {r.id: r.text for r in decoded.collect()} == {1: "a b c c b d e", 2: "c"}
