@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.operators.regression import label_and_normalise
 from caseloom.operators.splitting import exact_split
-from caseloom.session import stored
+from caseloom.session import stored, stored_meanwhile
 from caseloom.sources.cases import processed_path, read_cases, write_table
 
 
 def prepare_cases(spark: SparkSession, path: str, format: str = "parquet", multi_line: bool = True) -> DataFrame:
     """Scan, label and normalise one file; store the result beside it and return it.
 
-    The file is parsed once: the typed table is stored, since every stage reads it.
+    The file is parsed once: the typed table is stored while the stages read it.
     """
     out = processed_path(path)
-    cases = stored(read_cases(spark, path, multi_line=multi_line), "cases")
-    write_table(label_and_normalise(cases), out, format)
+    with stored_meanwhile(read_cases(spark, path, multi_line=multi_line), "cases") as cases:
+        write_table(label_and_normalise(cases), out, format, compression=None if format == "csv" else "zstd")
     if format == "csv":
         return read_cases(spark, out, multi_line=multi_line)
     return spark.read.format(format).load(out)

@@ -147,3 +147,39 @@ def test_case_file_is_parsed_once(spark, case_file, monkeypatch):
     monkeypatch.setattr(preparation, "label_and_normalise", lambda df: seen.append(df.inputFiles()) or work(df))
     preparation.prepare_cases(spark, case_file)
     assert len(seen) == 1 and seen[0] and all(f.endswith(".parquet") for f in seen[0])
+
+
+def test_prepared_cases_leave_little_on_disk(spark, tmp_path):
+    """The query keeps its case file compressed, and the typed table only while the stages read it."""
+    from pathlib import Path
+
+    from caseloom.plans import tables
+    from caseloom.plans.queries import QUERIES
+    from caseloom.session import shared_folder
+
+    def files():
+        return {f for f in Path(shared_folder(spark).removeprefix("file://")).rglob("part-*") if f.is_file()}
+
+    lines = spark.range(4000).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.rand(1) * 1e5).alias("l_extendedprice"),
+        F.floor(F.rand(2) * 50).cast("double").alias("l_quantity"), (F.floor(F.rand(3) * 9) / 100).alias("l_tax"),
+        (F.floor(F.rand(4) * 11) / 100).alias("l_discount"), F.lit("N").alias("l_returnflag"),
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = files()
+    assert QUERIES["processed_cases"](spark, str(tmp_path)).count() == 4000
+    left = files() - before
+    assert {f.parent.name for f in left} == {"cases.csv", "processed_cases.csv"}
+    S.write_table(tables.wide_cases(spark, str(tmp_path)), str(tmp_path / "plain"), "csv")
+    plain = sum(f.stat().st_size for f in (tmp_path / "plain").glob("part-*"))
+    assert sum(f.stat().st_size for f in left) < 0.9 * plain
+
+
+def test_compressed_case_files_are_short_and_read_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FILE_LINES", 30)
+    texts = ["  led", "two\nlines", 'quo"ted, "', None] * 25
+    path = tmp_path / "cases"
+    df = spark.createDataFrame(list(enumerate(texts)), "case_id int, Cycle string").coalesce(1)
+    S.write_table(df, str(path), "csv", compression="gzip")
+    assert len(list(path.glob("*.csv.gz"))) == 4
+    assert {int(r.case_id): r.Cycle for r in S.read_cases(spark, str(path)).collect()} == dict(enumerate(texts))
