@@ -122,3 +122,30 @@ def test_many_words_are_encoded_as_one_at_a_time():
         assert sizes.tolist() == [len(encoder(w)) if w else 0 for w in words]
         assert ids.tolist() == [i for w in words if w for i in encoder(w)]
     assert [a.tolist() for a in encoder.many([])] == [[], []]
+
+
+@pytest.mark.parametrize("pieces, pairs, few", [(25, 12, 3), (4, 1000, 0), (60, 40, 1000)])
+def test_rounds_on_pieces_equal_one_at_a_time(words, monkeypatch, pieces, pairs, few):
+    """However little the driver holds, equally frequent pairs and repeated characters included."""
+    for name, value in (("PIECES", pieces), ("FREQUENT_PAIRS", pairs), ("FEW_MERGES", few)):
+        monkeypatch.setattr(subwords, name, value)
+    rng = random.Random(pieces)
+    counts = Counter("".join(rng.choice("aab$é😀") for _ in range(rng.randint(1, 7))) for _ in range(60))
+    counts = {w: n * rng.randint(1, 9) for w, n in counts.items()}
+    assert learned(words(counts), 40) == plain_merges(counts, 40)[0]
+
+
+def test_audit_learns_a_whole_vocabulary(spark, tmp_path):
+    """Merges until no pair occurs twice: sizes of texts are those after one merge at a time."""
+    from caseloom.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    known = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8))) for _ in range(40)]
+    texts = [" ".join(rng.choices(known, k=rng.choice([5, 50, 400]))) for _ in range(12)] + ["", None, "once"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    merges, table = plain_merges(Counter(w for t in texts for w in (t or "").split()), 32_000)
+    assert len(merges) > 30
+    wanted = {i: sum(len(table[w]) for w in (t or "").split()) for i, t in enumerate(texts)}
+    found = QUERIES["subword_audit"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_subwords for r in found} == wanted
+    assert all(r.truncated == (wanted[r.doc_id] > 511) for r in found) and len(found) == len(texts)
